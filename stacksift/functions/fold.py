@@ -9,7 +9,6 @@ handed to ``translate`` as literals.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -20,6 +19,9 @@ PREFIX_MIN = 2
 PREFIX_MAX = 6
 GRAM_SIZE = 3
 
+# No character beyond the first two planes is a mark or decomposes to ASCII.
+LAST_FOLDED = 0x1FFFF
+
 _ASCII_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -35,7 +37,7 @@ def _strip_marks(text: str) -> str:
 def _search_table() -> tuple[str, str]:
     """(from, to) for ``translate``: mapped characters first, deleted marks after."""
     source, target, dropped = [], [], []
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in range(0x80, LAST_FOLDED + 1):
         ch = chr(code)
         if unicodedata.combining(ch):
             dropped.append(ch)
@@ -53,7 +55,7 @@ def _search_table() -> tuple[str, str]:
 def _match_tables() -> tuple[str, str, dict[str, str]]:
     """One-to-one table as in ``_search_table`` plus the one-to-many expansions."""
     source, target, dropped, expand = [], [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in range(0x80, LAST_FOLDED + 1):
         ch = chr(code)
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -72,6 +74,14 @@ def _match_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source + dropped), "".join(target), expand
 
 
+def _char_class(chars) -> str:
+    """Characters as the inside of a regular expression class, neighbours joined to ranges."""
+    codes = sorted(ord(ch) for ch in chars)
+    starts = [c for c in codes if c - 1 not in set(codes)]
+    ends = [c for c in codes if c + 1 not in set(codes)]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
 def _words(folded: Column) -> Column:
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
@@ -95,11 +105,15 @@ def match_fold(value: Column | str) -> Column:
     plain = F.lower(F.translate(text, source, target))
     pairs = [F.lit(x) for item in sorted(expand.items()) for x in item]
     table = F.create_map(*pairs)
-    spelled = F.array_join(
-        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), ""
-    )
-    present = F.rlike(plain, F.lit("[" + "".join(sorted(expand)) + "]"))
-    wide = F.when(present, spelled).otherwise(plain)
+    several = _char_class(expand)
+    pieces = F.regexp_extract_all(plain, F.lit(f"([{several}]|[^{several}]+)"), F.lit(1))
+
+    def spell(piece: Column) -> Column:
+        known = F.when(F.length(piece) == 1, F.element_at(table, piece))
+        return F.coalesce(known, piece)
+
+    spelled = F.array_join(F.transform(pieces, spell), "")
+    wide = F.when(F.rlike(plain, F.lit(f"[{several}]")), spelled).otherwise(plain)
     return _words(F.replace(wide, F.lit("&"), F.lit(" and ")))
 
 

@@ -225,6 +225,11 @@ def platform_list(items: Column | str, count: int = 5) -> Column:
     return F.slice(values_of(distinct_by(labels, F.lower)), 1, count)
 
 
+def merged_ids(first: Column, second: Column, count: int) -> Column:
+    """Ids of two searches, first-seen order, capped."""
+    return F.slice(F.array_distinct(F.concat(array_or_empty(first), array_or_empty(second))), 1, count)
+
+
 # --- sizes and dates -----------------------------------------------------------
 
 

@@ -38,21 +38,21 @@ def read_current(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def publish(df: DataFrame, root: str, now: datetime, ignore: list[str] = (), partition_by: list[str] = ()) -> bool:
     """Write a new generation, unless the current one holds the same rows.
 
-    Rows go into a folder of their own first; readers see them once the pointer row is
-    added. The content hash is kept with the pointer, so the old rows are not read again.
-    Returns whether anything was written.
+    Rows go into a folder of their own first and are hashed there, so ``df`` is computed
+    once; readers see them once the pointer row is added. A folder without a pointer is
+    overwritten by the next write. The content hash is kept with the pointer, so the old
+    rows are not read again. Returns whether a new generation was published.
     """
     spark = df.sparkSession
     number, folder = current(spark, root)
     target = f"{root}/generation={number + 1}"
     writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
+    measured = content_hash(spark.read.parquet(target), list(ignore)).first()
     if folder:
-        measured = content_hash(df, list(ignore)).first()
         known = spark.read.parquet(_pointer(root)).filter(F.col("generation") == number).select("rows", "content").first()
         if measured == known:
             return False
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    measured = content_hash(spark.read.parquet(target), list(ignore)).first()
     pointer = spark.createDataFrame(
         [(number + 1, now, measured["rows"], measured["content"])],
         "generation int, written_at timestamp, rows bigint, content string",
