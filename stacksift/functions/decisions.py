@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fold import let
 from .text import capped_list, collapse, strip_text, text_or_empty
 
 # --- Fixed values -----------------------------------------------------------
@@ -77,38 +78,52 @@ def parse_decision(text: Column | str, allowed: Column) -> Column:
     Reads strict, fenced or embedded JSON with synonym keys, else plain text that names
     exactly one allowed id or a null word and states a confidence.
     """
-    raw = json_object(text)
-    compact = collapse(unfenced(text))
+    seen = F.struct(
+        json_object(text).alias("raw"), collapse(unfenced(text)).alias("compact"), allowed.alias("allowed")
+    )
+    return let(let(seen, _read_answer), _checked_answer)
+
+
+def _read_answer(seen: Column) -> Column:
+    """What a response says, before any check."""
+    raw, compact, allowed = seen["raw"], seen["compact"], seen["allowed"]
 
     def field(*names: str) -> Column:
         return F.coalesce(*[F.element_at(raw, F.lit(name)) for name in names])
 
+    structured = raw.isNotNull()
     wanted = strip_text(field("candidate_id", "candidate", "id"))
-    declined = (wanted == "") | F.lower(wanted).isin(NULL_WORDS)
-    exact = F.array_contains(allowed, wanted)
-    named = F.when(raw.isNotNull(), _mentioned(wanted, allowed)).otherwise(_mentioned(compact, allowed))
-    null_word = compact.rlike(r"(?i)\b(?:candidate(?:_id)?\s*[:=]?\s*)?(?:null|none|unknown|n/a)\b")
     stated = F.regexp_extract(
         compact, r"(?i)\bconfidence(?:_score)?\s*[:=]?\s*(\d+(?:[.,]\d+)?\s*%?)", 1
     )
-    said = F.when(raw.isNotNull(), field("confidence", "confidence_score")).otherwise(
-        F.nullif(stated, F.lit(""))
+    said = F.when(structured, field("confidence", "confidence_score")).otherwise(F.nullif(stated, F.lit("")))
+    return F.struct(
+        structured.alias("structured"),
+        (compact == "").alias("empty"),
+        F.when(structured, (wanted == "") | F.lower(wanted).isin(NULL_WORDS)).otherwise(
+            compact.rlike(r"(?i)\b(?:candidate(?:_id)?\s*[:=]?\s*)?(?:null|none|unknown|n/a)\b")
+        ).alias("declined"),
+        F.when(structured & F.array_contains(allowed, wanted), wanted).alias("exact"),
+        _mentioned(F.when(structured, wanted).otherwise(compact), allowed).alias("named"),
+        said.isNotNull().alias("stated"),
+        confidence_number(said).alias("confidence"),
+        F.when(structured, collapse(field("reason", "rationale"))).otherwise(compact).alias("reason"),
     )
-    confidence = confidence_number(said)
 
-    chosen = F.when(
-        raw.isNotNull(),
-        F.when(declined, None).when(exact, wanted).when(F.size(named) == 1, F.get(named, F.lit(0))),
-    ).otherwise(F.when(F.size(named) == 1, F.get(named, F.lit(0))))
-    reason = F.when(raw.isNotNull(), collapse(field("reason", "rationale"))).otherwise(compact)
 
-    outside = raw.isNotNull() & ~declined & ~exact & (F.size(named) != 1)
+def _checked_answer(said: Column) -> Column:
+    structured, named, confidence = said["structured"], F.size(said["named"]), said["confidence"]
+    prose_choice = F.when(named == 1, F.get(said["named"], F.lit(0)))
+    chosen = F.when(structured & said["declined"], None).otherwise(F.coalesce(said["exact"], prose_choice))
     error = (
-        F.when(strip_text(text) == "", "response is empty")
-        .when(outside, "selected a candidate outside the supplied evidence")
-        .when(raw.isNull() & (F.size(named) > 1), "mentions multiple supplied candidates")
-        .when(raw.isNull() & (F.size(named) == 0) & ~null_word, "contains no usable supplied candidate")
-        .when(raw.isNull() & (stated == ""), "missing explicit confidence")
+        F.when(said["empty"], "response is empty")
+        .when(
+            structured & ~said["declined"] & said["exact"].isNull() & (named != 1),
+            "selected a candidate outside the supplied evidence",
+        )
+        .when(~structured & (named > 1), "mentions multiple supplied candidates")
+        .when(~structured & (named == 0) & ~said["declined"], "contains no usable supplied candidate")
+        .when(~structured & ~said["stated"], "missing explicit confidence")
         .when(confidence.isNull() | F.isnan(confidence), "confidence is missing or invalid")
         .when(~confidence.between(0.0, 1.0), "confidence must be between 0 and 1")
     )
@@ -116,7 +131,7 @@ def parse_decision(text: Column | str, allowed: Column) -> Column:
     return F.struct(
         F.when(ok, chosen).alias("candidate_id"),
         F.when(ok, confidence).alias("confidence"),
-        F.when(ok, F.left(reason, F.lit(REASON_CHARS))).alias("reason"),
+        F.when(ok, F.left(said["reason"], F.lit(REASON_CHARS))).alias("reason"),
         error.alias("error"),
     )
 

@@ -8,8 +8,10 @@ handed to ``translate`` as literals.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -29,6 +31,16 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once and written once into the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def lookup_table(table: dict[str, str]) -> Column:
+    """A constant map. Given as JSON, it is one literal in the plan whatever its size."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def _strip_marks(text: str) -> str:
     return "".join(ch for ch in text if not unicodedata.combining(ch))
 
@@ -101,19 +113,19 @@ def match_fold(value: Column | str) -> Column:
     only runs on rows containing one of them.
     """
     source, target, expand = _match_tables()
+    several, table = _char_class(expand), lookup_table(expand)
     text = F.coalesce(_col(value).cast("string"), F.lit(""))
-    plain = F.lower(F.translate(text, source, target))
-    pairs = [F.lit(x) for item in sorted(expand.items()) for x in item]
-    table = F.create_map(*pairs)
-    several = _char_class(expand)
-    pieces = F.regexp_extract_all(plain, F.lit(f"([{several}]|[^{several}]+)"), F.lit(1))
 
     def spell(piece: Column) -> Column:
         known = F.when(F.length(piece) == 1, F.element_at(table, piece))
         return F.coalesce(known, piece)
 
-    spelled = F.array_join(F.transform(pieces, spell), "")
-    wide = F.when(F.rlike(plain, F.lit(f"[{several}]")), spelled).otherwise(plain)
+    def widen(plain: Column) -> Column:
+        pieces = F.regexp_extract_all(plain, F.lit(f"([{several}]|[^{several}]+)"), F.lit(1))
+        spelled = F.array_join(F.transform(pieces, spell), "")
+        return F.when(F.rlike(plain, F.lit(f"[{several}]")), spelled).otherwise(plain)
+
+    wide = let(F.lower(F.translate(text, source, target)), widen)
     return _words(F.replace(wide, F.lit("&"), F.lit(" and ")))
 
 

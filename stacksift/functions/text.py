@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fold import _col, search_fold
+from .fold import _col, let, lookup_table, search_fold
 
 # --- Fixed values -----------------------------------------------------------
 SIZE_PATTERN = r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(TB|TiB|GB|GiB|MB|MiB)"
@@ -73,8 +73,10 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+def first_filled(*values: Column) -> Column:
+    """The first value that is not empty; an empty text when there is none."""
+    filled = F.filter(F.array(*values), lambda v: v != "")
+    return F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
 
 
 @lru_cache(maxsize=None)
@@ -91,11 +93,11 @@ def unescape_entities(value: Column | str) -> Column:
     piece = (
         r"&(?:#[0-9]{1,8};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + legacy + r"))|[^&]+|&"
     )
-    named = _lookup(names)
+    named = lookup_table(names)
     c1 = {}
     for code in range(0x80, 0xA0):
         c1[str(code)] = bytes([code]).decode("cp1252", errors="ignore") or chr(code)
-    c1_map = _lookup(c1)
+    c1_map = lookup_table(c1)
 
     def decode(token: Column) -> Column:
         body = F.regexp_replace(token, r"^&|;$", "")
@@ -182,15 +184,15 @@ def json_list(value: Column | str, item_chars: int = 180, count: int = 12) -> Co
 
 def clean_scalar(value: Column | str) -> Column:
     """Collapsed text; a bare entity id counts as blank."""
-    text = collapse(value)
-    return F.when(text.rlike(ENTITY_ID_PATTERN), F.lit("")).otherwise(text)
+    return F.regexp_replace(collapse(value), ENTITY_ID_PATTERN, "")
 
 
 def display_genre(value: Column | str) -> Column:
     """Genre label for the index: trailing "game" words dropped, aliases applied."""
     text = collapse(value)
     short = F.btrim(F.regexp_replace(text, r"(?i)\s+(?:video|computer)?\s*game$", ""))
-    return F.coalesce(F.element_at(_lookup(GENRE_ALIASES), F.lower(short)), short)
+    aliases = lookup_table(GENRE_ALIASES)
+    return let(short, lambda g: F.coalesce(F.element_at(aliases, F.lower(g)), g))
 
 
 def genre_label(value: Column | str) -> Column:
@@ -198,12 +200,14 @@ def genre_label(value: Column | str) -> Column:
     text = clean_scalar(value)
     for suffix in ("video game", "computer game", "game"):
         text = F.regexp_replace(text, rf"(?i)\s+{suffix}$", "")
-    text = F.btrim(text)
-    words = F.split(text, r"(?<=[-\s])")
-    capital = F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))), ""
-    )
-    return F.coalesce(F.element_at(_lookup(GENRE_ALIASES), F.lower(text)), capital)
+    aliases = lookup_table(GENRE_ALIASES)
+
+    def label(genre: Column) -> Column:
+        words = F.split(genre, r"(?<=[-\s])")
+        capital = F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30)))
+        return F.coalesce(F.element_at(aliases, F.lower(genre)), F.array_join(capital, ""))
+
+    return let(F.btrim(text), label)
 
 
 def effective_tags(*lists: Column | str) -> Column:
@@ -216,8 +220,8 @@ def effective_tags(*lists: Column | str) -> Column:
 
 
 def platform_label(value: Column | str) -> Column:
-    text = clean_scalar(value)
-    return F.coalesce(F.element_at(_lookup(PLATFORM_ALIASES), F.lower(text)), text)
+    aliases = lookup_table(PLATFORM_ALIASES)
+    return let(clean_scalar(value), lambda p: F.coalesce(F.element_at(aliases, F.lower(p)), p))
 
 
 def platform_list(items: Column | str, count: int = 5) -> Column:

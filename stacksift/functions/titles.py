@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fold import _col, match_fold
-from .text import clean_scalar, clean_tags, collapse, distinct_by, strip_text, text_or_empty, unescape_entities, values_of
+from .fold import _col, let, match_fold
+from .text import clean_scalar, clean_tags, collapse, first_filled, strip_text, unescape_entities
 
 # --- Fixed values -----------------------------------------------------------
 PACKAGE_WORDS = r"edition|bundle|collection|pack|content|soundtrack|ost|game\s+of\s+the\s+year|goty"
@@ -45,7 +45,7 @@ def _cut(value: Column, pattern: str) -> Column:
 
 def _tidy(value: Column, edge: str, fallback: Column) -> Column:
     tidy = F.btrim(F.regexp_replace(value, r"(?U)\s{2,}", " "), F.lit(edge))
-    return F.when(tidy == "", strip_text(fallback)).otherwise(tidy)
+    return first_filled(tidy, strip_text(fallback))
 
 
 def _start(title: Column) -> Column:
@@ -72,14 +72,17 @@ def conservative_title(title: Column | str) -> Column:
 
 def aggressive_title(title: Column | str) -> Column:
     """Base title: package, edition and marketing suffixes cut as well."""
-    base = conservative_title(title)
-    value = _cut(base, TRAILING_RELEASE)
-    value = _cut(
-        value, rf"\s*(?:\([^)]*(?:{PATCH_NOTES})[^)]*\)|\[[^\]]*(?:{PATCH_NOTES})[^\]]*\])\s*$"
-    )
-    value = _cut(value, rf"\s*[:–—-]\s*[^:–—]{{0,90}}\b(?:{PACKAGE_WORDS})\b\s*$")
-    value = _cut(value, rf"\s*[:–—-]\s*(?:{MARKETING_WORDS})[^:–—]{{0,80}}$")
-    return _tidy(value, " ,;:-–—", base)
+    note = rf"\s*(?:\([^)]*(?:{PATCH_NOTES})[^)]*\)|\[[^\]]*(?:{PATCH_NOTES})[^\]]*\])\s*$"
+    package = rf"\s*[:–—-]\s*[^:–—]{{0,90}}\b(?:{PACKAGE_WORDS})\b\s*$"
+    marketing = rf"\s*[:–—-]\s*(?:{MARKETING_WORDS})[^:–—]{{0,80}}$"
+
+    def base_title(base: Column) -> Column:
+        value = base
+        for pattern in (TRAILING_RELEASE, note, package, marketing):
+            value = _cut(value, pattern)
+        return _tidy(value, " ,;:-–—", base)
+
+    return let(conservative_title(title), base_title)
 
 
 def evidence_key(title: Column | str) -> Column:

@@ -12,6 +12,7 @@ from ..functions.fold import distinct_words, match_fold
 from ..functions.scoring import jaccard, match_bonus, match_score, sequence_ratio
 from ..functions.text import text_or_empty
 from ..functions.titles import aggressive_title, conservative_title, evidence_key
+from ..session import cut_lineage
 from .dedupe import top_per_key
 
 # --- Fixed values -----------------------------------------------------------
@@ -77,8 +78,8 @@ def title_pairs(left: DataFrame, right: DataFrame, share: float = MIN_SHARED_WOR
     therefore hardly ever act as join keys. With the default share no pair is lost that
     could reach the acceptance threshold on words, sequence and bonuses.
     """
-    lw = left.select("title").distinct().withColumn("words", distinct_words("title")).filter(F.size("words") > 0)
-    rw = right.select("title").distinct().withColumn("words", distinct_words("title")).filter(F.size("words") > 0)
+    lw = cut_lineage(left.select("title").distinct()).withColumn("words", distinct_words("title")).filter(F.size("words") > 0)
+    rw = cut_lineage(right.select("title").distinct()).withColumn("words", distinct_words("title")).filter(F.size("words") > 0)
     frequency = (
         lw.select(F.explode("words").alias("word"))
         .unionAll(rw.select(F.explode("words").alias("word")))
@@ -107,10 +108,19 @@ def title_pairs(left: DataFrame, right: DataFrame, share: float = MIN_SHARED_WOR
     return met.filter(jaccard(F.col("_lw"), F.col("_rw")) >= share).select("left", "right")
 
 
-def find_candidates(titles: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Evidence for every distinct ``query`` by title similarity: ``query, candidate``."""
-    asked = titles.select("query").distinct().withColumn("left", match_fold("query"))
-    known = candidates.select(match_fold("label").alias("right"), F.struct(*candidates.columns).alias("candidate"))
+def titled_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates keyed by folded label, written once for the searches that follow."""
+    return cut_lineage(
+        candidates.select(match_fold("label").alias("right"), F.struct(*candidates.columns).alias("candidate"))
+    )
+
+
+def find_candidates(titles: DataFrame, known: DataFrame) -> DataFrame:
+    """Evidence for every distinct ``query`` by title similarity: ``query, candidate``.
+
+    ``known`` comes from ``titled_candidates``.
+    """
+    asked = cut_lineage(titles.select("query").distinct().withColumn("left", match_fold("query")))
     pairs = title_pairs(
         asked.select(F.col("left").alias("title")), known.select(F.col("right").alias("title"))
     )
@@ -121,10 +131,12 @@ def two_pass(titles: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataF
     """Search by cleaned title; a ``title`` without any hit is searched once more by base title.
 
     ``find`` maps ``query`` rows to ``query, candidate`` rows: an entity table lookup, or
-    any other provider of evidence. Returns ``title, candidate``.
+    any other provider of evidence. The first answers are written before they are used,
+    because a provider may be costly and need not repeat itself. Returns
+    ``title, candidate``.
     """
     first = titles.select("title", conservative_title("title").alias("query")).distinct()
-    hits = first.join(find(first.select("query")), "query").select("title", "candidate")
+    hits = cut_lineage(first.join(find(first.select("query")), "query").select("title", "candidate"))
     missed = first.join(hits.select("title"), "title", "left_anti").withColumn("base", aggressive_title("title"))
     second = missed.filter((F.col("base") != "") & (F.lower("base") != F.lower("query"))).select(
         "title", F.col("base").alias("query")

@@ -23,6 +23,7 @@ from ...functions.titles import (
 )
 from ...operators import quality, resolve, review
 from ...operators.publish import public_evidence
+from ...session import cut_lineage
 from .. import tables
 from .registry import CATALOG, query
 
@@ -188,9 +189,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence cache of all listings, searched twice where the first search finds nothing."""
     asked = jobs(spark, sf_dir).select("title")
-    known = candidates(spark, sf_dir)
+    known = resolve.titled_candidates(candidates(spark, sf_dir))
     found = resolve.two_pass(asked, lambda titles: resolve.find_candidates(titles, known))
-    return resolve.evidence_cache(found, asked, F.lit(FETCHED))
+    return cut_lineage(resolve.evidence_cache(found, asked, F.lit(FETCHED)))
 
 
 @query(f"""
