@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fold import _col
+from .fold import _col, let
 from .text import text_or_empty
 
 # --- Fixed values -----------------------------------------------------------
@@ -91,26 +91,28 @@ def absolute(base: Column | str, link: Column | str) -> Column:
     Covers absolute, protocol-relative, root-relative, query-only and path-relative
     links, with ``.`` and one level of ``..`` segments per level of the base path.
     """
-    base, link = text_or_empty(base), F.btrim(text_or_empty(link))
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    path = F.regexp_extract(identity(base), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/.*)?$", 1)
-    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
-    joined = F.concat(folder, link)
-    for _ in range(6):
-        joined = F.regexp_replace(joined, r"/[^/?#]+/\.\./", "/")
-    joined = F.regexp_replace(F.regexp_replace(joined, r"/(?:\./)+", "/"), r"^/(?:\.\./)+", "/")
-    resolved = (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(identity(base), link))
-        .when(link.startswith("#"), F.concat(without_fragment(base), link))
-        .otherwise(F.concat(origin, joined))
-    )
-    secure = F.regexp_replace(resolved, "^http://", "https://")
-    bad = (link == "") | link.rlike(r"^(?:data|javascript):")
-    return F.when(~bad & secure.rlike(r"^https://[^/?#]+"), secure).otherwise("")
+    pair = F.struct(text_or_empty(base).alias("base"), F.btrim(text_or_empty(link)).alias("link"))
+
+    def resolve(x: Column) -> Column:
+        base, link = x["base"], x["link"]
+        origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        folder = F.regexp_extract(identity(base), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/.*/|/)?", 1)
+        joined = F.concat(F.when(folder == "", "/").otherwise(folder), link)
+        for _ in range(6):
+            joined = F.regexp_replace(joined, r"/[^/?#]+/\.\./", "/")
+        joined = F.regexp_replace(F.regexp_replace(joined, r"/(?:\./)+", "/"), r"^/(?:\.\./)+", "/")
+        return (
+            F.when((link == "") | link.rlike(r"^(?:data|javascript):"), "")
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), link))
+            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link.startswith("?"), F.concat(identity(base), link))
+            .when(link.startswith("#"), F.concat(without_fragment(base), link))
+            .otherwise(F.concat(origin, joined))
+        )
+
+    secure = F.regexp_replace(let(pair, resolve), "^http://", "https://")
+    return F.regexp_extract(secure, r"^(https://[^/?#]+.*)$", 1)
 
 
 def source_label(url: Column | str, labels: dict[str, str] = {}, suffix_labels: dict[str, str] = {}) -> Column:
@@ -135,18 +137,17 @@ def without_size_suffix(url: Column | str) -> Column:
 
 def without_resize_query(url: Column | str) -> Column:
     """Resizing keys dropped from the query of an animation URL."""
-    text = text_or_empty(url)
-    query = F.regexp_extract(text, r"\?([^#]*)", 1)
-    kept = F.array_join(
-        F.filter(
-            F.split(query, "&"), lambda kv: ~F.lower(F.substring_index(kv, "=", 1)).isin(RESIZE_KEYS)
-        ),
-        "&",
-    )
-    path = identity(text)
-    fragment = F.regexp_extract(text, r"(#.*)$", 1)
-    rebuilt = F.concat(path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), fragment)
-    return F.when(path.rlike(r"(?i)\.gif$") & (query != "") & (kept != query), rebuilt).otherwise(text)
+
+    def strip(text: Column) -> Column:
+        query = F.regexp_extract(text, r"\?([^#]*)", 1)
+        kept = F.filter(F.split(query, "&"), lambda kv: ~F.lower(F.substring_index(kv, "=", 1)).isin(RESIZE_KEYS))
+        joined = F.array_join(kept, "&")
+        rebuilt = F.concat(
+            identity(text), F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""), F.regexp_extract(text, r"(#.*)$", 1)
+        )
+        return F.when(identity(text).rlike(r"(?i)\.gif$") & (query != "") & (joined != query), rebuilt).otherwise(text)
+
+    return let(text_or_empty(url), strip)
 
 
 def srcset(value: Column | str) -> Column:

@@ -30,7 +30,8 @@ from ..functions.urls import (
     without_resize_query,
     without_size_suffix,
 )
-from ..operators.dedupe import first_per_key
+from ..operators.dedupe import first_per_key, top_per_key
+from ..session import cut_lineage
 
 # --- Fixed values -----------------------------------------------------------
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -396,8 +397,6 @@ def best_animations(candidates: DataFrame, probes: DataFrame | None = None, key:
 
     ``probes`` (``url, width, height, bytes``) is consulted for the six best candidates.
     """
-    from ..operators.dedupe import top_per_key
-
     image = [key, "pos"]
     by_tier = [F.desc("tier"), F.desc("url")]
     if probes is None:
@@ -417,7 +416,8 @@ def page_media(pages: DataFrame, probes: DataFrame | None = None, key: str = "id
     The cover and repeats are left out. A preview is kept where it differs from the full
     size.
     """
-    images = page_images(pages, key, **columns)
+    # Read by both kinds of media; written once, so that pages are parsed once.
+    images = cut_lineage(page_images(pages, key, **columns))
     named = first_per_key(
         best_animations(animation_candidates(images, key), probes, key).filter(identity("url") != F.col("cover")),
         [key],
