@@ -19,6 +19,7 @@ from ..functions.fold import (
     distinct_words,
     fold_query,
     grams_of,
+    let,
     prefixes_of,
     search_fold,
 )
@@ -171,7 +172,9 @@ def search_pool(rows: DataFrame, key: str, query: str, index: DataFrame | None =
 
 def search(rows: DataFrame, key: str, query: str, index: DataFrame | None = None) -> DataFrame:
     """Prepared rows that match a query, with their ``score``."""
-    score = query_score(query, F.col("title_fold"), F.col("text_fold"), F.col("words"))
+    # Bound once: the score names each folded text several times.
+    folded = F.struct("title_fold", "text_fold", "words")
+    score = let(folded, lambda r: query_score(query, r["title_fold"], r["text_fold"], r["words"]))
     return search_pool(rows, key, query, index).withColumn("score", score).filter(F.col("score") > 0)
 
 

@@ -247,7 +247,7 @@ def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State per user after streaming all events through the job life cycle."""
     kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
     schema = tables.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").select(
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events*.parquet").select(
         F.col("user_id").cast("string").alias("id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.element_at(kinds, F.col("event_type")).alias("kind"),

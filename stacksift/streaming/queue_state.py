@@ -63,7 +63,9 @@ class JobLifeCycle(StatefulProcessor):
 def job_states(events: DataFrame) -> DataFrame:
     """Latest state per id out of a stream of ``id, ts, kind`` events, in update mode.
 
-    Within a micro-batch an id's events are applied in time order.
+    Within a micro-batch an id's events are applied in time order, so they are held
+    together. Bound a micro-batch at the source, with ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger``.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
