@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.fold import distinct_words, match_fold, search_fold
 from ...operators import browse, light, search
+from ...session import cut_lineage
 from .. import tables
 from .registry import PREPARED, candidate_test, fold, query, query_score
 
@@ -92,7 +93,8 @@ ORDER BY score DESC, COALESCE(post_date, '1970-01-01') DESC, id LIMIT 8"""
 
 
 def _suggestions(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    rows = prepared(spark, sf_dir)
+    # Prepared rows and their index are stored tables in use; here they are written first.
+    rows = cut_lineage(prepared(spark, sf_dir))
     index = search.postings(rows, "id", "index_words")
     date = browse.or_epoch(browse.when_of("post_date"))
     return search.suggestions(rows, "id", text, date, index).select("id", "title", "score")
