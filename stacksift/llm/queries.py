@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, mixing, packing, pagetext, pii, separators, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,49 @@ FROM slim s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, counted between the separators of flat token files."""
+    return separators.document_tokens(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts and digest of the base spans, and all spans."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = found.withColumn("base", F.filter("spans", lambda s: s["base"]))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return base.select(
+        "doc_id", *[number(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, ["doc_id"]).select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    return pagetext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
