@@ -52,6 +52,8 @@ LIKELY = 0.9
 ROUNDS = 12
 #: Bound on the size of one learned potential.
 MOST_WEIGHT = 4.0
+#: Pairs that the learned pairs of kinds are mixed with, and how often the ends of their skip edges agree.
+SMOOTHING, AGREE = 20.0, 0.98
 
 OTHER = len(KINDS)
 
@@ -219,10 +221,10 @@ def learn(docs: DataFrame) -> Potentials:
 
 
 def potentials(rows) -> Potentials:
-    """Log ratios from rows of (feature, a, b, n), smoothed by one count."""
+    """Log ratios from rows of (feature, a, b, n), smoothed."""
     size = len(KINDS) + 1
     prior = np.ones(size)
-    tables = {"chain": np.ones((size, size)), "skip": np.ones((size, size))}
+    tables = {"chain": np.zeros((size, size)), "skip": np.zeros((size, size))}
     features: dict[str, np.ndarray] = {}
     for feature, a, b, n in rows:
         if feature == "prior":
@@ -237,16 +239,16 @@ def potentials(rows) -> Potentials:
         # P(kind | feature) against P(kind), drawn to the prior where counts are few.
         unary[feature] = np.clip(np.log((n + share) / (n.sum() + 1) / share), -MOST_WEIGHT, MOST_WEIGHT)
 
-    def ratio(table: np.ndarray) -> np.ndarray:
+    def ratio(table: np.ndarray, most: float) -> np.ndarray:
         both = table + table.T
         both = both / both.sum()
-        alone = both.sum(1)
-        return np.clip(np.log(both / np.outer(alone, alone)), -MOST_WEIGHT, MOST_WEIGHT)
+        return np.clip(np.log(both / np.outer(share, share)), -most, most)
 
-    # Equal content is the same kind: the diagonal of the skip table is never below that of chance.
-    skip = ratio(tables["skip"])
-    np.fill_diagonal(skip, np.maximum(skip.diagonal(), 1.0))
-    return Potentials(unary, np.log(share), ratio(tables["chain"]), skip)
+    # Without counts, neighbours on the chain are independent and ends of skip edges mostly agree.
+    alone = np.outer(share, share)
+    chain = tables["chain"] + SMOOTHING * alone
+    skip = tables["skip"] + SMOOTHING * (AGREE * np.diag(share) + (1 - AGREE) * alone)
+    return Potentials(unary, np.log(share), ratio(chain, MOST_WEIGHT), ratio(skip, 2 * MOST_WEIGHT))
 
 
 def beliefs(nodes: list[Node], model: Potentials, rounds: int = ROUNDS) -> np.ndarray:

@@ -129,7 +129,7 @@ def prefix_scan(scanned: DataFrame) -> DataFrame:
     """Blocks with ``base`` tokens and ``before`` documents ahead, and where the open document began."""
     sums = scanned.select(
         "file", "block", F.floor(F.col("block") / CHUNK_BLOCKS).alias("chunk"), "tokens",
-        F.size("ends").cast("long").alias("ended"), F.element_at("ends", -1).alias("last"),
+        F.size("ends").cast("long").alias("ended"), F.try_element_at("ends", F.lit(-1)).alias("last"),
     )
     inside = Window.partitionBy("file", "chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select(
@@ -167,7 +167,7 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> Dat
     )
     tails = placed.groupBy("file").agg(
         F.sum(F.size("ends").cast("long")).alias("ordinal"),
-        F.coalesce(F.max(F.col("base") + F.element_at("ends", -1) + 1), F.lit(0)).alias("start"),
+        F.coalesce(F.max(F.col("base") + F.try_element_at("ends", F.lit(-1)) + 1), F.lit(0)).alias("start"),
         F.max(F.col("base") + F.col("tokens")).alias("stop"), F.lit(False).alias("ended"),
     ).filter(F.col("stop") > F.col("start"))
     return ended.unionByName(tails).select(
