@@ -7,10 +7,10 @@ has met. Only pairs with an edge that is new since the last round are looked at.
 when few edges change.
 
 A search keeps the best nodes that a query has met and opens the nearest ones that are not
-opened yet, all queries in step, until the best are open. Scores in the graph and in the
-search are inner products of half-precision vectors with one more component that makes all
-lengths equal, so the nearest by angle is the largest inner product; what is found is scored
-again exactly, in double precision.
+opened yet, all queries in step, until the best are open. Vectors have half precision there
+and one more component that makes all lengths equal: the graph links the nearest by angle,
+and a query, whose own component is zero, ranks them by inner product. What is found is
+scored again exactly, in double precision.
 
 Rows are sorted and dealt by node or by query, at most 2 * K or a bounded front each, so
 no task holds a group of unbounded size. The vectors of a join are sent to all executors
@@ -258,13 +258,15 @@ def greedy_search(vectors: Vectors, edges: DataFrame, queries: DataFrame, steps:
             at = _starts(keys)
             out = ([], [], [], [])
             for a, b in zip(at[:-1], at[1:]):
-                score = vecs[a:b] @ vecs[a + int(np.argmax(nodes[a:b] == keys[a]))]
+                home = int(np.argmax(nodes[a:b] == keys[a]))
+                query = vecs[a + home].copy()
+                query[-1] = 0  # so that scores are inner products
+                score = vecs[a:b] @ query
                 # Rows of the state come first, so a node that is met again keeps its mark.
                 order = np.lexsort((np.isnan(known[a:b]), nodes[a:b]))
                 own = nodes[a:b][order]
                 first = order[np.r_[True, own[1:] != own[:-1]]]
                 best = first[np.argsort(-score[first], kind="stable")[:KEEP]]
-                home = int(np.argmax(nodes[a:b] == keys[a]))
                 if home not in best:
                     best = np.r_[best, home]
                 for column, values in zip(out, (keys[a:b], nodes[a:b], score.astype(np.float32), opened[a:b])):
