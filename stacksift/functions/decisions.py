@@ -56,7 +56,9 @@ def json_object(text: Column | str) -> Column:
     def read(part: Column) -> Column:
         return F.when(F.try_parse_json(part).isNotNull(), F.from_json(part, "map<string,string>"))
 
-    return F.coalesce(F.when(value.startswith("{"), read(value)), F.when(inner != "", read(inner)))
+    # An object inside prose counts; one inside other JSON, such as a list, does not.
+    prose = F.try_parse_json(value).isNull()
+    return F.coalesce(F.when(value.startswith("{"), read(value)), F.when(prose & (inner != ""), read(inner)))
 
 
 def confidence_number(text: Column) -> Column:

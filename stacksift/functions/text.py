@@ -120,11 +120,14 @@ def unescape_entities(value: Column | str) -> Column:
 
 # --- lists -------------------------------------------------------------------
 
+#: More items than an array holds.
+MANY = 1 << 30
 
-def distinct_by(items: Column, key) -> Column:
-    """First item of every distinct non-empty ``key(item)``, order kept.
 
-    Returns ``array<struct<key, value>>``.
+def distinct_by(items: Column, key, count: int = MANY) -> Column:
+    """First item of every distinct non-empty ``key(item)``, order kept, ``count`` at most.
+
+    Returns ``array<struct<key, value>>``. Items after the ``count``-th are not compared.
     """
     keyed = F.transform(items, lambda x: F.struct(key(x).alias("key"), x.alias("value")))
     empty = F.slice(keyed, 1, 0)
@@ -132,7 +135,7 @@ def distinct_by(items: Column, key) -> Column:
         keyed,
         empty,
         lambda acc, x: F.when(
-            (x["key"] == "") | F.exists(acc, lambda seen: seen["key"] == x["key"]), acc
+            (F.size(acc) >= count) | (x["key"] == "") | F.exists(acc, lambda seen: seen["key"] == x["key"]), acc
         ).otherwise(F.array_append(acc, x)),
     )
 
@@ -170,11 +173,11 @@ def capped_list(items: Column, item_chars: int, count: int) -> Column:
     kept = F.aggregate(
         stripped,
         F.array().cast("array<string>"),
-        lambda acc, x: F.when((x == "") | F.array_contains(acc, x), acc).otherwise(
+        lambda acc, x: F.when((F.size(acc) >= count) | (x == "") | F.array_contains(acc, x), acc).otherwise(
             F.array_append(acc, F.left(x, F.lit(item_chars)))
         ),
     )
-    return F.slice(kept, 1, count)
+    return kept
 
 
 def json_list(value: Column | str, item_chars: int = 180, count: int = 12) -> Column:
@@ -226,7 +229,7 @@ def platform_label(value: Column | str) -> Column:
 
 def platform_list(items: Column | str, count: int = 5) -> Column:
     labels = F.transform(array_or_empty(items), platform_label)
-    return F.slice(values_of(distinct_by(labels, F.lower)), 1, count)
+    return values_of(distinct_by(labels, F.lower, count))
 
 
 def merged_ids(first: Column, second: Column, count: int) -> Column:
@@ -282,7 +285,7 @@ def compact_lines(value: Column | str, headings: list[str] | None = None, limit:
     )
     if headings:
         lines = F.filter(lines, lambda line: ~F.lower(line).isin(headings))
-    kept = F.slice(values_of(distinct_by(lines, F.lower)), 1, limit)
+    kept = values_of(distinct_by(lines, F.lower, limit))
     return F.transform(kept, lambda line: F.left(line, F.lit(500)))
 
 

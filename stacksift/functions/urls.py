@@ -85,11 +85,24 @@ def post_url(url: Column | str, host: str | None = None) -> Column:
     return F.when(ok, F.concat(F.lit("https://"), site, F.lit("/"), path, F.lit("/")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments carried out."""
+    segments = F.split(path, "/", -1)
+    last = F.element_at(segments, -1)
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(segment == "..", up).when(segment == ".", kept).otherwise(F.array_append(kept, segment))
+
+    done = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.concat(F.array_join(done, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
 def absolute(base: Column | str, link: Column | str) -> Column:
     """Resolve ``link`` against ``base`` and force https; empty for other schemes.
 
     Covers absolute, protocol-relative, root-relative, query-only and path-relative
-    links, with ``.`` and one level of ``..`` segments per level of the base path.
+    links. Each ``..`` goes up one level, any number of them to the root at most.
     """
     pair = F.struct(text_or_empty(base).alias("base"), F.btrim(text_or_empty(link)).alias("link"))
 
@@ -98,9 +111,8 @@ def absolute(base: Column | str, link: Column | str) -> Column:
         origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
         folder = F.regexp_extract(identity(base), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/.*/|/)?", 1)
         joined = F.concat(F.when(folder == "", "/").otherwise(folder), link)
-        for _ in range(6):
-            joined = F.regexp_replace(joined, r"/[^/?#]+/\.\./", "/")
-        joined = F.regexp_replace(F.regexp_replace(joined, r"/(?:\./)+", "/"), r"^/(?:\.\./)+", "/")
+        tail = F.regexp_extract(joined, r"(?s)^[^?#]*(.*)$", 1)
+        joined = F.concat(_without_dots(F.regexp_extract(joined, r"^([^?#]*)", 1)), tail)
         return (
             F.when((link == "") | link.rlike(r"^(?:data|javascript):"), "")
             .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)

@@ -23,8 +23,8 @@ SIGNAL_POINTS = {"genres": 3, "size": 3, "image": 1, "description": 2, "media":
 EXACT_REASON = "audited-editorial"
 # -----------------------------------------------------------------------------
 
-# Above this a pattern tier no longer belongs into one generated expression.
-MAX_PATTERNS = 2000
+# Patterns of a tier that go into one generated expression.
+PATTERNS_PER_CASE = 200
 
 
 class Rule(NamedTuple):
@@ -61,21 +61,20 @@ def signal_score(names: Column) -> Column:
 def pattern_reason(title: Column, rules: Iterable[Rule], tier: str) -> Column:
     """Reason of the first matching pattern of a tier, by priority; null when none matches."""
     chosen = sorted((r for r in rules if r.tier == tier), key=lambda r: r.priority)
-    if len(chosen) > MAX_PATTERNS:
-        raise ValueError(f"{len(chosen)} {tier} patterns; split the tier or use exact titles")
-    result = F.lit(None).cast("string")
-    for rule in reversed(chosen):
-        result = F.when(title.rlike("(?i)" + rule.pattern), rule.reason).otherwise(result)
-    return result
+    parts = [F.lit(None).cast("string")]
+    for start in range(0, len(chosen), PATTERNS_PER_CASE):
+        tests = [(title.rlike("(?i)" + r.pattern), r.reason) for r in chosen[start : start + PATTERNS_PER_CASE]]
+        case = F.when(*tests[0])
+        for test, reason in tests[1:]:
+            case = case.when(test, reason)
+        parts.append(case)
+    return F.coalesce(*parts)
 
 
 def collect_rules(table: DataFrame) -> list[Rule]:
     """Pattern rules of a rule table. Exact titles stay in the table."""
     patterns = table.filter(F.col("tier") != "exact").select("tier", "priority", "pattern", "reason")
-    rows = patterns.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError("too many pattern rules for one expression")
-    return [Rule(*row) for row in rows]
+    return [Rule(*row) for row in patterns.collect()]
 
 
 def title_key(title: Column | str) -> Column:

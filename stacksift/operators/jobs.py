@@ -28,9 +28,10 @@ def sync_jobs(catalog: DataFrame, jobs: DataFrame, now: datetime) -> DataFrame:
 
     Adds ``outcome``: ``created``, ``changed`` (new fingerprint), ``recovered`` (was being
     processed, or had been removed), ``unchanged`` or ``removed``. Results of changed and
-    recovered ids are void, see ``void_results``.
+    recovered ids are void, see ``void_results``. Of a repeated id the row with the
+    smallest title and fingerprint counts.
     """
-    new = catalog.select("id", F.struct("title", "fingerprint").alias("_new"))
+    new = catalog.groupBy("id").agg(F.min(F.struct("title", "fingerprint")).alias("_new"))
     both = new.join(jobs, "id", "full_outer")
     stamp = F.lit(now).cast("timestamp")
     outcome = (

@@ -41,7 +41,7 @@ def source_fields(catalog: DataFrame) -> DataFrame:
     features = F.transform(
         array_or_empty(F.col("details.features")),
         lambda text, i: F.struct(
-            F.concat(F.lit(FEATURE_PREFIX), F.lpad(i.cast("string"), 4, "0")).alias("key"),
+            F.concat(F.lit(FEATURE_PREFIX), F.format_string("%04d", i)).alias("key"),
             collapse(text).alias("text"),
             F.lit(MIN_FEATURE).alias("least"),
         ),
@@ -80,10 +80,11 @@ def sync_fields(wanted: DataFrame, jobs: DataFrame, now: datetime) -> DataFrame:
     """Next state of the field queue, with ``outcome``: queued, changed, unchanged or dropped.
 
     A field changes with its fingerprint or the worker version. Dropped fields turn
-    inactive and keep everything else.
+    inactive and keep everything else. Of a repeated field the row with the smallest
+    values counts.
     """
     fields = ["fingerprint", "source_sha256", "source_text", "terms", "worker_version"]
-    new = wanted.select("id", "field_key", F.struct(*fields).alias("_new"))
+    new = wanted.groupBy("id", "field_key").agg(F.min(F.struct(*fields)).alias("_new"))
     both = new.join(jobs, ["id", "field_key"], "full_outer")
     differs = (F.col("fingerprint") != F.col("_new.fingerprint")) | (
         F.col("worker_version") != F.col("_new.worker_version")
@@ -130,7 +131,7 @@ def protect(sentence: Column, terms: Column) -> Column:
     )
 
     def replace(acc: Column, term: Column) -> Column:
-        mark = F.concat(F.lit("ZXQ"), F.lpad((F.size(acc["marks"]) + 1).cast("string"), 2, "0"), F.lit("QXZ"))
+        mark = F.format_string("ZXQ%02dQXZ", F.size(acc["marks"]) + 1)
         pair = F.struct(mark.alias("mark"), term.alias("term"))
         replaced = F.struct(
             F.replace(acc["text"], term, mark).alias("text"), F.array_append(acc["marks"], pair).alias("marks")

@@ -20,13 +20,18 @@ DOMAIN_ID = "Q7889"
 DOMAIN_PHRASE = "video game"
 THRESHOLD, MARGIN = 0.90, 0.08
 MIN_SHARED_WORDS = 0.4
-CANDIDATE_LIMIT = 5
 PROPERTIES = {"genres": "P136", "developers": "P178", "publishers": "P123", "platforms": "P400"}
 TYPE_PROPERTY, DATE_PROPERTY = "P31", "P577"
 NO_EVIDENCE = "no metadata evidence found"
 DECISION_FORMAT = "ambiguous metadata match: best=%.3f, second=%.3f, game_like=%d, complete=%d"
 # -----------------------------------------------------------------------------
 
+#: A title that contains another and shares few words comes within the margin of an accepted
+#: score only with a sequence ratio over 0.84, so it is at most this much longer.
+LONGEST_CONTAINING = 1.4
+#: Rows of one word that one task joins; words with more are split.
+HOT_WORD = 20_000
+
 
 # --- candidates ------------------------------------------------------------------
 
@@ -74,9 +79,10 @@ def title_pairs(left: DataFrame, right: DataFrame, share: float = MIN_SHARED_WOR
 
     Both inputs have a column ``title`` of folded titles. An exact set-similarity join:
     words are ordered rarest first over both sides, and two titles that overlap enough
-    must meet in the first ``n - ceil(share * n) + 1`` words of each. Frequent words
-    therefore hardly ever act as join keys. With the default share no pair is lost that
-    could reach the acceptance threshold on words, sequence and bonuses.
+    must meet in the first ``n - ceil(share * n) + 1`` words of each. Short titles still
+    meet at frequent words; a word of more than ``HOT_WORD`` titles is split by a hash of
+    the left title. With the default share the pairs that are left out and can come within
+    the margin of an accepted one contain each other, see ``contained_pairs``.
     """
     lw = cut_lineage(left.select("title").distinct()).withColumn("words", distinct_words("title")).filter(F.size("words") > 0)
     rw = cut_lineage(right.select("title").distinct()).withColumn("words", distinct_words("title")).filter(F.size("words") > 0)
@@ -97,17 +103,54 @@ def title_pairs(left: DataFrame, right: DataFrame, share: float = MIN_SHARED_WOR
         n = F.size("ranked")
         depth = n - F.ceil(n * share - 1e-9).cast("int") + 1
         words = F.transform("ranked", lambda r: r["word"])
-        head = ranked.select("title", words.alias("words"), F.slice(words, F.lit(1), depth).alias("head"))
-        return head.select("*", F.explode("head").alias("word"))
+        head = ranked.select(
+            "title", words.alias("words"), F.slice(words, F.lit(1), depth).alias("head"), F.slice("ranked", F.lit(1), depth).alias("keys")
+        )
+        keyed = head.select("title", "words", "head", F.explode("keys").alias("key"))
+        parts = F.ceil(F.col("key.df") / HOT_WORD)
+        return keyed.select("title", "words", "head", F.col("key.word").alias("word"), parts.alias("parts"))
 
-    a = heads(lw).select("word", F.col("title").alias("left"), F.col("words").alias("_lw"), F.col("head").alias("_lh"))
-    b = heads(rw).select("word", F.col("title").alias("right"), F.col("words").alias("_rw"), F.col("head").alias("_rh"))
+    a = heads(lw).select(
+        "word", F.pmod(F.xxhash64("title"), F.col("parts")).alias("part"),
+        F.col("title").alias("left"), F.col("words").alias("_lw"), F.col("head").alias("_lh"),
+    )
+    b = heads(rw).select(
+        "word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+        F.col("title").alias("right"), F.col("words").alias("_rw"), F.col("head").alias("_rh"),
+    )
     first_meeting = F.get(F.array_intersect("_lh", "_rh"), F.lit(0)) == F.col("word")
     sizes = (F.size("_lw") >= F.size("_rw") * share) & (F.size("_rw") >= F.size("_lw") * share)
-    met = a.join(b, "word").filter(sizes & first_meeting)
+    met = a.join(b, ["word", "part"]).filter(sizes & first_meeting)
     return met.filter(jaccard(F.col("_lw"), F.col("_rw")) >= share).select("left", "right")
 
 
+def contained_pairs(left: DataFrame, right: DataFrame, longest: float = LONGEST_CONTAINING) -> DataFrame:
+    """Pairs of distinct folded titles of which one contains the other: ``left, right``.
+
+    The longer one has at most ``longest`` times the letters. The shorter title is keyed by
+    the rarest of its 3-grams, the longer one by all of its own. Titles under three letters
+    are left out; ``title_pairs`` has them where they are equal.
+    """
+
+    def grams(side: DataFrame) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.length("title") - 2)
+        found = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("title"), i, F.lit(3))))
+        return cut_lineage(side.select("title").distinct().filter(F.length("title") >= 3)).select("title", F.explode(found).alias("gram"))
+
+    def inside(short: DataFrame, long: DataFrame) -> DataFrame:
+        frequency = long.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        keyed = short.join(frequency, "gram", "left").groupBy(F.col("title").alias("short")).agg(
+            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("key")
+        )
+        fits = (F.length("title") <= F.length("short") * longest) & F.col("title").contains(F.col("short"))
+        return keyed.select("short", F.col("key.gram").alias("gram")).join(long, "gram").filter(fits).select("short", F.col("title").alias("long"))
+
+    a, b = grams(left), grams(right)
+    one = inside(a, b).select(F.col("short").alias("left"), F.col("long").alias("right"))
+    two = inside(b, a).select(F.col("long").alias("left"), F.col("short").alias("right"))
+    return one.unionByName(two).distinct()
+
+
 def titled_candidates(candidates: DataFrame) -> DataFrame:
     """Candidates keyed by folded label, written once for the searches that follow."""
     return cut_lineage(
@@ -116,14 +159,14 @@ def titled_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def find_candidates(titles: DataFrame, known: DataFrame) -> DataFrame:
-    """Evidence for every distinct ``query`` by title similarity: ``query, candidate``.
+    """Evidence for every distinct ``query``: ``query, candidate``.
 
-    ``known`` comes from ``titled_candidates``.
+    ``known`` comes from ``titled_candidates``. Every candidate is listed that can be
+    accepted, or come so near to an accepted one that the choice is not clear.
     """
     asked = cut_lineage(titles.select("query").distinct().withColumn("left", match_fold("query")))
-    pairs = title_pairs(
-        asked.select(F.col("left").alias("title")), known.select(F.col("right").alias("title"))
-    )
+    left, right = asked.select(F.col("left").alias("title")), known.select(F.col("right").alias("title"))
+    pairs = title_pairs(left, right).unionByName(contained_pairs(left, right)).distinct()
     return asked.join(pairs, "left").join(known, "right").select("query", "candidate")
 
 
@@ -255,24 +298,16 @@ def decide(
 # --- evidence cache --------------------------------------------------------------
 
 
-def evidence_cache(found: DataFrame, titles: DataFrame, fetched_at: Column, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+def evidence_cache(found: DataFrame, titles: DataFrame, fetched_at: Column) -> DataFrame:
     """Cache rows ``search_title, evidence`` for searched titles; no hit is an empty list.
 
-    A list holds the ``limit`` best candidates by match score, as a search service with a
-    result limit returns them. Best candidate and runner-up are always among them, so no
-    decision depends on the limit.
+    A list holds all candidates that were found, best match score first.
     """
     keys = [evidence_key("title").alias("search_title"), match_fold(aggressive_title("title")).alias("asked")]
     pairs = found.select(F.struct(*keys).alias("id"), keys[1].alias("title"), "candidate")
-    best = top_per_key(
-        scored_pairs(pairs.withColumn("pos", F.lit(0))),
-        ["id"],
-        [F.desc("score"), F.col("candidate.id"), F.col("candidate.url")],
-        limit,
-    )
-    lists = best.groupBy(F.col("id.search_title").alias("search_title")).agg(
-        F.array_sort(F.collect_set(F.struct("rank", "candidate"))).alias("ranked")
-    )
+    scored = scored_pairs(pairs.withColumn("pos", F.lit(0)))
+    order = F.struct((-F.col("score")).alias("least"), F.col("candidate.id").alias("key"), F.col("candidate.url").alias("url"), "candidate")
+    lists = scored.groupBy(F.col("id.search_title").alias("search_title")).agg(F.array_sort(F.collect_set(order)).alias("ranked"))
     evidence = F.array_distinct(F.transform("ranked", lambda x: x["candidate"]))
     lists = lists.select("search_title", evidence.alias("evidence"))
     asked = titles.select(evidence_key("title").alias("search_title")).distinct()

@@ -21,6 +21,7 @@ NO_CACHED_EVIDENCE = "no cached evidence"
 NO_COMPLETE_CANDIDATE = "no complete candidate of the wanted type"
 BELOW_THRESHOLD = "declined or confidence below threshold"
 FAILED_REQUEST = "request or validation error"
+NO_RESPONSE = "no response"
 # -----------------------------------------------------------------------------
 
 
@@ -68,17 +69,18 @@ def requests(eligible: DataFrame) -> DataFrame:
 def outcomes(eligible: DataFrame, responses: DataFrame, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
     """State rows after a round: resolved, unresolved, ineligible or error.
 
-    Jobs without a response are left for a later round.
+    ``eligible`` holds the jobs of this round. One that was asked and got no response is
+    an error, so that its attempts are counted.
     """
     answered = eligible.join(responses.select("id", "response"), "id", "left")
     parsed = parse_decision("response", F.transform("candidates", lambda c: c["id"]))
     read = answered.withColumn("d", F.when(F.col("ineligible").isNull() & F.col("response").isNotNull(), parsed))
-    read = read.filter(F.col("ineligible").isNotNull() | F.col("d").isNotNull())
     d = F.col("d")
+    silent = F.col("ineligible").isNull() & F.col("response").isNull()
     resolved = d["error"].isNull() & d["candidate_id"].isNotNull() & (d["confidence"] >= threshold)
     status = (
         F.when(F.col("ineligible").isNotNull(), "ineligible")
-        .when(d["error"].isNotNull(), "error")
+        .when(silent | d["error"].isNotNull(), "error")
         .when(resolved, "resolved")
         .otherwise("unresolved")
     )
@@ -92,11 +94,7 @@ def outcomes(eligible: DataFrame, responses: DataFrame, threshold: float = REVIE
         (F.coalesce("review_attempts", F.lit(0)) + 1).alias("attempts"),
         d["candidate_id"].alias("candidate_id"),
         d["confidence"].alias("confidence"),
-        F.coalesce("ineligible", F.when(d["error"].isNotNull(), FAILED_REQUEST), said).alias("reason"),
-        F.left(d["error"], F.lit(ERROR_CHARS)).alias("last_error"),
+        F.coalesce("ineligible", F.when(silent | d["error"].isNotNull(), FAILED_REQUEST), said).alias("reason"),
+        F.left(F.when(silent, NO_RESPONSE).otherwise(d["error"]), F.lit(ERROR_CHARS)).alias("last_error"),
         F.when(status == "resolved", chosen).alias("candidate"),
     )
-
-
-def state_rows(decided: DataFrame, attempted_at: Column) -> DataFrame:
-    return decided.drop("candidate").withColumn("attempted_at", attempted_at)

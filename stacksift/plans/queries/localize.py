@@ -120,7 +120,7 @@ _FIELDS = f"""
 f AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, source, lang, 'description' AS field_key, {collapse('text')} AS s, 40 AS least FROM documents
   UNION ALL
-  SELECT CAST(doc_id AS VARCHAR), source, lang, 'game_feature:' || lpad(CAST(i - 1 AS VARCHAR), 4, '0'), {collapse('line')}, 12
+  SELECT CAST(doc_id AS VARCHAR), source, lang, 'game_feature:' || printf('%04d', i - 1), {collapse('line')}, 12
   FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 fields AS (SELECT *, sha256(s) AS sha FROM f WHERE length(s) >= least AND {_english('s')})"""

@@ -180,6 +180,40 @@ def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.title_pairs(left, right)
 
 
+def near_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Part names, and the same with letters around them or less of them."""
+    names = tables.table(spark, sf_dir, "part").select("p_partkey", match_fold("p_name").alias("title"))
+    kind = F.pmod("p_partkey", F.lit(4))
+    changed = (
+        F.when(kind == 0, F.concat(F.lit("w"), "title", F.lit("y")))
+        .when(kind == 1, F.substring("title", 2, 1000))
+        .when(kind == 2, F.concat("title", F.lit(" "), "title"))
+        .otherwise(F.col("title"))
+    )
+    return names.select("title"), names.select(changed.alias("title"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT p_name AS l FROM part),
+r AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'w' || p_name || 'y' WHEN 1 THEN substr(p_name, 2)
+        WHEN 2 THEN p_name || ' ' || p_name ELSE p_name END AS r FROM part),
+pairs AS (
+  SELECT l, r, list_distinct(string_split(trim(l), ' ')) AS lw, list_distinct(string_split(trim(r), ' ')) AS rw FROM l, r),
+seen AS (
+  SELECT l, r, len(list_intersect(lw, rw)) / len(list_distinct(list_concat(lw, rw))) AS share,
+         contains(l, r) OR contains(r, l) AS contained FROM pairs)
+SELECT l AS "left", r AS "right", share >= 0.4 AS by_words, l = r AS exact, contained
+FROM seen WHERE share >= 0.4 OR (contained AND greatest(length(l), length(r)) <= 1.4 * least(length(l), length(r)))""")
+def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs of titles: by shared words, or by one containing the other."""
+    left, right = near_titles(spark, sf_dir)
+    by_words = resolve.title_pairs(left, right).withColumn("by_words", F.lit(True))
+    pairs = by_words.join(resolve.contained_pairs(left, right), ["left", "right"], "full_outer")
+    a, b = F.col("left"), F.col("right")
+    return pairs.select("left", "right", F.coalesce("by_words", F.lit(False)).alias("by_words"), (a == b).alias("exact"),
+                        (a.contains(b) | b.contains(a)).alias("contained"))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part listings: canonical name plus an edition suffix."""
     title = F.concat(F.initcap(F.concat_ws(" ", "p_type", "p_name")), F.lit(": Ultimate Edition"))
@@ -196,13 +230,14 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {CATALOG}
-SELECT CAST(p_partkey AS VARCHAR) AS id, lower(p_type || ' ' || p_name) IN (SELECT canonical_title FROM verified) AS accepted,
-       CASE WHEN lower(p_type || ' ' || p_name) IN (SELECT canonical_title FROM verified) THEN 'done' ELSE 'review' END AS outcome
-FROM part""")
+SELECT CAST(p_partkey AS VARCHAR) AS id, best IS NOT NULL AS accepted,
+       CASE WHEN best IS NOT NULL THEN 'done' ELSE 'review' END AS outcome, best AS chosen_id
+FROM part LEFT JOIN (SELECT canonical_title, min('Q' || id) AS best FROM verified GROUP BY canonical_title)
+     ON canonical_title = lower(p_type || ' ' || p_name)""")
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings whose base title is that of a complete entity are accepted; all others go to review."""
     decided = resolve.decide(jobs(spark, sf_dir), evidence(spark, sf_dir))
-    return decided.select("id", "accepted", "outcome")
+    return decided.select("id", "accepted", "outcome", F.col("candidate.id").alias("chosen_id"))
 
 
 @query()
@@ -357,11 +392,11 @@ w AS (SELECT CAST(p_partkey AS VARCHAR) AS id, lower(p_type || ' ' || p_name) AS
 top AS (SELECT w.*, (SELECT min(v.id) FROM verified v WHERE v.canonical_title = w.t) AS best FROM w)
 SELECT id, CASE WHEN best IS NULL THEN 'other' WHEN p_size >= 25 THEN 'resolved' ELSE 'unresolved' END AS status,
        CASE WHEN p_type = 'PROMO' THEN p_size % 5 + 1 ELSE 1 END AS attempts
-FROM top WHERE best IS NOT NULL""")
+FROM top""")
 def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A review round whose decisions take the first candidate, surely for large parts only.
 
-    Listed are the jobs that have an entity of exactly their base title.
+    The status of jobs without an entity of exactly their base title is given as other.
     """
     waiting = review.work(review_jobs(spark, sf_dir), review_state(spark, sf_dir))
     catalog = tables.catalog(spark, sf_dir)
@@ -375,5 +410,6 @@ def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.lit('{"candidate_id":"'), first, F.lit('","confidence":'), F.when(F.col("sure"), "0.95").otherwise("0.9"), F.lit("}"))
     decided = review.outcomes(eligible, asked.select("id", answer.alias("response")))
     exact = tables.verified(spark, sf_dir).select(F.col("canonical_title").alias("base")).distinct()
-    named = sure.join(exact, "base", "left_semi").select("id")
-    return decided.join(named, "id", "left_semi").select("id", "status", "attempts")
+    named = sure.join(exact, "base", "left_semi").select("id", F.lit(True).alias("named"))
+    status = F.when(F.col("named"), F.col("status")).otherwise("other")
+    return decided.join(named, "id", "left").select("id", status.alias("status"), "attempts")

@@ -47,7 +47,8 @@ def run_batch(spark: SparkSession, root: str, find: Find, n: int, now: datetime)
     claimed, in_work = queue.claim(read_current(spark, f"{root}/jobs", JOBS), n, now)
     publish(in_work, f"{root}/jobs", now)
     working = read_current(spark, f"{root}/jobs", JOBS)
-    mine = working.filter("active and status = 'processing'").select("id", "title")
+    own = claimed.select("id").distinct()
+    mine = working.filter("active and status = 'processing'").join(own, "id", "left_semi").select("id", "title")
 
     cache = read_current(spark, f"{root}/cache", EVIDENCE_CACHE)
     looked_up = resolve.cache_lookup(mine, cache)
@@ -98,7 +99,7 @@ def review_round(
     spark: SparkSession, catalog: DataFrame, root: str, answer: Callable[[DataFrame], DataFrame],
     n: int, now: datetime, threshold: float = review.REVIEW_THRESHOLD,
 ) -> dict:
-    """One second-stage round over at most ``n`` jobs, unless the first stage has work.
+    """One second-stage round of at most ``n`` decisions, unless the first stage has work.
 
     ``answer`` maps request rows to ``id, response`` rows.
     """
@@ -106,9 +107,11 @@ def review_round(
     if queue.stage_counts(jobs).first()["busy"]:
         return {"yielded": True}
     state = read_current(spark, f"{root}/review", REVIEW_STATE)
-    waiting = review.work(jobs, state).orderBy(*review.work_order()).limit(n)
     cache = read_current(spark, f"{root}/cache", EVIDENCE_CACHE)
-    eligible = review.eligibility(waiting, catalog, cache)
+    judged = review.eligibility(review.work(jobs, state), catalog, cache)
+    # Only decisions count towards the limit; jobs that can't be decided are all recorded.
+    asked = judged.filter(F.col("ineligible").isNull()).orderBy(*review.work_order()).limit(n)
+    eligible = asked.unionByName(judged.filter(F.col("ineligible").isNotNull()))
     stamp = F.lit(now).cast("timestamp")
     # Answers may be costly and need not be repeatable: they are stored before they are used.
     publish(answer(review.requests(eligible)).select("id", "response"), f"{root}/responses", now)

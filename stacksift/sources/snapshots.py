@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,45 @@ from ..operators.dedupe import repeated_keys
 from ..operators.publish import content_hash
 
 
+POINTER = "generation int, folder string, written_at timestamp, rows bigint, content string"
+#: Generations that stay, for readers that have begun.
+KEPT = 4
+#: Records in a detail file, about.
+DETAIL_ROWS = 50_000
+
+
 def _pointer(root: str) -> str:
     return f"{root}/pointer"
 
 
+def _path(spark: SparkSession, path: str):
+    """Hadoop path and file system of a folder, wherever it is stored."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    there, files = _path(spark, path)
+    return files.exists(there)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    there, files = _path(spark, path)
+    files.delete(there, True)
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(POINTER).parquet(_pointer(root))
+
+
 def current(spark: SparkSession, root: str) -> tuple[int, str | None]:
     """Number and folder of the current generation; ``(0, None)`` before the first write."""
-    try:
-        rows = spark.read.schema("generation int, written_at timestamp, rows bigint, content string").parquet(_pointer(root))
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return 0, None
-        raise
-    number = rows.agg(F.max("generation")).first()[0]
-    return (number, f"{root}/generation={number}") if number else (0, None)
+    if not path_exists(spark, _pointer(root)):
+        return 0, None
+    # Of two writers of one generation, the one with the smaller folder name holds it.
+    held = _pointers(spark, root).groupBy("generation").agg(F.min("folder").alias("folder"))
+    newest = held.agg(F.max(F.struct("generation", "folder")).alias("n")).first()["n"]
+    return (newest["generation"], f"{root}/{newest['folder']}") if newest else (0, None)
 
 
 def read_current(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -39,25 +65,28 @@ def publish(df: DataFrame, root: str, now: datetime, ignore: list[str] = (), par
     """Write a new generation, unless the current one holds the same rows.
 
     Rows go into a folder of their own first and are hashed there, so ``df`` is computed
-    once; readers see them once the pointer row is added. A folder without a pointer is
-    overwritten by the next write. The content hash is kept with the pointer, so the old
-    rows are not read again. Returns whether a new generation was published.
+    once; readers see them once the pointer row is added. The content hash is kept with the
+    pointer, so the old rows are not read again. Of two writers that start from the same
+    generation one fails. Folders older than ``KEPT`` generations are deleted. Returns
+    whether a new generation was published.
     """
     spark = df.sparkSession
     number, folder = current(spark, root)
-    target = f"{root}/generation={number + 1}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
+    name = f"generation-{number + 1}-{uuid.uuid4().hex}"
+    target = f"{root}/{name}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(target)
     measured = content_hash(spark.read.parquet(target), list(ignore)).first()
     if folder:
-        known = spark.read.parquet(_pointer(root)).filter(F.col("generation") == number).select("rows", "content").first()
+        known = _pointers(spark, root).filter(F.concat(F.lit(f"{root}/"), "folder") == folder).select("rows", "content").first()
         if measured == known:
+            delete_folder(spark, target)
             return False
-    pointer = spark.createDataFrame(
-        [(number + 1, now, measured["rows"], measured["content"])],
-        "generation int, written_at timestamp, rows bigint, content string",
-    )
+    pointer = spark.createDataFrame([(number + 1, name, now, measured["rows"], measured["content"])], POINTER)
     pointer.write.mode("append").parquet(_pointer(root))
+    if current(spark, root)[1] != target:
+        raise RuntimeError(f"another writer published generation {number + 1} of {root}")
+    for old in _pointers(spark, root).filter(F.col("generation") <= number + 1 - KEPT).select("folder").collect():
+        delete_folder(spark, f"{root}/{old['folder']}")
     return True
 
 
@@ -72,7 +101,10 @@ def write_details(records: DataFrame, path: str) -> None:
         raise ValueError(f"detail name collision: {clash[0]['name']}")
     body = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
     out = named.select("name", F.left("name", F.lit(2)).alias("shard"), body.alias("value"))
-    out.repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)
+    # Files per shard follow the rows, so that no task writes more than a part of a shard.
+    salts = 1 + records.count() // (256 * DETAIL_ROWS)
+    salt = F.pmod(F.xxhash64("name"), F.lit(salts))
+    out.repartition("shard", salt).write.mode("overwrite").partitionBy("shard").json(path)
 
 
 def write_json_lines(rows: DataFrame, path: str, envelope: dict) -> None:
