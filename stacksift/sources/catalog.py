@@ -95,10 +95,12 @@ LIBRARY_LISTS = ["favorites", "backlog", "completed"]
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """Exported libraries as ``user_id, list, id``; the user is the file."""
+    """Exported libraries as ``user_id, list, id``; the user is the folder ``user_id=``, or else the file."""
     schema = "version int, exported_at string, " + ", ".join(f"{n} array<string>" for n in LIBRARY_LISTS)
-    raw = spark.read.schema(schema).json(path, multiLine=True)
-    user = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    raw = spark.read.schema(schema).json(path, multiLine=True).drop("user_id")
+    name = F.input_file_name()
+    named = F.nullif(F.regexp_extract(name, r"/user_id=([^/]+)/", 1), F.lit(""))
+    user = F.coalesce(named, F.regexp_extract(name, r"([^/]+?)(?:\.[^./]*)?$", 1))
     lists = F.array(*[F.struct(F.lit(n).alias("list"), F.col(n).alias("ids")) for n in LIBRARY_LISTS])
     flat = raw.select(user.alias("user_id"), F.explode(lists).alias("l"))
     return flat.select("user_id", "l.list", F.explode("l.ids").alias("id")).distinct()
