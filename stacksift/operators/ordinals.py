@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` range-partitioned and sorted, with ``_part`` and ``_pos``; materialized."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(
+        ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos"))
+    )
+
+
 def with_ordinals(df: DataFrame, order: list[Column], name: str = "ordinal", start: int = 0) -> DataFrame:
     """Number the rows of ``df`` in ``order``, which must be total (end it with a key).
 
@@ -16,10 +24,7 @@ def with_ordinals(df: DataFrame, order: list[Column], name: str = "ordinal", sta
     then adds the sizes of the partitions before its own. Only the partition sizes, one
     row per partition, go through a single-task window.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    fixed = cut_lineage(
-        ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos"))
-    )
+    fixed = _ranged(df, order)
     sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = sizes.select(
         "_part",
@@ -34,17 +39,33 @@ def with_ordinals(df: DataFrame, order: list[Column], name: str = "ordinal", sta
 
 
 def with_neighbours(df: DataFrame, order: list[Column], key: str) -> DataFrame:
-    """Previous and next key in the result order, wrapping at both ends."""
-    numbered = with_ordinals(df.select("*"), order)
-    total = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    after = numbered.select(F.pmod(F.col("ordinal") - 1, total).alias("ordinal"), F.col(key).alias("next_key"))
-    before = numbered.select(F.pmod(F.col("ordinal") + 1, total).alias("ordinal"), F.col(key).alias("previous_key"))
-    return numbered.join(before, "ordinal").join(after, "ordinal")
+    """Previous and next key in the result order, wrapping at both ends.
+
+    Inside a sorted partition they are its neighbouring rows; the first and last rows of
+    partitions get theirs from a table of edges, one row per partition.
+    """
+    fixed = _ranged(df, order)
+    inside = Window.partitionBy("_part").orderBy("_pos")
+    rows = fixed.withColumn("previous_key", F.lag(key).over(inside)).withColumn("next_key", F.lead(key).over(inside))
+    edges = fixed.groupBy("_part").agg(F.min_by(key, "_pos").alias("low"), F.max_by(key, "_pos").alias("high"))
+    across = Window.orderBy("_part")
+    every = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = edges.select(
+        "_part",
+        F.coalesce(F.lag("high").over(across), F.last("high").over(every)).alias("_before"),
+        F.coalesce(F.lead("low").over(across), F.first("low").over(every)).alias("_after"),
+    )
+    joined = rows.join(F.broadcast(edges), "_part")
+    return joined.withColumns(
+        {"previous_key": F.coalesce("previous_key", "_before"), "next_key": F.coalesce("next_key", "_after")}
+    ).drop("_part", "_pos", "_before", "_after")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = 30) -> DataFrame:
-    """One page of a sorted result; pages count from 0."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """One page of a sorted result; pages count from 0. Deep pages cost what the first one does."""
+    numbered = with_ordinals(df, order, "_ordinal")
+    first = number * size
+    return numbered.filter(F.col("_ordinal").between(first, first + size - 1)).orderBy("_ordinal").drop("_ordinal")
 
 
 def shards(df: DataFrame, order: list[Column], count: int) -> DataFrame:

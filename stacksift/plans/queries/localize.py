@@ -216,7 +216,12 @@ def text_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, i, {collapse("regexp_replace(line, '^[ \t•*\\-–—]+', '')")} AS line FROM l),
+d AS (SELECT * FROM c WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, md5(left(line, 500)) AS line
+FROM d QUALIFY pos < 40""")
 def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lines of every document without bullets."""
     lines = tables.documents(spark, sf_dir).select("doc_id", F.posexplode(compact_lines("text")).alias("pos", "line"))

@@ -266,9 +266,12 @@ stored AS (SELECT regexp_replace(url, '/*$', '') || '/' AS url FROM pages WHERE
 SELECT DISTINCT url FROM posts WHERE url NOT IN (SELECT url FROM stored)""")
 def stream_new_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages streamed as a feed against a catalog of the secure urls as written."""
-    schema = tables.pages(spark, sf_dir).schema
-    feed = spark.readStream.schema(schema).parquet(f"{sf_dir}/pages*.parquet")
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pages = tables.pages(spark, sf_dir)
+    schema = pages.schema
+    # Four files, one batch each; every page comes twice, so later batches meet earlier ones.
+    pages.unionByName(pages).repartition(4).write.parquet(f"{folder}/feed")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
 
     def catalog(session: SparkSession) -> DataFrame:
         pages = session.read.schema(schema).parquet(f"{sf_dir}/pages.parquet")

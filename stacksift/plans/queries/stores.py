@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ...functions.decisions import decision_request, json_object
 from ...functions.text import platform_list, split_tags
 from ...functions.urls import absolute, source_label
-from ...operators import browse, classify, jobs, light, localize, quality
+from ...operators import browse, classify, jobs, light, localize, quality, search
 from ...operators.merge import quarantine_order
 from ...operators.ordinals import with_ordinals
 from ...session import checkpoint_dir
@@ -123,6 +123,26 @@ def detail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(value["id"].alias("id"), "name", "shard", value["title"].alias("title"))
 
 
+@query("""
+SELECT word AS key, p_partkey // 1000 AS block, string_agg(p_partkey, ',' ORDER BY p_partkey) AS ordinals
+FROM (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part) GROUP BY 1, 2""")
+def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posting lists in blocks of a thousand ordinals."""
+    words = F.explode(F.array_distinct(F.split("p_name", " ")))
+    index = tables.table(spark, sf_dir, "part").select(F.lit("p").alias("kind"), words.alias("key"), F.col("p_partkey").alias("ordinal"))
+    blocks = search.posting_blocks(index, block=1000)
+    return blocks.select("key", "block", F.array_join("ordinals", ",").alias("ordinals"))
+
+
+@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM nation) AS count, 3 AS version FROM nation")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON lines and an envelope with their count, read back."""
+    path = folder(spark, "lines")
+    snapshots.write_json_lines(tables.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, {"version": 3})
+    rows = spark.read.schema("n_nationkey int, n_name string").json(f"{path}/rows")
+    return rows.crossJoin(spark.read.schema("version int, count long").json(f"{path}/envelope"))
+
+
 # --- state tables ----------------------------------------------------------------------
 
 
@@ -155,6 +175,62 @@ def queue_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synced.select("id", "title", "outcome")
 
 
+#: What breaks each rule of the constraint suite: a field and its value in SQL.
+_BREAKS = {
+    "missing-id": ("id", "''"), "missing-title": ("title", "' '"), "missing-source-url": ("source_url", "''"),
+    "source-url-not-https": ("source_url", "'http://a.example/'"), "image-url-not-https": ("image_url", "'ftp://a.example/'"),
+    "forbidden-text": ("title", "'MAGNET:?x'"), "post-date-unparseable": ("post_date", "'soon'"),
+    "media-checked-unparseable": ("media_checked_at", "'soon'"), "details-checked-unparseable": ("details_checked_at", "'soon'"),
+    "blank-genre": ("genres", "array('a', ' ')"), "label-in-genre": ("genres", "array('Company: x')"),
+    "media-version-unknown": ("media_version", "99"),
+    "too-many-media": ("media", "transform(sequence(1, 9), i -> named_struct('type', 'image', 'url', concat('https://m.example/', i), 'preview_url', CAST(NULL AS STRING)))"),
+    "media-type-unknown": ("media", "array(named_struct('type', 'video', 'url', 'https://m.example/1', 'preview_url', CAST(NULL AS STRING)))"),
+    "media-url-not-https": ("media", "array(named_struct('type', 'image', 'url', 'http://m.example/1', 'preview_url', CAST(NULL AS STRING)))"),
+    "preview-url-not-https": ("media", "array(named_struct('type', 'image', 'url', 'https://m.example/1', 'preview_url', 'http://m.example/2'))"),
+    "repeated-media-url": ("media", "array_repeat(named_struct('type', 'image', 'url', 'https://m.example/1', 'preview_url', CAST(NULL AS STRING)), 2)"),
+    "animation-not-first": ("media", "array(named_struct('type', 'image', 'url', 'https://m.example/1', 'preview_url', CAST(NULL AS STRING)), named_struct('type', 'gif', 'url', 'https://m.example/2', 'preview_url', CAST(NULL AS STRING)))"),
+    "too-many-animations": ("media", "array(named_struct('type', 'gif', 'url', 'https://m.example/1', 'preview_url', CAST(NULL AS STRING)), named_struct('type', 'gif', 'url', 'https://m.example/2', 'preview_url', CAST(NULL AS STRING)))"),
+    "details-version-unknown": ("details_version", "7"), "details-missing": ("details", "CAST(NULL AS STRUCT<description: STRING, features: ARRAY<STRING>, package_features: ARRAY<STRING>>)"),
+    "blank-feature": ("details", "named_struct('description', 'd', 'features', array(' '), 'package_features', array('p'))"),
+    "blank-package-feature": ("details", "named_struct('description', 'd', 'features', array('f'), 'package_features', array(''))"),
+    "source-host-not-allowed": ("source_url", "'https://other.test/'"),
+}
+_RULES = ", ".join(f"({i}, '{rule}')" for i, rule in enumerate(_BREAKS))
+
+
+@query(f"""
+WITH r(k, rule) AS (VALUES {_RULES}),
+broken AS (SELECT CASE WHEN rule = 'missing-id' THEN '' ELSE p_partkey::VARCHAR END AS id, rule FROM part JOIN r ON k = p_partkey % {len(_BREAKS) + 1})
+SELECT * FROM broken
+UNION ALL SELECT id, 'animation-not-first' FROM broken WHERE rule = 'too-many-animations'
+UNION ALL SELECT id, 'preview-needs-current-version' FROM (SELECT p_partkey::VARCHAR AS id FROM part WHERE p_partkey % {len(_BREAKS) + 1} = {len(_BREAKS)})
+UNION ALL SELECT id, 'repeated-id' FROM broken GROUP BY id, rule HAVING count(*) > 1""")
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the constraint suite broken in turn."""
+    k = F.pmod("p_partkey", F.lit(len(_BREAKS) + 1))
+    good = {
+        "id": F.col("p_partkey").cast("string"), "title": F.col("p_name"), "source_url": F.lit("https://a.example/x/"),
+        "image_url": F.lit("https://a.example/i"), "post_date": F.lit("2024-01-02"), "genres": F.array("p_type"), "size_text": F.lit("1 GB"),
+        "details": F.expr("named_struct('description', 'd', 'features', array('f'), 'package_features', array('p'))"),
+        "details_version": F.lit(1), "details_checked_at": F.lit("2024-01-02"),
+        "media": F.expr("array(named_struct('type', 'image', 'url', 'https://m.example/1', 'preview_url', 'https://m.example/2'))"),
+        "media_version": F.lit(7), "media_checked_at": F.lit("2024-01-02"),
+    }
+    columns = []
+    for field, value in good.items():
+        for number, (broken, text) in enumerate(_BREAKS.values()):
+            if broken == field:
+                value = F.when(k == number, F.expr(text)).otherwise(value)
+        if field == "media_version":  # an older version may have no previews
+            value = F.when(k == len(_BREAKS), 6).otherwise(value)
+        if field == "media":  # an unknown version with previews would break two rules
+            plain = F.transform(value, lambda m: m.withField("preview_url", F.lit(None).cast("string")))
+            value = F.when(k == list(_BREAKS).index("media-version-unknown"), plain).otherwise(value)
+        columns.append(value.alias(field))
+    rows = tables.table(spark, sf_dir, "part").select(*columns)
+    return quality.catalog_violations(rows, host_suffixes=[".example"])
+
+
 # --- columns ---------------------------------------------------------------------------
 
 
