@@ -179,10 +179,13 @@ def sentence_problem(source: Column, restored: Column, missing: Column, leftover
 def checked_translations(prepared: DataFrame, responses: DataFrame) -> DataFrame:
     """Fields put together from translated sentences: ``id, field_key, outcome, text, error``.
 
-    ``responses`` has ``id, field_key, pos, translated``. A field with a missing sentence
-    or any broken check is rejected, with the reason of its first broken sentence.
+    ``responses`` has ``id, field_key, pos, translated`` and may have ``error``. A field
+    with a failed sentence is an error, to be tried again; one with a missing sentence or
+    any broken check is rejected, with the reason of its first broken sentence.
     """
-    both = prepared.join(responses, ["id", "field_key", "pos"], "left")
+    if "error" not in responses.columns:
+        responses = responses.withColumn("error", F.lit(None).cast("string"))
+    both = prepared.join(responses.withColumnRenamed("error", "failure"), ["id", "field_key", "pos"], "left")
     back = both.withColumn("_r", restore(strip_text("translated"), F.col("marks")))
     problem = F.when(F.col("translated").isNull(), "translation output count mismatch").otherwise(
         sentence_problem(F.col("source"), F.col("_r.text"), F.col("_r.missing"), F.col("_r.leftovers"))
@@ -190,15 +193,16 @@ def checked_translations(prepared: DataFrame, responses: DataFrame) -> DataFrame
     checked = back.withColumn("problem", problem).withColumn("text", F.col("_r.text"))
     grouped = checked.groupBy("id", "field_key").agg(
         F.min_by(F.col("problem"), F.when(F.col("problem").isNotNull(), F.col("pos"))).alias("error"),
+        F.min_by(F.col("failure"), F.when(F.col("failure").isNotNull(), F.col("pos"))).alias("failure"),
         F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"),
     )
     joined = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
     return grouped.select(
         "id",
         "field_key",
-        F.when(F.col("error").isNull(), "done").otherwise("rejected").alias("outcome"),
+        F.when(F.col("failure").isNotNull(), "error").when(F.col("error").isNull(), "done").otherwise("rejected").alias("outcome"),
         F.when(F.col("error").isNull(), joined).alias("text"),
-        F.left("error", F.lit(ERROR_CHARS)).alias("error"),
+        F.left(F.coalesce("failure", "error"), F.lit(ERROR_CHARS)).alias("error"),
     )
 
 
@@ -225,7 +229,7 @@ def translation_rows(jobs: DataFrame, version: int = FIELD_VERSION) -> DataFrame
     """Published translations, one row per field: ``id, field, idx, source_sha256, text``."""
     sha, text = F.lower(strip_text("source_sha256")), collapse("translated_text")
     done = jobs.filter(F.col("active") & (F.col("status") == "done") & (F.col("worker_version") == version))
-    idx = F.regexp_extract("field_key", rf"^{FEATURE_PREFIX}(\d{{4}})$", 1)
+    idx = F.regexp_extract("field_key", rf"^{FEATURE_PREFIX}(\d{{4,}})$", 1)
     kind = F.when(F.col("field_key") == DESCRIPTION, DESCRIPTION).when(idx != "", "feature")
     rows = done.select(
         strip_text("id").alias("id"), kind.alias("field"), F.nullif(idx, F.lit("")).cast("int").alias("idx"),

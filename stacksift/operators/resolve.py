@@ -174,17 +174,35 @@ def two_pass(titles: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataF
     """Search by cleaned title; a ``title`` without any hit is searched once more by base title.
 
     ``find`` maps ``query`` rows to ``query, candidate`` rows: an entity table lookup, or
-    any other provider of evidence. The first answers are written before they are used,
-    because a provider may be costly and need not repeat itself. Returns
-    ``title, candidate``.
+    any other provider of evidence, which may also tell of an ``error`` that is
+    ``transient`` or not. The answers are written before they are used, because a provider
+    may be costly and need not repeat itself. Returns ``title, candidate, error,
+    transient``; a title with an error is not searched again.
     """
     first = titles.select("title", conservative_title("title").alias("query")).distinct()
-    hits = cut_lineage(first.join(find(first.select("query")), "query").select("title", "candidate"))
+
+    def asked(queries: DataFrame) -> DataFrame:
+        found = with_errors(find(queries.select("query")))
+        return queries.join(found, "query").select("title", "candidate", "error", "transient")
+
+    hits = cut_lineage(asked(first))
     missed = first.join(hits.select("title"), "title", "left_anti").withColumn("base", aggressive_title("title"))
     second = missed.filter((F.col("base") != "") & (F.lower("base") != F.lower("query"))).select(
         "title", F.col("base").alias("query")
     )
-    return hits.unionByName(second.join(find(second.select("query")), "query").select("title", "candidate"))
+    return hits.unionByName(cut_lineage(asked(second)))
+
+
+def with_errors(found: DataFrame) -> DataFrame:
+    """Answers of a provider with the columns ``error`` and ``transient``, null where it has none."""
+    kinds = {"error": "string", "transient": "boolean"}
+    return found.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in found.columns})
+
+
+def search_errors(found: DataFrame) -> DataFrame:
+    """``title, error, transient`` of the titles whose search failed."""
+    bad = found.filter(F.col("error").isNotNull())
+    return bad.groupBy("title").agg(F.min("error").alias("error"), F.min(F.coalesce("transient", F.lit(False))).alias("transient"))
 
 
 # --- scoring ---------------------------------------------------------------------
@@ -301,10 +319,12 @@ def decide(
 def evidence_cache(found: DataFrame, titles: DataFrame, fetched_at: Column) -> DataFrame:
     """Cache rows ``search_title, evidence`` for searched titles; no hit is an empty list.
 
-    A list holds all candidates that were found, best match score first.
+    A list holds all candidates that were found, best match score first. Titles whose
+    search failed must not be among ``titles``: an error is no empty answer.
     """
     keys = [evidence_key("title").alias("search_title"), match_fold(aggressive_title("title")).alias("asked")]
-    pairs = found.select(F.struct(*keys).alias("id"), keys[1].alias("title"), "candidate")
+    hits = found.filter(F.col("candidate").isNotNull())
+    pairs = hits.select(F.struct(*keys).alias("id"), keys[1].alias("title"), "candidate")
     scored = scored_pairs(pairs.withColumn("pos", F.lit(0)))
     order = F.struct((-F.col("score")).alias("least"), F.col("candidate.id").alias("key"), F.col("candidate.url").alias("url"), "candidate")
     lists = scored.groupBy(F.col("id.search_title").alias("search_title")).agg(F.array_sort(F.collect_set(order)).alias("ranked"))

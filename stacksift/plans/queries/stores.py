@@ -367,7 +367,7 @@ def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hook_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a user's function over batches of texts."""
     rows = tables.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return hooks.answer(rows, "p_name", "answer", lambda texts: [t.upper() for t in texts]).drop("p_name")
+    return hooks.answer(rows, "p_name", "answer", lambda texts: [t.upper() for t in texts]).drop("p_name", "error")
 
 
 @query("SELECT DISTINCT p_name AS query, word AS label FROM part, (SELECT unnest(string_split(p_name, ' ')) AS word, p_partkey AS k FROM part) WHERE k = p_partkey")

@@ -13,6 +13,7 @@ from ..operators import jobs as queue
 from ..operators import publish as export
 from ..operators import resolve, review
 from ..schemas import EVIDENCE_CACHE, JOBS, RESULTS, REVIEW_STATE
+from ..session import cut_lineage
 from ..sources.snapshots import publish, read_current
 
 RESULT_VERSION = 1
@@ -54,7 +55,10 @@ def run_batch(spark: SparkSession, root: str, find: Find, n: int, now: datetime)
     looked_up = resolve.cache_lookup(mine, cache)
     missing = looked_up.filter(F.col("evidence").isNull()).select("title").distinct()
     found = resolve.two_pass(missing, find)
-    fresh = resolve.evidence_cache(found, missing, F.lit(now).cast("timestamp"))
+    # A failed search is an outcome of its jobs and is not cached.
+    errors = cut_lineage(resolve.search_errors(found))
+    answered = missing.join(errors.select("title"), "title", "left_anti")
+    fresh = resolve.evidence_cache(found, answered, F.lit(now).cast("timestamp"))
     hits = looked_up.filter(F.col("evidence").isNotNull()).count()
     publish(queue.upsert(cache, fresh.select(*cache.columns), ["search_title"]), f"{root}/cache", now)
 
@@ -65,7 +69,10 @@ def run_batch(spark: SparkSession, root: str, find: Find, n: int, now: datetime)
     stored = read_current(spark, f"{root}/results", RESULTS)
     publish(queue.upsert(stored, results.select(*stored.columns), ["id"]), f"{root}/results", now)
     error = F.when(F.col("outcome") == "review", F.col("reason"))
-    outcomes = decided.select("id", "outcome", error.alias("error"))
+    failed = mine.join(errors, "title").join(decided.select("id"), "id", "left_anti").select(
+        "id", F.when(F.col("transient"), "deferred").otherwise("failed").alias("outcome"), "error"
+    )
+    outcomes = cut_lineage(decided.select("id", "outcome", error.alias("error")).unionByName(failed))
     stats = queue.outcome_stats(outcomes, ["done", "review", "failed", "deferred"]).first().asDict()
     publish(queue.apply_outcomes(working, outcomes, now), f"{root}/jobs", now)
     return {**stats, "cache_hits": hits}

@@ -35,18 +35,19 @@ def sync(spark: SparkSession, catalog: DataFrame, verified: DataFrame, root: str
 def translate(
     spark: SparkSession, root: str, answer: Callable[[DataFrame], DataFrame], n: int, now: datetime
 ) -> dict:
-    """Translate the next ``n`` fields. ``answer`` adds ``translated`` to sentence rows."""
+    """Translate the next ``n`` fields. ``answer`` adds ``translated``, and maybe ``error``, to sentence rows."""
     jobs = read_current(spark, f"{root}/fields", FIELD_JOBS)
     prepared = localize.prepared_sentences(localize.field_work(jobs, n))
     publish(answer(prepared), f"{root}/answers", now)
     answers = read_current(
         spark, f"{root}/answers",
         "id string, field_key string, pos int, source string, masked string,"
-        " marks array<struct<mark:string,term:string>>, translated string",
+        " marks array<struct<mark:string,term:string>>, translated string, error string",
     )
-    responses = answers.select("id", "field_key", "pos", "translated")
-    outcomes = localize.checked_translations(answers.drop("translated"), responses)
-    stats = outcome_stats(outcomes, ["done", "rejected"]).first().asDict()
+    wanted = ["id", "field_key", "pos", "translated", "error"]
+    responses = answers.select(*[c for c in wanted if c in answers.columns])
+    outcomes = localize.checked_translations(answers.drop("translated", "error"), responses)
+    stats = outcome_stats(outcomes, ["done", "rejected", "error"]).first().asDict()
     publish(localize.apply_translations(jobs, outcomes, now), f"{root}/fields", now)
     return stats
 

@@ -12,7 +12,7 @@ from stacksift.operators import classify, localize, publish, resolve
 from stacksift.operators.classify import Rule
 from stacksift.plans import build, hooks, refresh, resolve_queue, translate_queue
 from stacksift.plans.queries import QUERIES
-from stacksift.schemas import CANDIDATE_FIELDS, CATALOG, VERIFIED
+from stacksift.schemas import CANDIDATE_FIELDS, CATALOG, EVIDENCE_CACHE, JOBS, VERIFIED
 from stacksift.sources import catalog as files
 from stacksift.sources import snapshots
 from stacksift.streaming.queue_state import step
@@ -234,3 +234,37 @@ def test_stream_equals_replay(spark):
         states[e["user_id"]] = (status, attempts, ignored + (not valid))
     got = QUERIES["stream_job_states"](spark, SF).collect()
     assert {int(r["id"]): (r["status"], r["attempts"], r["ignored"]) for r in got} == states
+
+
+def test_failing_providers(spark, tmp_path):
+    root = str(tmp_path)
+    rows = catalog(spark, record("1", "Star Forge"), record("2", "Iron Vale"), record("3", "Moon Path"), record("4", "Sun Road"))
+    known = {"star forge": [candidate("Q1", "Star Forge")]}
+
+    def provider(queries):
+        answers = {"iron vale": TimeoutError("slow"), "moon path": ValueError("no such thing")}
+        return [answers.get(q.lower(), known.get(q.lower(), [])) for q in queries]
+
+    kind = spark.createDataFrame([], CANDIDATE_FIELDS).schema
+    resolve_queue.sync(spark, rows, root, DAY)
+    stats = resolve_queue.run_batch(spark, root, hooks.entity_lookup(provider, kind), 10, DAY)
+    jobs = {r["id"]: r for r in snapshots.read_current(spark, f"{root}/jobs", JOBS).collect()}
+    assert {i: r["status"] for i, r in jobs.items()} == {"1": "done", "2": "pending", "3": "failed", "4": "review"}
+    assert jobs["2"]["last_error"] == "TimeoutError: slow" and jobs["2"]["attempts"] == 1
+    assert (stats["deferred"], stats["failed"]) == (1, 1)
+    cached = {r["search_title"] for r in snapshots.read_current(spark, f"{root}/cache", EVIDENCE_CACHE).collect()}
+    assert cached == {"star forge", "sun road"}
+    again = resolve_queue.run_batch(spark, root, hooks.entity_lookup(lambda qs: [[] for _ in qs], kind), 10, DAY)
+    assert again["review"] == 1 and again["deferred"] == 0
+
+
+def test_failed_translation_is_tried_again(spark):
+    def broken(texts):
+        raise ConnectionError("away")
+
+    requests = spark.createDataFrame([("a", "description", 0, LONG, LONG, [])], "id string, field_key string, pos int, source string, masked string, marks array<struct<mark:string,term:string>>")
+    said = hooks.answer(requests, "masked", "translated", broken)
+    done = localize.checked_translations(requests, said.select("id", "field_key", "pos", "translated", "error")).first()
+    assert done["outcome"] == "error" and done["error"] == "ConnectionError: away"
+    one = hooks.answer(requests, "masked", "translated", lambda texts: [t.upper() for t in texts]).first()
+    assert one["translated"] == LONG.upper() and one["error"] is None
