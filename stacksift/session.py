@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints of queries that are over are deleted with the objects that hold them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
