@@ -94,6 +94,12 @@ def postings(df: DataFrame, key: str, words: Column | str) -> DataFrame:
     )
 
 
+def stored_index(index: DataFrame, path: str) -> DataFrame:
+    """Postings written in key order and read back: filters on keys then skip row groups and files."""
+    index.repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").write.parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def posting_blocks(index: DataFrame, ordinal: str = "ordinal", block: int = 65536) -> DataFrame:
     """Ascending posting lists for export, split into blocks of ordinals.
 
@@ -145,29 +151,16 @@ def candidates(index: DataFrame, key: str, query: str) -> DataFrame | None:
     return grouped.filter(every).select(key)
 
 
-def is_candidate(words: Column, query: str) -> Column:
-    """The same narrowing as ``candidates`` as a predicate on a row's index words."""
-    every = F.lit(True)
-    for word in query_words(query):
-        hit = F.exists(words, lambda t: t.startswith(word[:PREFIX_MAX]))
-        if len(word) >= GRAM_MIN_WORD:
-            grams = _word_grams(word)
-            found = sum(
-                (F.exists(words, lambda t: t.contains(gram)).cast("int") for gram in grams), F.lit(0)
-            )
-            hit = hit | (found >= _needed_grams(grams))
-        every = every & hit
-    return every
-
-
 def search_pool(rows: DataFrame, key: str, query: str, index: DataFrame | None = None) -> DataFrame:
-    """Rows to score: the index candidates, or all rows when there are none."""
+    """Rows to score: the index candidates, or all rows when there are none.
+
+    Whether there are any is looked up first, in the postings of the query's own keys, so
+    the rows are either joined with a few candidates or scanned, never both.
+    """
     offered = candidates(index, key, query) if index is not None else None
-    if offered is None:
+    if offered is None or offered.isEmpty():
         return rows
-    found = offered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    marked = rows.join(offered.withColumn("_offered", F.lit(True)), key, "left")
-    return marked.filter(F.col("_offered") | (found == 0)).drop("_offered")
+    return rows.join(offered, key, "left_semi")
 
 
 def search(rows: DataFrame, key: str, query: str, index: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions.fold import distinct_words, match_fold, search_fold
 from ...operators import browse, light, search
-from ...session import cut_lineage
+from ...session import checkpoint_dir
 from .. import tables
 from .registry import PREPARED, candidate_test, fold, query, query_score
 
@@ -75,11 +77,26 @@ WITH folded AS (SELECT doc_id, {fold('text')} AS t FROM documents),
 scored AS (SELECT doc_id, CAST({query_score(TEXT_QUERY, 't', 't')} AS DOUBLE) AS score FROM folded)
 SELECT * FROM scored WHERE score > 0""")
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that matches, by exact, prefix, contained or similar words."""
+    """Every document that matches, by exact, prefix, contained or similar words, without an index."""
     rows = document_words(spark, sf_dir).withColumn("title_fold", F.col("text_fold"))
     return search.search(rows, "doc_id", TEXT_QUERY).select("doc_id", "score")
 
 
+@query(f"""
+WITH folded AS (SELECT doc_id, {fold('text')} AS t FROM documents),
+marked AS (SELECT *, {candidate_test(TEXT_QUERY, "list_distinct(string_split(t, ' '))")} AS offered FROM folded),
+scored AS (SELECT doc_id, CAST({query_score(TEXT_QUERY, 't', 't')} AS DOUBLE) AS score FROM marked
+  WHERE offered OR NOT (SELECT bool_or(offered) FROM marked))
+SELECT * FROM scored WHERE score > 0""")
+def search_indexed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the stored index offers for the same text, scored."""
+    folder = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
+    document_words(spark, sf_dir).withColumn("title_fold", F.col("text_fold")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    index = search.stored_index(search.postings(rows, "doc_id", "words"), f"{folder}/index")
+    return search.search(rows, "doc_id", TEXT_QUERY, index).select("doc_id", "score")
+
+
 def _suggestion_sql(text: str) -> str:
     words = "string_split(index_fold, ' ')"
     return f"""
@@ -94,8 +111,10 @@ ORDER BY score DESC, COALESCE(post_date, '1970-01-01') DESC, id LIMIT 8"""
 
 def _suggestions(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     # Prepared rows and their index are stored tables in use; here they are written first.
-    rows = cut_lineage(prepared(spark, sf_dir))
-    index = search.postings(rows, "id", "index_words")
+    folder = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
+    prepared(spark, sf_dir).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    index = search.stored_index(search.postings(rows, "id", "index_words"), f"{folder}/index")
     date = browse.or_epoch(browse.when_of("post_date"))
     return search.suggestions(rows, "id", text, date, index).select("id", "title", "score")
 
