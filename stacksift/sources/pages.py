@@ -59,8 +59,15 @@ NODE = T.StructType(
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("text", T.StringType()),
+        # Of an image: the closest enclosing link and picture. Of a short element: its text.
+        T.StructField("link", T.IntegerType()),
+        T.StructField("picture", T.IntegerType()),
+        T.StructField("label", T.StringType()),
     ]
 )
+#: Elements that may be headings, and the letters from which on they are none.
+HEADING_TAGS = ("h2", "h3", "h4", "strong", "div", "span")
+HEADING_CHARS = 100
 
 
 class _Nodes(HTMLParser):
@@ -70,16 +77,51 @@ class _Nodes(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.links: list[int] = []
+        self.pictures: list[int] = []
+        # Open heading elements with their texts so far; the outer ones are full first.
+        self.labels: list[tuple[int, list[str]]] = []
+        self.full = 0
 
     def _add(self, tag: str, attrs: dict, text: str | None) -> int:
         pos = len(self.rows)
         parent = self.open[-1] if self.open else -1
-        self.rows.append({"pos": pos, "last": pos, "parent": parent, "tag": tag, "attrs": attrs, "text": text})
+        link = self.links[-1] if tag == "img" and self.links else None
+        picture = self.pictures[-1] if tag == "img" and self.pictures else None
+        self.rows.append({
+            "pos": pos, "last": pos, "parent": parent, "tag": tag, "attrs": attrs, "text": text, "link": link, "picture": picture, "label": None,
+        })
         return pos
 
+    def _opened(self, pos: int) -> None:
+        row = self.rows[pos]
+        self.open.append(pos)
+        if row["tag"] == "a" and "href" in row["attrs"]:
+            self.links.append(pos)
+        elif row["tag"] == "picture":
+            self.pictures.append(pos)
+        elif row["tag"] in HEADING_TAGS:
+            self.labels.append((pos, []))
+
+    def _label(self, text: str) -> None:
+        """Add a text to the open heading elements that are not full."""
+        for place in range(len(self.labels) - 1, self.full - 1, -1):
+            parts = self.labels[place][1]
+            parts.append(text)
+            if sum(map(len, parts)) + len(parts) > HEADING_CHARS:
+                self.full = max(self.full, place + 1)
+
     def _close(self, depth: int) -> None:
-        for pos in self.open[depth:]:
+        for pos in reversed(self.open[depth:]):
             self.rows[pos]["last"] = len(self.rows) - 1
+            for stack in (self.links, self.pictures):
+                if stack and stack[-1] == pos:
+                    stack.pop()
+            if self.labels and self.labels[-1][0] == pos:
+                parts = self.labels.pop()[1]
+                if self.full <= len(self.labels):
+                    self.rows[pos]["label"] = " ".join(parts)
+                self.full = min(self.full, len(self.labels))
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -88,7 +130,7 @@ class _Nodes(HTMLParser):
             self._close(len(self.open) - 1)
         pos = self._add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
         if tag not in VOID_TAGS:
-            self.open.append(pos)
+            self._opened(pos)
 
     def handle_startendtag(self, tag, attrs):
         self._add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
@@ -103,6 +145,7 @@ class _Nodes(HTMLParser):
         inside = self.rows[self.open[-1]]["tag"] if self.open else ""
         if inside not in ("script", "style") and data.strip():
             self._add("#text", {}, data)
+            self._label(data.strip())
 
     def finish(self) -> list[dict]:
         self.close()
@@ -165,14 +208,6 @@ def next_element(nodes: Column, node: Column) -> Column:
     )
 
 
-def ancestor(nodes: Column, node: Column, tag: str) -> Column:
-    """Closest enclosing element of a tag."""
-    around = F.filter(
-        nodes, lambda n: (n["tag"] == tag) & (n["pos"] < node["pos"]) & (n["last"] >= node["pos"])
-    )
-    return F.try_element_at(around, F.lit(-1))
-
-
 # --- listing pages ----------------------------------------------------------------
 
 
@@ -259,10 +294,9 @@ def _body(nodes: Column) -> Column:
 
 def _heading(content: Column, words: str) -> Column:
     def named(node: Column) -> Column:
-        text = texts(inside(content, node))
-        return F.lower(text).contains(words) & (F.length(text) < 100)
+        return F.coalesce(F.lower(node["label"]).contains(words) & (F.length(node["label"]) < HEADING_CHARS), F.lit(False))
 
-    return first(F.filter(elements(content, "h2", "h3", "h4", "strong", "div", "span"), named))
+    return first(F.filter(elements(content, *HEADING_TAGS), named))
 
 
 def _following_text(content: Column, node: Column) -> Column:
@@ -311,20 +345,24 @@ def page_images(pages: DataFrame, key: str = "id", html: str = "html", base: str
     parsed = parsed.select(key, "base", "cover", inside(F.col("nodes"), _body(F.col("nodes"))).alias("nodes"))
     nodes = F.col("nodes")
 
+    def at(pos: Column) -> Column:
+        """The node of a position, if it is in the body."""
+        place = pos - nodes[0]["pos"]
+        return F.when(place >= 0, F.get(nodes, place))
+
     def described(img: Column) -> Column:
-        sources = elements(inside(nodes, ancestor(nodes, img, "picture")), "source")
+        sources = elements(inside(nodes, at(img["picture"])), "source")
         return F.struct(
             img["pos"].alias("pos"),
             img["attrs"].alias("attrs"),
-            F.filter(nodes, lambda n: (n["tag"] == "a") & (n["pos"] < img["pos"]) & (n["last"] >= img["pos"]) & n["attrs"]["href"].isNotNull()).alias("links"),
+            at(img["link"])["attrs"].alias("link_attrs"),
             F.transform(sources, lambda s: s["attrs"]).alias("sources"),
         )
 
     rows = parsed.select(key, "base", "cover", F.explode(F.transform(elements(nodes, "img"), described)).alias("i"))
-    link = F.try_element_at(F.col("i.links"), F.lit(-1))["attrs"]
     rows = rows.select(
         key, "base", "cover", F.col("i.pos").alias("pos"), F.col("i.attrs").alias("attrs"),
-        F.col("i.sources").alias("sources"), link.alias("link_attrs"),
+        F.col("i.sources").alias("sources"), F.col("i.link_attrs").alias("link_attrs"),
     )
     base_url = F.col("base")
     shown = [F.nullif(absolute(base_url, F.col("attrs")[name]), F.lit("")) for name in IMAGE_ATTRS]

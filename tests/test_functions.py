@@ -111,3 +111,31 @@ def test_edition_title(spark):
     )
     got = [r[0] for r in rows.select(titles.edition_title("t", "c")).collect()]
     assert got == ["v2", "", "Other", "Étoile"]
+
+
+def test_long_and_deep_pages_parse_in_linear_time():
+    import time
+
+    from stacksift.sources.pages import _nodes
+
+    began = time.time()
+    deep = "<div>" * 20000 + "x" + "</div>" * 20000
+    flat = "<p><a href=u><img src=i></a><span>Game Description</span></p>" * 12500
+    mixed = "".join(f"<div><strong>part {i}</strong>" for i in range(10000))
+    rows = [_nodes(h) for h in (deep, flat, mixed)]
+    assert time.time() - began < 10
+    images = [r for r in rows[1] if r["tag"] == "img"]
+    assert all(rows[1][r["link"]]["tag"] == "a" and r["picture"] is None for r in images)
+    assert [r["label"] for r in rows[1] if r["tag"] == "span"] == ["Game Description"] * 12500
+    assert rows[0][0]["label"] == "x" and rows[2][0]["label"] is None
+
+
+def test_labels_are_the_texts_of_short_elements():
+    from stacksift.sources.pages import _nodes
+
+    html = "<div>a<span> b <b>c</b></span><div>" + "d" * 120 + "</div></div><picture><source srcset=s><a><img></a></picture><strong>e"
+    rows = {(r["tag"], r["pos"]): r for r in _nodes(html)}
+    labels = {k[0] + str(k[1]): r["label"] for k, r in rows.items() if k[0] in ("div", "span", "strong")}
+    assert list(labels.values()) == [None, "b c", None, "e"]
+    image = next(r for r in rows.values() if r["tag"] == "img")
+    assert image["link"] is None and image["picture"] is not None
