@@ -17,6 +17,8 @@ NULL_WORDS = ["null", "none", "unknown", "n/a"]
 REQUEST_CAPS = {"release_dates": 6, "genres": 12, "developers": 8, "publishers": 8, "platforms": 16}
 REASON_CHARS = 600
 ENTITY_ID = r"(?i)\b(Q\d+)\b"
+STATED_CONFIDENCE = r"(?i)\bconfidence(?:_score)?\s*[:=]?\s*(\d+(?:[.,]\d+)?\s*%?)"
+DECLINED = r"(?i)\b(?:candidate(?:_id)?\s*[:=]?\s*)?(?:null|none|unknown|n/a)\b"
 # -----------------------------------------------------------------------------
 
 
@@ -95,15 +97,13 @@ def _read_answer(seen: Column) -> Column:
 
     structured = raw.isNotNull()
     wanted = strip_text(field("candidate_id", "candidate", "id"))
-    stated = F.regexp_extract(
-        compact, r"(?i)\bconfidence(?:_score)?\s*[:=]?\s*(\d+(?:[.,]\d+)?\s*%?)", 1
-    )
+    stated = F.regexp_extract(compact, STATED_CONFIDENCE, 1)
     said = F.when(structured, field("confidence", "confidence_score")).otherwise(F.nullif(stated, F.lit("")))
     return F.struct(
         structured.alias("structured"),
         (compact == "").alias("empty"),
         F.when(structured, (wanted == "") | F.lower(wanted).isin(NULL_WORDS)).otherwise(
-            compact.rlike(r"(?i)\b(?:candidate(?:_id)?\s*[:=]?\s*)?(?:null|none|unknown|n/a)\b")
+            compact.rlike(DECLINED)
         ).alias("declined"),
         F.when(structured & F.array_contains(allowed, wanted), wanted).alias("exact"),
         _mentioned(F.when(structured, wanted).otherwise(compact), allowed).alias("named"),

@@ -26,6 +26,9 @@ TRAILING_RELEASE = (
     r"\s*[,–—-]\s*(?:v(?:ersion)?\s*[0-9][^,–—]*|ver\.?\s*[0-9][^,–—]*|"
     r"build\s+[0-9][^,–—]*|update\s+[0-9][^,–—]*)$"
 )
+TRAILING_NOTE = rf"\s*(?:\([^)]*(?:{PATCH_NOTES})[^)]*\)|\[[^\]]*(?:{PATCH_NOTES})[^\]]*\])\s*$"
+TRAILING_PACKAGE = rf"\s*[:–—-]\s*[^:–—]{{0,90}}\b(?:{PACKAGE_WORDS})\b\s*$"
+TRAILING_MARKETING = rf"\s*[:–—-]\s*(?:{MARKETING_WORDS})[^:–—]{{0,80}}$"
 VARIANT_BREAK = (
     r"\s+[–—-]\s+(?=(?:v?\d|build\b|complete\b|deluxe\b|definitive\b|\d+\s+DLC))"
 )
@@ -72,13 +75,9 @@ def conservative_title(title: Column | str) -> Column:
 
 def aggressive_title(title: Column | str) -> Column:
     """Base title: package, edition and marketing suffixes cut as well."""
-    note = rf"\s*(?:\([^)]*(?:{PATCH_NOTES})[^)]*\)|\[[^\]]*(?:{PATCH_NOTES})[^\]]*\])\s*$"
-    package = rf"\s*[:–—-]\s*[^:–—]{{0,90}}\b(?:{PACKAGE_WORDS})\b\s*$"
-    marketing = rf"\s*[:–—-]\s*(?:{MARKETING_WORDS})[^:–—]{{0,80}}$"
-
     def base_title(base: Column) -> Column:
         value = base
-        for pattern in (TRAILING_RELEASE, note, package, marketing):
+        for pattern in (TRAILING_RELEASE, TRAILING_NOTE, TRAILING_PACKAGE, TRAILING_MARKETING):
             value = _cut(value, pattern)
         return _tidy(value, " ,;:-–—", base)
 
