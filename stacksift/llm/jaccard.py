@@ -13,10 +13,12 @@ made up for by spare segments; only a set with more empty segments than there ar
 ones indexes them too. So nothing is lost and no segment is common to all.
 
 Equal sets are one node, named by its hash. In every index group, nodes are first checked
-against one leader of the group, which is linear; linked nodes are contracted; only pairs
-of a group that are still in different components are looked at again, and of these the
-triangle inequality of the Jaccard distance to their leader rules most out. Every pair that
-shares an index entry and is not in one component is verified exactly, by the sets.
+against one leader of the group, which is linear, and linked nodes are contracted; this is
+done ``LEADERS`` times with other leaders, for groups that still hold several components.
+Then all pairs of a group that are in different components are looked at. A pair is verified
+exactly, by the sets, unless its sizes or its parity sketches rule it out: each shingle flips
+one bit, so differing bits are no more than differing shingles, and no linked pair is lost.
+Sketches grow with their sets; the rows of index groups carry a short one of fixed size.
 
 Defined cases: a null or empty text, or white space alone, has no shingles and no links; a
 text with fewer words than a shingle has one, of all its words. Rows without an id link
@@ -29,10 +31,10 @@ import math
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import sent_if_small, small_batches, written
 from .components import components
 
 SHINGLE = 4
@@ -40,8 +42,14 @@ PER_CENT = 85
 #: Ratio of the sizes of a band.
 BAND = 1.4
 #: Cost of a candidate pair in index rows, and the share of shingles that unrelated sets have in common.
-PAIR_COST = 4.0
-COMMON = 2e-4
+PAIR_COST = 0.05
+COMMON = 0.01
+#: Numbers of spare segments to choose from.
+SPARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96)
+#: Rounds of comparing nodes with one leader of their groups.
+LEADERS = 2
+#: Words of 64 bits in the short parity sketch of a set; the whole one has a bit per shingle or more.
+SKETCH = 16
 #: Rows of 16 bytes that may be sent to all executors; beyond it, both sides are shuffled.
 MOST_SENT = 500_000
 
@@ -56,10 +64,6 @@ class Band(NamedTuple):
     spare: int
 
 
-def _spare(empty: float) -> int:
-    return math.ceil(empty + 4 * math.sqrt(empty) + 1)
-
-
 def band_plan(low: int, high: int, sets: float, per_cent: int = PER_CENT) -> Band:
     """Segments of a band and their kinds, at the least cost for about ``sets`` sets in it.
 
@@ -73,27 +77,34 @@ def band_plan(low: int, high: int, sets: float, per_cent: int = PER_CENT) -> Ban
         return Band(low, high, 1, 0, 0)
     best, least = None, math.inf
     for share in (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0):
-        spare = 0
-        for _ in range(12):
+        for spare in SPARES:
             need = most + 1 + spare
             segments = math.ceil(need / (1 + share))
-            deletions = min(segments, max(0, need - segments))
+            deletions = min(segments, need - segments)
             mean = low / segments
-            empty = (segments - deletions) * math.exp(-mean) + 2 * deletions * math.exp(-mean) * (1 + mean)
-            again = _spare(empty)
-            if again <= spare or again > 4 * most + 8:
-                break
-            spare = again
-        mean = (low + high) / 2 / segments
-        rows = sets * (segments + deletions * mean)
-        alike = math.exp(-mean) * (math.exp(mean * COMMON) - 1)  # the same subset, not empty
-        pairs = sets * sets / 2 * alike * (segments - deletions + deletions * (1 + mean) ** 2)
-        cost = rows + PAIR_COST * pairs
-        if cost < least:
-            best, least = Band(low, high, segments, deletions, spare), cost
+            none = math.exp(-mean)
+            empty = (segments - deletions) * none + 2 * deletions * none * (1 + mean)
+            # Sets with more empty segments than spare ones index those, and meet others that do.
+            thin = _more_than(spare, empty)
+            both = min(1.0, segments * (none * (1 + mean)) ** 2)
+            alike = none * none * (math.exp(mean * COMMON) - 1)  # the same subset, not empty
+            chance = alike * (segments - deletions + deletions * (1 + mean) ** 2) + thin * thin * both
+            mean = (low + high) / 2 / segments
+            cost = sets * (segments + deletions * mean) + PAIR_COST * sets * sets / 2 * min(1.0, chance)
+            if cost < least:
+                best, least = Band(low, high, segments, deletions, spare), cost
     return best
 
 
+def _more_than(most: int, mean: float) -> float:
+    """The chance that a Poisson number is above ``most``."""
+    term = total = math.exp(-min(mean, 700))
+    for i in range(1, most + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1 - total)
+
+
 def bands(counts: dict[int, int], most_words: int, per_cent: int = PER_CENT, ratio: float = BAND) -> list[Band]:
     """Bands for sizes up to ``most_words``; ``counts`` has documents by rough size class."""
     out, low = [], 1
@@ -193,8 +204,53 @@ def set_name(shingles: np.ndarray) -> int:
     return int(_mix(np.array([mixed.sum() ^ np.uint64(len(shingles))], np.uint64))[0].astype(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of shingles falls on, as signed numbers: a power of two of them, ``SKETCH`` at least."""
+    bits = 64 * SKETCH
+    while bits < len(shingles):
+        bits *= 2
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def short_sketch(whole: np.ndarray) -> np.ndarray:
+    """The sketch with the fewest bits; shingles that fall together cancel out."""
+    return np.bitwise_xor.reduce(whole.reshape(-1, SKETCH), axis=0)
+
+
+def _sizes_fit(one: str, two: str, per_cent: int) -> tuple[Column, Column]:
+    """Whether two sizes allow a link, and the most shingles that linked sets of these sizes differ in."""
+    small, large = F.least(f"{one}s", f"{two}s"), F.greatest(f"{one}s", f"{two}s")
+    both = F.col(f"{one}s") + F.col(f"{two}s")
+    return 100 * small >= per_cent * large, both - 2 * F.ceil(per_cent * both / (100 + per_cent) - 1e-9)
+
+
+def short_fit(one: str, two: str, per_cent: int = PER_CENT) -> Column:
+    """Whether two sets, as columns ending in ``s`` (size) and ``k`` (short sketch), can link."""
+    sizes, most = _sizes_fit(one, two, per_cent)
+    differing = F.lit(0)
+    for i in range(SKETCH):
+        differing = differing + F.bit_count(F.col(f"{one}k")[i].bitwiseXOR(F.col(f"{two}k")[i]))
+    return sizes & (differing <= most)
+
+
+def whole_fit(one: str, two: str, per_cent: int = PER_CENT) -> Column:
+    """The same by the whole sketches, columns ending in ``w``; the longer one is folded to the other."""
+
+    def folded(longer: Column) -> Column:
+        half = (F.size(longer) / 2).cast("int")
+        return F.zip_with(F.slice(longer, F.lit(1), half), F.slice(longer, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    a, b = F.col(f"{one}w"), F.col(f"{two}w")
+    x, y = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
+    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    sizes, most = _sizes_fit(one, two, per_cent)
+    # Sketches more than one fold apart belong to sizes that don't fit.
+    return sizes & (F.size(x) == F.size(y)) & (differing <= most)
+
+
 def indexed(docs: DataFrame, plan: list[Band], shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, n_shingles, the name of the set and its index entries."""
+    """doc_id, n_shingles, the name of the set, its sketch and its index entries."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -203,18 +259,21 @@ def indexed(docs: DataFrame, plan: list[Band], shingle: int = SHINGLE, per_cent:
         of = Shingler(shingle)
         lows = np.array([b.low for b in plan])
         for batch in batches:
-            sizes, names, entries = [], [], []
+            sizes, names, sketches, short, entries = [], [], [], [], []
             for text in batch.column(1):
                 shingles = of(text.as_py())
                 sizes.append(len(shingles))
                 names.append(set_name(shingles) if len(shingles) else None)
+                sketches.append(sketch(shingles) if len(shingles) else None)
+                short.append(short_sketch(sketches[-1]) if len(shingles) else None)
                 entries.append(index_entries(shingles, plan, lows, per_cent).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(entries, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "entries"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
+                 pa.array(sketches, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64())), pa.array(entries, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "node", "sketch", "short", "entries"],
             )
 
-    schema = "doc_id long, n_shingles long, node long, entries array<long>"
+    schema = "doc_id long, n_shingles long, node long, sketch array<long>, short array<long>, entries array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -255,10 +314,6 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int = PER_CENT) -> Dat
     return out.withColumn("linked", 100 * F.col("shared") >= per_cent * F.col("both"))
 
 
-def similar_size(one: str, two: str, per_cent: int = PER_CENT):
-    return (100 * F.least(one, two) >= per_cent * F.greatest(one, two))
-
-
 def link(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, node), and (node, root) of all nodes that link with another."""
     chars = F.char_length("text")
@@ -274,65 +329,82 @@ def link(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> t
     named = found.select("doc_id", "n_shingles", "node")
     needed = groups.select("node").distinct()
     # One text per node: its smallest id.
-    chosen = named.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = written(chosen, "chosen")
-    if chosen.count() <= MOST_SENT:
-        chosen = F.broadcast(chosen)
+    facts = found.select("node", "doc_id", "n_shingles", "sketch", "short").filter("doc_id IS NOT NULL").join(needed, "node")
+    facts = written(facts.groupBy("node").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "short"), "doc_id").alias("f")), "nodes")
+    chosen = sent_if_small(facts.select("node", "f.doc_id"), facts.count(), MOST_SENT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    return named, _contracted(groups, shingle_sets(texts, shingle), per_cent)
+    nodes = facts.select("node", F.col("f.n_shingles").alias("size"), F.col("f.sketch").alias("sketch"), F.col("f.short").alias("short"))
+    return named, _contracted(groups, nodes, shingle_sets(texts, shingle), per_cent)
 
 
 def _shared_entries(found: DataFrame) -> DataFrame:
-    """(entry, node, size) of entries that at least two nodes have."""
+    """(entry, node) of entries that at least two nodes have."""
     rows = found.filter(F.col("doc_id").isNotNull()).select(F.explode("entries").alias("entry"), "node")
     at = Window.partitionBy("entry")
     shared = rows.select("entry", "node", F.min("node").over(at).alias("first"), F.max("node").over(at).alias("last"))
-    shared = shared.filter("first <> last").select("entry", "node").distinct()
-    sizes = found.filter("node IS NOT NULL").groupBy("node").agg(F.max("n_shingles").alias("size"))
-    return written(shared.join(sizes, "node").select("entry", "node", "size"), "shared-entries")
+    return written(shared.filter("first <> last").select("entry", "node").distinct(), "shared-entries")
+
+
+def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Components of the nodes (node, size, sketch, short) that share entries."""
+
+    def facts(name: str, sketch: str, mark: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), F.col("size").alias(f"{name}s"), F.col(sketch).alias(f"{name}{mark}"))
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and sketches allow: by the short ones first."""
+        near = pairs.join(facts("a", "short", "k"), "a").join(facts("b", "short", "k"), "b")
+        near = near.filter(short_fit("a", "b", per_cent)).select("a", "b")
+        near = near.join(facts("a", "sketch", "w"), "a").join(facts("b", "sketch", "w"), "b")
+        return near.filter(whole_fit("a", "b", per_cent)).select("a", "b")
+
+    def ordered(one: str, two: str) -> list[Column]:
+        return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+    rows = groups.withColumn("root", F.col("node"))
+    checked, roots = None, None
+    for number in range(LEADERS):
+        # Every node of a group against a node that leads it in this round.
+        lead = rows.groupBy("entry").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(number))).alias("lead"))
+        led = rows.join(lead, "entry").filter(F.col("root") != F.col("lead.root"))
+        pairs = led.select(*ordered("node", "lead.node")).distinct()
+        near = fitting(pairs)
+        if checked is not None:
+            near = near.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        found = written(verified(near, sets, per_cent), "leader-pairs")
+        links = found.filter("linked").select("a", "b")
+        checked = found.select("a", "b") if checked is None else checked.unionByName(found.select("a", "b"))
+        if links.isEmpty():
+            break
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+        rows = _open_groups(groups, roots)
+    if roots is None:
+        return groups.select("node", F.col("node").alias("root")).limit(0)
+    # All pairs of a group that are still in different components. The largest component of
+    # a group needs no pairs inside; the others meet all rows.
+    parts = rows.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("entry").agg(F.max(F.struct("n", "root")).alias("top"))
+    minor = rows.join(largest, "entry").filter(F.col("root") != F.col("top.root")).drop("top")
 
+    def side(some: DataFrame, name: str) -> DataFrame:
+        return some.select("entry", F.col("node").alias(name), F.col("root").alias(f"{name}r")).join(facts(name, "short", "k"), name)
 
-def _contracted(groups: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Components of the nodes that share entries."""
-    # Round 1: every node of a group against its leader.
-    lead = groups.groupBy("entry").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size")).alias("lead"))
-    led = groups.join(lead, "entry").select(
-        "entry", "node", "size", F.col("lead.node").alias("leader"), F.col("lead.size").alias("leader_size")
-    )
-    first = led.filter((F.col("node") != F.col("leader")) & similar_size("size", "leader_size", per_cent))
-    pairs = first.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    done = written(verified(pairs, sets, per_cent), "leader-pairs")
-    roots = components(done.filter("linked").select("a", "b"))
-    # Round 2: pairs of a group that are in different components, less those that the triangle
-    # inequality of the distance to the leader rules out.
-    far = done.select("a", "b", (1 - F.col("shared") / F.col("both")).alias("far"))
-    far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-    placed = (
-        led.join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-        .join(far.select(F.col("a").alias("node"), F.col("b").alias("leader"), "far"), ["node", "leader"], "left")
-        .select("entry", "node", "size", "root", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")).alias("far"))
-    )
-    mixed = placed.groupBy("entry").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-    open_rows = written(placed.join(mixed.select("entry"), "entry", "left_semi"), "open-entries")
-    # The largest component of a group needs no pairs inside; the others meet all rows.
-    parts = open_rows.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("entry").agg(F.max(F.struct("n", "root")).alias("top"))
-    minor = open_rows.join(largest, "entry").filter(F.col("root") != F.col("top.root")).drop("top")
-    one = minor.select("entry", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"), F.col("far").alias("xf"))
-    two = open_rows.select("entry", F.col("node").alias("y"), F.col("size").alias("ys"), F.col("root").alias("yr"), F.col("far").alias("yf"))
-    limit = (100 - per_cent) / 100 + 1e-9
-    ruled_out = F.coalesce(F.abs(F.col("xf") - F.col("yf")) > limit, F.lit(False))
-    # A pair with the leader itself was verified in round 1, or its sizes differ too much.
-    led_pair = F.coalesce((F.col("xf") == 0) | (F.col("yf") == 0), F.lit(False))
-    met = one.join(two, "entry").filter((F.col("xr") != F.col("yr")) & similar_size("xs", "ys", per_cent) & ~ruled_out & ~led_pair)
-    more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = more.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    late = written(verified(more, sets, per_cent).filter("linked").select("a", "b"), "late-links")
+    apart = (F.col("xr") != F.col("yr")) & short_fit("x", "y", per_cent)
+    met = side(minor, "x").join(side(rows, "y"), "entry").filter(apart)
+    more = met.select(*ordered("x", "y")).distinct().join(checked, ["a", "b"], "left_anti")
+    late = written(verified(fitting(more), sets, per_cent).filter("linked").select("a", "b"), "late-links")
     if late.isEmpty():
         return roots
-    star = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(star.unionByName(late))
+    return components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (entry, node, root) of the groups that hold more than one component."""
+    placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("entry").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
+    return written(placed.join(mixed.select("entry"), "entry", "left_semi").select("entry", "node", "root"), "open-entries")
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:

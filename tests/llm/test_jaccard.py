@@ -128,3 +128,24 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     for x in root:
         assert got.get(x, x) == find(x)
+
+
+def test_sketches_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(2)
+    rows, linked = [], []
+    for i in range(400):
+        n = int(rng.choice([3, 30, 400, 1000, 1100, 2100, 5000]))
+        one = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone = int(n * rng.choice([0, 0.04, 0.07, 0.15, 0.4]))
+        two = np.unique(np.r_[one[gone:], rng.integers(0, 2**63, int(gone * rng.random())).astype(np.uint64)])
+        if not len(two):
+            continue
+        shared = len(np.intersect1d(one, two))
+        linked.append(100 * shared >= 85 * (len(one) + len(two) - shared))
+        wholes = [jaccard.sketch(x) for x in (one, two)]
+        rows.append((len(linked) - 1, len(one), len(two), *[w.tolist() for w in wholes], *[jaccard.short_sketch(w).tolist() for w in wholes]))
+    df = spark.createDataFrame(rows, "i int, xs long, ys long, xw array<long>, yw array<long>, xk array<long>, yk array<long>")
+    got = df.select("i", jaccard.short_fit("x", "y").alias("short"), jaccard.whole_fit("x", "y").alias("whole")).collect()
+    for r in got:
+        assert (r.short and r.whole) or not linked[r.i]
+    assert sum(r.whole for r in got) < sum(linked) + 0.25 * len(linked)
