@@ -50,6 +50,8 @@ SPARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96)
 LEADERS = 2
 #: Words of 64 bits in the short parity sketch of a set; the whole one has a bit per shingle or more.
 SKETCH = 16
+#: Word hashes kept per worker.
+CACHE_WORDS = 100_000
 #: Rows of 16 bytes that may be sent to all executors; beyond it, both sides are shuffled.
 MOST_SENT = 500_000
 
@@ -137,7 +139,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.words
-        if len(known) > 300_000:
+        if len(known) > CACHE_WORDS:
             known.clear()
         hashes = list(map(known.get, words))
         if None in hashes:

@@ -9,11 +9,13 @@ space, and pieces with letters beyond Latin ones, go to the tokenizer as they ar
 from __future__ import annotations
 
 import base64
+import json
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
-#: Pieces kept per worker, about 100 MB; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+#: Pieces kept per worker, about 30 MB; beyond it the cache starts anew. Workers outlive
+#: their tasks, so what they hold adds to what later stages need.
+CACHE_PIECES = 120_000
 
 DEFAULT = "byte_bpe_50k"
 
@@ -37,11 +39,10 @@ class PieceEncoder:
     def __init__(self, json_path: str, ranks_path: str, special: bool) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(json_path)
-        self.tokenizer.encode_special_tokens = not special
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.json_path, self.special = json_path, special
+        with open(json_path, encoding="utf-8") as text:
+            self.marks = [t["content"] for t in json.load(text).get("added_tokens", [])] if special else []
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.latin = tiktoken.Encoding(
@@ -49,6 +50,15 @@ class PieceEncoder:
         )
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.json_path)
+        tokenizer.encode_special_tokens = not self.special
+        return tokenizer
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -45,8 +45,9 @@ COVER = 3
 #: Words around a term that may hold its quotation marks.
 WINDOW = 8
 THRESHOLD = 0.7
-CACHE_WORDS = 500_000
-CACHE_STATES = 200_000
+#: Words and states kept per worker.
+CACHE_WORDS = 150_000
+CACHE_STATES = 20_000
 
 _PARTS = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = "\"“„«‘'`>", "\"”“»’'`"
