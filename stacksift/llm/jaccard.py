@@ -340,11 +340,15 @@ def link(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> t
 
 
 def _shared_entries(found: DataFrame) -> DataFrame:
-    """(entry, node) of entries that at least two nodes have."""
+    """(entry, node, leads) of entries that at least two nodes have; one node leads each."""
     rows = found.filter(F.col("doc_id").isNotNull()).select(F.explode("entries").alias("entry"), "node")
     at = Window.partitionBy("entry")
-    shared = rows.select("entry", "node", F.min("node").over(at).alias("first"), F.max("node").over(at).alias("last"))
-    return written(shared.filter("first <> last").select("entry", "node").distinct(), "shared-entries")
+    order = F.struct(F.xxhash64("node", F.lit(0)), "node")
+    shared = rows.select(
+        "entry", "node", F.min("node").over(at).alias("first"), F.max("node").over(at).alias("last"),
+        (order == F.min(order).over(at)).alias("leads"),
+    )
+    return written(shared.filter("first <> last").select("entry", "node", "leads").distinct(), "shared-entries")
 
 
 def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -367,7 +371,8 @@ def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent:
     checked, roots = None, None
     for number in range(LEADERS):
         # Every node of a group against a node that leads it in this round.
-        lead = rows.groupBy("entry").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(number))).alias("lead"))
+        order = F.struct(F.xxhash64("node", F.lit(number)), "node")
+        lead = rows.groupBy("entry").agg(F.min_by(F.struct("node", "root"), order).alias("lead"))
         led = rows.join(lead, "entry").filter(F.col("root") != F.col("lead.root"))
         pairs = led.select(*ordered("node", "lead.node")).distinct()
         near = fitting(pairs)
@@ -382,10 +387,10 @@ def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(links)
         rows = _open_groups(groups, roots)
-    if roots is None:
-        return groups.select("node", F.col("node").alias("root")).limit(0)
-    # All pairs of a group that are still in different components. The largest component of
-    # a group needs no pairs inside; the others meet all rows.
+    # All pairs of a group that are still in different components. The leaders of the first
+    # round have met their whole groups, so they and groups of two are done. The largest
+    # component of a group needs no pairs inside; the others meet all rows.
+    rows = _mixed(rows.filter(~F.col("leads")))
     parts = rows.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("entry").agg(F.max(F.struct("n", "root")).alias("top"))
     minor = rows.join(largest, "entry").filter(F.col("root") != F.col("top.root")).drop("top")
@@ -397,16 +402,23 @@ def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent:
     met = side(minor, "x").join(side(rows, "y"), "entry").filter(apart)
     more = met.select(*ordered("x", "y")).distinct().join(checked, ["a", "b"], "left_anti")
     late = written(verified(fitting(more), sets, per_cent).filter("linked").select("a", "b"), "late-links")
+    if roots is None:
+        return components(late)
     if late.isEmpty():
         return roots
     return components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (entry, node, root) of the groups that hold more than one component."""
+    """Rows (entry, node, leads, root) of the groups that hold more than one component."""
     placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("entry").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-    return written(placed.join(mixed.select("entry"), "entry", "left_semi").select("entry", "node", "root"), "open-entries")
+    return _mixed(placed.select("entry", "node", "leads", "root"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of groups with more than one root."""
+    mixed = rows.groupBy("entry").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
+    return written(rows.join(mixed.select("entry"), "entry", "left_semi"), "open-entries")
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:

@@ -149,3 +149,18 @@ def test_sketches_never_rule_out_a_link(spark):
     for r in got:
         assert (r.short and r.whole) or not linked[r.i]
     assert sum(r.whole for r in got) < sum(linked) + 0.25 * len(linked)
+
+
+def test_links_among_those_that_do_not_link_with_their_leader(spark):
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(10, 13).orderBy(F.xxhash64("id", F.lit(0))).collect()]
+    rng = np.random.default_rng(3)
+    same = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
+    sets = [np.unique(rng.integers(0, 2**63, 100).astype(np.uint64)), same, same[:95]]
+    groups = spark.createDataFrame([(7, i, n == 0) for n, i in enumerate(ids)], "entry long, node long, leads boolean")
+    rows = [(i, len(s), jaccard.sketch(s).tolist(), jaccard.short_sketch(jaccard.sketch(s)).tolist(), s.astype(np.int64).tolist()) for i, s in zip(ids, sets)]
+    nodes = spark.createDataFrame(rows, "node long, size long, sketch array<long>, short array<long>, shingles array<long>")
+    got = {r.node: r.root for r in jaccard._contracted(groups, nodes, nodes.select("node", "shingles"), 85).collect()}
+    low, high = sorted(ids[1:])
+    assert got.get(high) == low and got.get(low, low) == low and got.get(ids[0], ids[0]) == ids[0]
