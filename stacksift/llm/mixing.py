@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from ..operators.ordinals import with_ordinals
 from ..session import cut_lineage
-from .common import word_count
+from .common import sent_if_small, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 RANGE_ROWS = 1000
+#: Sources that may be sent to all executors, 50 bytes each; beyond it, rows are joined by shuffles.
+MOST_SENT = 200_000
 #: Keys are numbers below 2 ** KEY_BITS, from the first hexadecimal digits of a hash.
 KEY_BITS = 60
 
@@ -125,19 +127,25 @@ def taken_words(rows: DataFrame, cut: DataFrame) -> DataFrame:
     ).drop(*cut.columns)
 
 
+def _kept(per_source: DataFrame) -> DataFrame:
+    """A table of one row per source, computed once; sent to all executors if it is small."""
+    kept = cut_lineage(per_source)
+    return sent_if_small(kept, kept.count(), MOST_SENT)
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> tuple[DataFrame, DataFrame]:
     """Targets and cuts per source of ``documents``."""
     slim = cut_lineage(sized(docs.select("doc_id", "text", "source")).drop("row"))
-    targets = cut_lineage(source_targets(slim, weights, most))
-    return targets, cut_lineage(cuts(slim, targets))
+    targets = _kept(source_targets(slim, weights, most))
+    return targets, _kept(cuts(slim, targets))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target`` and ``taken``."""
     slim = cut_lineage(sized(docs.select("doc_id", "text", "source")).select(
         F.col("row.doc_id").alias("doc_id"), "mix_source", "mix_key", "mix_size"))
-    targets = cut_lineage(source_targets(slim.drop("doc_id"), weights, most))
-    marked = taken_words(slim, cut_lineage(cuts(slim.drop("doc_id"), targets)))
+    targets = _kept(source_targets(slim.drop("doc_id"), weights, most))
+    marked = taken_words(slim, _kept(cuts(slim.drop("doc_id"), targets)))
     of = targets.select(F.col("mix_source").alias("s"), "source_size", "target")
     return marked.join(of, F.col("mix_source").eqNullSafe(F.col("s"))).select(
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken"
