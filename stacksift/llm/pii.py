@@ -9,8 +9,13 @@ free node a distribution over no kind and the four kinds; base spans are fixed e
 always stay. A free node whose kind is likely enough is an added span.
 
 The potentials are log ratios of counts over the whole corpus: shape and neighbouring words
-given the kind, kinds of neighbours on the chain, kinds of the two ends of skip edges. All
-counts are per shape, hashed word or pair of kinds, so the table has a fixed size bound.
+given the kind, kinds of neighbours on the chain, agreement of the two ends of skip edges. A
+free node has no label to count, so free nodes are counted in two groups. Those that no skip
+edge links to a base span count for no kind. Twins, linked to base spans of one kind, count for
+it as often as linked base spans agree, and for no kind otherwise; their shapes and words are
+compared among twins and base spans only. Twins of several kinds are not counted. So neither
+the number of twins nor that of other numbers in the corpus speaks against a twin. All counts
+are per shape, hashed word or pair of kinds, so the table has a fixed size bound.
 
 Defined cases: a null text is empty and has no spans; a null id is kept; repeated rows are
 read each by itself. Spans do not overlap within a kind, and added ones overlap no other.
@@ -53,9 +58,12 @@ ROUNDS = 12
 #: Bound on the size of one learned potential.
 MOST_WEIGHT = 4.0
 #: Pairs that the learned pairs of kinds are mixed with, and how often the ends of their skip edges agree.
+#: Only linked base spans add to the latter, and where these agree they raise it.
 SMOOTHING, AGREE = 20.0, 0.98
 
 OTHER = len(KINDS)
+#: Starts the names of features as they are counted among twins and base spans.
+TWIN = "twin:"
 
 
 class Span(NamedTuple):
@@ -183,18 +191,47 @@ class Potentials(NamedTuple):
     skip: np.ndarray
 
 
+def linked_kinds(nodes: list[Node], edges: list[tuple[int, int]]) -> list[int | None]:
+    """Kinds of nodes: their own, else the one kind of base spans that skip edges lead to, OTHER for none, None for several."""
+    group = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for i, j in edges:
+        group[root(j)] = root(i)
+    found: dict[int, set[int]] = {}
+    for i, node in enumerate(nodes):
+        if node.kind is not None:
+            found.setdefault(root(i), set()).add(node.kind)
+    kinds: list[int | None] = []
+    for i, node in enumerate(nodes):
+        near = found.get(root(i), {OTHER})
+        kinds.append(node.kind if node.kind is not None else next(iter(near)) if len(near) == 1 else None)
+    return kinds
+
+
 def count_nodes(text: str, counts: Counter) -> None:
-    """Add the features and pairs of kinds of one text to ``counts``."""
+    """Add the features and pairs of kinds of one text to ``counts``; the last part of a feature's key is 1 for twins."""
     base = base_spans(text)
     nodes = nodes_of(text, base)
-    kinds = [OTHER if n.kind is None else n.kind for n in nodes]
+    edges = skip_edges(nodes)
+    kinds = linked_kinds(nodes, edges)
     for node, kind in zip(nodes, kinds):
-        for feature in ("prior", *node.features):
-            counts[feature, kind, 0] += 1
+        if kind is not None:
+            twin = int(node.kind is None and kind != OTHER)
+            for feature in ("prior", *node.features):
+                counts[feature, kind, twin] += 1
     for a, b in zip(kinds, kinds[1:]):
-        counts["chain", a, b] += 1
-    for i, j in skip_edges(nodes):
-        counts["skip", kinds[i], kinds[j]] += 1
+        if a is not None and b is not None:
+            counts["chain", a, b] += 1
+    for i, j in edges:
+        # Patterns that meet in the same characters are no two mentions.
+        if nodes[i].kind is not None and nodes[j].kind is not None and nodes[i].end <= nodes[j].start:
+            counts["skip", nodes[i].kind, nodes[j].kind] += 1
 
 
 def learn(docs: DataFrame) -> Potentials:
@@ -223,48 +260,57 @@ def learn(docs: DataFrame) -> Potentials:
 def potentials(rows) -> Potentials:
     """Log ratios from rows of (feature, a, b, n), smoothed."""
     size = len(KINDS) + 1
-    prior = np.ones(size)
-    tables = {"chain": np.zeros((size, size)), "skip": np.zeros((size, size))}
-    features: dict[str, np.ndarray] = {}
+    rows = list(rows)
+    same = sum(n for feature, a, b, n in rows if feature == "skip" and a == b)
+    every = sum(n for feature, _, _, n in rows if feature == "skip")
+    agree = (same + SMOOTHING * AGREE) / (every + SMOOTHING)
+    pairs = np.zeros((size, size))
+    features: dict[str, np.ndarray] = {"prior": np.zeros(size), f"{TWIN}prior": np.zeros(size)}
     for feature, a, b, n in rows:
-        if feature == "prior":
-            prior[a] += n
-        elif feature in tables:
-            tables[feature][a, b] += n
-        else:
-            features.setdefault(feature, np.zeros(size))[a] += n
-    share = prior / prior.sum()
+        if feature == "chain":
+            pairs[a, b] += n
+        elif feature != "skip":
+            if not b:
+                features.setdefault(feature, np.zeros(size))[a] += n
+            if b or a != OTHER:
+                among_twins = features.setdefault(TWIN + feature, np.zeros(size))
+                among_twins[a] += agree * n if b else n
+                among_twins[OTHER] += (1 - agree) * n if b else 0
+    shares = [n / n.sum() for n in (features.pop("prior") + 1, features.pop(f"{TWIN}prior") + 1)]
     unary = {}
     for feature, n in features.items():
+        share = shares[feature.startswith(TWIN)]
         # P(kind | feature) against P(kind), drawn to the prior where counts are few.
         unary[feature] = np.clip(np.log((n + share) / (n.sum() + 1) / share), -MOST_WEIGHT, MOST_WEIGHT)
 
     def ratio(table: np.ndarray, most: float) -> np.ndarray:
         both = table + table.T
         both = both / both.sum()
-        return np.clip(np.log(both / np.outer(share, share)), -most, most)
+        return np.clip(np.log(both / np.outer(both.sum(0), both.sum(1))), -most, most)
 
-    # Without counts, neighbours on the chain are independent and ends of skip edges mostly agree.
+    # Without counts, neighbours on the chain are independent. Ends of skip edges agree, or are what they are by chance.
+    share = shares[0]
     alone = np.outer(share, share)
-    chain = tables["chain"] + SMOOTHING * alone
-    skip = tables["skip"] + SMOOTHING * (AGREE * np.diag(share) + (1 - AGREE) * alone)
-    return Potentials(unary, np.log(share), ratio(chain, MOST_WEIGHT), ratio(skip, 2 * MOST_WEIGHT))
+    skip = agree * np.diag(share) + (1 - agree) * alone
+    return Potentials(unary, np.log(share), ratio(pairs + SMOOTHING * alone, MOST_WEIGHT), ratio(skip, 2 * MOST_WEIGHT))
 
 
 def beliefs(nodes: list[Node], model: Potentials, rounds: int = ROUNDS) -> np.ndarray:
     """Distributions over the kinds by loopy message passing, one row per node."""
     size = len(model.prior)
     unary = np.tile(model.prior, (len(nodes), 1))
+    edges = skip_edges(nodes)
+    kinds = linked_kinds(nodes, edges)
     for i, node in enumerate(nodes):
         if node.kind is not None:
             unary[i] = -50.0
             unary[i, node.kind] = 0.0
             continue
         for feature in node.features:
-            weight = model.unary.get(feature)
+            weight = model.unary.get(feature if kinds[i] == OTHER else TWIN + feature)
             if weight is not None:
                 unary[i] += weight if feature.startswith("shape") else 0.5 * weight
-    pairs = [(i, i + 1, 0) for i in range(len(nodes) - 1)] + [(i, j, 1) for i, j in skip_edges(nodes)]
+    pairs = [(i, i + 1, 0) for i in range(len(nodes) - 1)] + [(i, j, 1) for i, j in edges]
     total = unary.copy()
     if pairs:
         one = np.array([p[0] for p in pairs] + [p[1] for p in pairs])

@@ -69,6 +69,28 @@ def test_far_mention_gets_the_label_of_its_twin():
     assert pii.hide(text, found).count("[PHONE]") == 2
 
 
+@pytest.mark.parametrize("others", [0, 5000])
+@pytest.mark.parametrize("twins", [0, 1, 10, 1000])
+def test_twins_are_found_at_every_corpus_size(twins, others):
+    phones = [f"Reach us at +1 (312) {200 + i % 700}-{1000 + i} today. Or (312) {200 + i % 700}-{1000 + i} again" for i in range(twins)]
+    mails = [f"Write to ann{i}@site{i}.org now, that is ann{i} (at) site{i} (dot) org there" for i in range(twins)]
+    strange = [f"Or (415) {200 + i % 700}-{1000 + i % 9000} again" for i in range(others)]
+    model = model_of(TRAIN + phones + mails + strange)
+    number, spelled = "(212) 555-7788", "bob.low (at) mail (dot) net"
+    text = f"Reach us at +1 {number} today. Or {number} again, order 998123456 shipped. Write to bob.low@mail.net now, that is {spelled} there"
+    added = [(s.kind, text[s.start : s.end]) for s in pii.find_spans(text, model) if not s.base]
+    assert added == [(0, spelled), (3, number)]
+    assert [s for s in pii.find_spans("order 998123456 shipped", model) if not s.base] == []
+
+
+def test_linked_kinds():
+    text = "mail a@b.co or a (at) b (dot) co, call +1 212 555 7788, order 123456789"
+    nodes = pii.nodes_of(text, pii.base_spans(text))
+    assert pii.linked_kinds(nodes, pii.skip_edges(nodes)) == [0, 0, 3, pii.OTHER]
+    two = [pii.Node(0, 5, 2, (), ("k",)), pii.Node(9, 12, None, (), ("k", "l")), pii.Node(20, 25, 3, (), ("l",))]
+    assert pii.linked_kinds(two, pii.skip_edges(two)) == [2, None, 3]
+
+
 def test_messages_are_exact_on_a_chain():
     model = model_of(TRAIN)
     nodes = [pii.Node(i * 10, i * 10 + 5, None, (f"f{i}",), (f"k{i}",)) for i in range(3)]
