@@ -2,7 +2,9 @@
 
 Markup is stripped into lines, one per block element. Lines inside menus, forms, scripts
 and other parts that are never article text count no characters but keep their place, and
-so do lines outside the article element where a page has one. Text lengths without link
+so do lines outside the article element where a page has one. A part that is only named as
+one of these, by class, id, role or as a form, does not count as such for the main element
+inside of it, nor for an article if no other has text. Text lengths without link
 text are summed over sliding windows of ``WINDOW`` lines. A region starts where the sum
 surges to ``SURGE`` and reaches from there to where the windows around it fall to nothing;
 the text between is kept whole. Where no window surges, as on pages with one short line,
@@ -10,7 +12,8 @@ the region with the largest sum is kept.
 
 Inside a block, a run of white space is one space; blocks are joined by newlines in page
 order. Character references are decoded. A null page is empty; a page without text has an
-empty text; unclosed tags, quotes and comments end with the page. The scan is linear.
+empty text; unclosed tags, quotes and comments end with the page or as the next part of the same list or
+table begins. An end tag ends the innermost open element of its name. The scan is linear.
 """
 
 from __future__ import annotations
@@ -37,6 +40,26 @@ BLOCKS = frozenset(
     " table tbody td tfoot th thead title tr ul caption".split()
 )
 RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp title svg math canvas object audio video".split())
+#: Elements that an opening tag ends without a tag of their own, and those beyond which it ends none.
+_PARTS_OF_PAGE = frozenset("article main section nav aside header footer form fieldset blockquote table td th".split())
+_LISTS = _PARTS_OF_PAGE | {"ul", "ol", "menu", "dir"}
+_TERMS = _PARTS_OF_PAGE | {"dl"}
+_ROWS = frozenset(("td", "th", "tr", "caption"))
+_TABLE = frozenset(("table",))
+_GROUPS = frozenset(("table", "tbody", "thead", "tfoot"))
+IMPLIED_ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(("li",)), _LISTS),
+    "dt": (frozenset(("dt", "dd")), _TERMS),
+    "dd": (frozenset(("dt", "dd")), _TERMS),
+    "td": (frozenset(("td", "th", "caption")), _GROUPS | {"tr"}),
+    "th": (frozenset(("td", "th", "caption")), _GROUPS | {"tr"}),
+    "tr": (_ROWS, _GROUPS),
+    "tbody": (_ROWS | _GROUPS - _TABLE, _TABLE),
+    "thead": (_ROWS | _GROUPS - _TABLE, _TABLE),
+    "tfoot": (_ROWS | _GROUPS - _TABLE, _TABLE),
+    "option": (frozenset(("option",)), frozenset(("select", "optgroup"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
 SKIPPED = frozenset("nav footer aside form menu dialog button select fieldset head header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
@@ -52,6 +75,9 @@ OUTSIDE = frozenset(
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _QUOTE_OR_END = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: Class names that say which parts stand next to an element, not what it is.
+_BESIDE = re.compile(r"(?:no|not|has|have|with|without|hide|show|is-not)(?:[-_]|(?=[A-Z]))")
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>]|$)", re.IGNORECASE | re.ASCII) for name in RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -59,8 +85,9 @@ _SPACE = re.compile(r"\s+")
 class Line(NamedTuple):
     text: str
     linked: int  # characters inside links
-    kept: bool  # neither in a skipped part nor outside the article
+    kept: bool  # in no skipped part, nor in one named as outside unless that holds the main element
     article: bool
+    saved: bool = False  # the same, and the outermost article too may stand in parts named as outside
 
 
 def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
@@ -79,17 +106,23 @@ def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
             at = html.index(mark, place + 1) + 1
 
 
-def _is_outside(name: str, attributes: str) -> bool:
-    if name in ("html", "body", "article", "main"):
-        return False
+def _is_hidden(attributes: str) -> bool:
     for key, value in _NAMES.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             return True
-        if key in ("class", "id", "role") and any(w.lower() in OUTSIDE for w in _WORDS.findall(value)):
-            return True
+    return False
+
+
+def _is_outside(attributes: str) -> bool:
+    """Whether class, id or role name a part outside the article."""
+    for key, value in _NAMES.findall(attributes):
+        if key.lower() in ("class", "id", "role"):
+            for name in value.strip("\"'").split():
+                if not _BESIDE.match(name) and any(w.lower() in OUTSIDE for w in _WORDS.findall(name)):
+                    return True
     return False
 
 
@@ -98,26 +131,48 @@ def page_lines(html: str) -> list[Line]:
     lines: list[Line] = []
     pieces: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, bool, bool]] = []  # name, skipped, article
-    skipped = articles = links = 0
+    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, skipped, named as outside, article
+    places: dict[str, list[int]] = {}  # of a name's open elements in open_tags
+    bases: list[tuple[int, int]] = []  # for every open article or main: parts named as outside around it
+    skipped = outside = articles = links = 0
     last = {q: html.rfind(q) for q in "\"'"}
-    low = None
     at, end = 0, len(html)
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
-        lines.append(Line(text, min(linked, len(text)), not skipped, articles > 0))
+        around_main, around = bases[-1] if bases else (0, 0)
+        lines.append(Line(text, min(linked, len(text)), not skipped and outside == around_main, articles > 0, not skipped and outside == around))
         pieces.clear()
         linked = 0
 
+    def enter(name: str, out: bool, named: bool) -> None:
+        nonlocal skipped, outside, articles
+        mark = name in ARTICLE
+        if mark:
+            # What is around the main element says nothing about it, nor what is around the outermost article if no other has text.
+            around_main, around = bases[-1] if bases else (0, outside)
+            bases.append((outside if name == "main" else around_main, outside if name == "main" else around))
+        places.setdefault(name, []).append(len(open_tags))
+        open_tags.append((name, out, named, mark))
+        skipped += out
+        outside += named
+        articles += mark
+
     def leave(upto: int) -> None:
-        nonlocal skipped, articles
-        for _, was_skipped, was_article in open_tags[upto:]:
+        nonlocal skipped, outside, articles
+        for name, was_skipped, was_named, was_article in open_tags[upto:]:
             skipped -= was_skipped
+            outside -= was_named
             articles -= was_article
+            places[name].pop()
+            if was_article:
+                bases.pop()
         del open_tags[upto:]
 
+    def innermost(names: frozenset[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     while at < end:
         tag = _TAG.search(html, at)
         text = html[at : tag.start() if tag else end]
@@ -140,9 +195,8 @@ def page_lines(html: str) -> list[Line]:
             pieces.append(" ")
         if not closing and name in RAW:
             if not html[at - 2 : at] == "/>" or name in ("script", "style", "title", "textarea"):
-                low = html.lower() if low is None else low
-                stop = low.find(f"</{name}", at)
-                at = end if stop < 0 else _tag_end(html, stop + 2 + len(name), last)
+                stop = _RAW_END[name].search(html, at)
+                at = end if stop is None else _tag_end(html, stop.end(), last)
             pieces.append(" ")
             continue
         if name in BLOCKS:
@@ -152,30 +206,39 @@ def page_lines(html: str) -> list[Line]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(open_tags) - 1, max(-1, len(open_tags) - 64), -1):
-                if open_tags[i][0] == name:
-                    leave(i)
-                    break
+            if places.get(name):
+                leave(places[name][-1])
         elif name in BLOCKS or name in SKIPPED:
-            if open_tags and name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_tags[-1][0] == name:
-                leave(len(open_tags) - 1)
-            elif open_tags and open_tags[-1][0] == "p":
+            if open_tags and open_tags[-1][0] == "p":
                 leave(len(open_tags) - 1)
-            out = (name in SKIPPED and not (name == "header" and articles)) or _is_outside(name, html[tag.end() : at])
-            mark = name in ARTICLE
-            open_tags.append((name, out, mark))
-            skipped += out
-            articles += mark
+            if name in IMPLIED_ENDS:
+                ended, bound = IMPLIED_ENDS[name]
+                least = innermost(bound)
+                for other in ended:
+                    # An element of a kind is ended by the next of its kind, so few are open inside the bound.
+                    while places.get(other) and places[other][-1] > least:
+                        leave(places[other][-1])
+            attributes = html[tag.end() : at]
+            named = name not in ("html", "body", "article", "main")
+            out = name in SKIPPED and name != "form" and not (name == "header" and articles)
+            enter(name, out or (named and _is_hidden(attributes)), named and (name == "form" or _is_outside(attributes)))
         elif name in ("span", "section", "font", "center", "ins"):
-            out = _is_outside(name, html[tag.end() : at])
-            if out:
+            attributes = html[tag.end() : at]
+            out, named = _is_hidden(attributes), _is_outside(attributes)
+            if out or named:
                 flush()
-                open_tags.append((name, True, False))
-                skipped += 1
+                enter(name, out, named)
     flush()
     return lines
 
 
+def settled(lines: list[Line]) -> list[Line]:
+    """``lines`` as they are kept in the end: where no article outside of other parts has text, one inside of them is kept."""
+    if any(x.article and x.text and x.kept for x in lines):
+        return lines
+    return [x._replace(kept=True) if x.article and x.saved else x for x in lines]
+
+
 def line_weights(lines: list[Line]) -> np.ndarray:
     """Characters per line that count: none in left-out parts, nor link text."""
     in_article = any(x.article and x.kept and x.text for x in lines)
@@ -199,7 +262,7 @@ def regions(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE, gap:
 
 def main_text(html: str) -> str:
     """The article text of a page."""
-    lines = page_lines(html)
+    lines = settled(page_lines(html))
     in_article = any(x.article and x.kept and x.text for x in lines)
     weights = line_weights(lines)
     if in_article:

@@ -48,3 +48,34 @@ def test_rows(spark):
     rows = sorted((r.page_id or 0, r.text) for r in pagetext.extract(pages).collect())
     assert rows == [(0, ""), (1, ""), (2, "x"), (2, "x")]
     assert pagetext.extract(pages.limit(0)).collect() == []
+
+
+ROWS = "".join(f"<tr><td>{i}<td>x" for i in range(80))
+TERMS = "".join(f"<dt>{i}<dd>x" for i in range(80))
+
+LATER = [
+    (f"<nav><table>{ROWS}</table></nav><p>{LONG}</p>", LONG),
+    (f"<nav><table>{ROWS}</nav><p>{LONG}</p>", LONG),
+    (f"<aside><dl>{TERMS}</dl></aside><p>{LONG}</p>", LONG),
+    ("<div class=sidebar>" + "<div>" * 70 + "x" + f"</nav>{'</div>' * 71}<p>{LONG}</p>", LONG),
+    (f"<ul><li>a<ul><li>{LONG}</li></ul><li><p>b<li>c</ul>", f"a\n{LONG}\nb\nc"),
+    (f"<div class='content with-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div id='page' class='no-sidebar hasHeader'><p>{LONG}</p></div>", LONG),
+    (f"<div class=header><main><p>{LONG}</p><div class=ad>x</div></main></div>", LONG),
+    (f"<form><div class=widget><article><p>{LONG}</p><p class=ad>x</p></article></div></form>", LONG),
+    (f"<article><p>One</p></article><section id=comments><article><p>{LONG}</p></article></section>", "One"),
+    (f"<p>{'İ' * 40}</p><script>x</script><p>{LONG}</p>", f"{'İ' * 40}\n{LONG}"),
+    (f"<p>{'İ' * 40}</p><SCRIPT>var a = '</scr' + 'ipt'</SCRIPT><p>{LONG}</p>", f"{'İ' * 40}\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("html,text", LATER)
+def test_later_text_is_kept(html, text):
+    assert pagetext.main_text(html) == text
+
+
+def test_deep_pages_are_linear():
+    began = time.time()
+    for html in ("<li>" * 200000, "<tr><td>" * 100000, "<div>" * 200000 + "</div>" * 200000, "<table><tr><td>" * 50000, "<div><li>" * 100000 + "</ul>" * 100000, "<article>" * 100000 + "</x>" * 100000):
+        pagetext.main_text(html)
+    assert time.time() - began < 30
