@@ -7,7 +7,10 @@ one of these, by class, id, role or as a form, does not count as such for the ma
 inside of it, nor for an article if no other has text. Text lengths without link
 text are summed over sliding windows of ``WINDOW`` lines. A region starts where the sum
 surges to ``SURGE`` and reaches from there to where the windows around it fall to nothing;
-the text between is kept whole. Where no window surges, as on pages with one short line,
+the text between is kept whole. Single lines of link text between others, or headings above them,
+count as such, and do not part a region. All lines of an article element are kept. Link text
+is what stands in ``a`` with ``href``, to its end tag, but at most to the end of the element
+around it; without end tag, to the end of its block. Where no window surges, as on pages with one short line,
 the region with the largest sum is kept.
 
 Inside a block, a run of white space is one space; blocks are joined by newlines in page
@@ -63,6 +66,7 @@ IMPLIED_ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 SKIPPED = frozenset("nav footer aside form menu dialog button select fieldset head header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words of class, id and role names that mark parts outside the article.
 OUTSIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs byline comment comments"
@@ -79,6 +83,8 @@ _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("
 _BESIDE = re.compile(r"(?:no|not|has|have|with|without|hide|show|is-not)(?:[-_]|(?=[A-Z]))")
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>]|$)", re.IGNORECASE | re.ASCII) for name in RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE | re.ASCII)
+_HREF = re.compile(r"\bhref\s*=", re.IGNORECASE | re.ASCII)
 _SPACE = re.compile(r"\s+")
 
 
@@ -87,7 +93,8 @@ class Line(NamedTuple):
     linked: int  # characters inside links
     kept: bool  # in no skipped part, nor in one named as outside unless that holds the main element
     article: bool
-    saved: bool = False  # the same, and the outermost article too may stand in parts named as outside
+    heading: bool = False
+    saved: bool = False  # kept, and the outermost article too may stand in parts named as outside
 
 
 def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
@@ -134,15 +141,17 @@ def page_lines(html: str) -> list[Line]:
     open_tags: list[tuple[str, bool, bool, bool]] = []  # name, skipped, named as outside, article
     places: dict[str, list[int]] = {}  # of a name's open elements in open_tags
     bases: list[tuple[int, int]] = []  # for every open article or main: parts named as outside around it
-    skipped = outside = articles = links = 0
+    skipped = outside = articles = 0
+    links = 0  # 0: in no link; 1: in one that ends with its block; 2: in one that has an end tag
+    link_depth = 0  # open elements around the link
     last = {q: html.rfind(q) for q in "\"'"}
     at, end = 0, len(html)
 
-    def flush() -> None:
+    def flush(heading: bool = False) -> None:
         nonlocal linked
         text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
         around_main, around = bases[-1] if bases else (0, 0)
-        lines.append(Line(text, min(linked, len(text)), not skipped and outside == around_main, articles > 0, not skipped and outside == around))
+        lines.append(Line(text, min(linked, len(text)), not skipped and outside == around_main, articles > 0, heading, not skipped and outside == around))
         pieces.clear()
         linked = 0
 
@@ -160,7 +169,9 @@ def page_lines(html: str) -> list[Line]:
         articles += mark
 
     def leave(upto: int) -> None:
-        nonlocal skipped, outside, articles
+        nonlocal skipped, outside, articles, links
+        if upto < link_depth:
+            links = 0
         for name, was_skipped, was_named, was_article in open_tags[upto:]:
             skipped -= was_skipped
             outside -= was_named
@@ -200,9 +211,14 @@ def page_lines(html: str) -> list[Line]:
             pieces.append(" ")
             continue
         if name in BLOCKS:
-            flush()
+            flush(closing == "/" and name in HEADINGS)
+            if links == 1:
+                links = 0
         if name == "a":
-            links = 0 if closing else 1
+            links = 0
+            if not closing and _HREF.search(html, tag.end(), at):
+                following = _NEXT_LINK.search(html, at)
+                links, link_depth = 2 if following and following.group(1) else 1, len(open_tags)
         if name in VOID:
             continue
         if closing:
@@ -239,20 +255,38 @@ def settled(lines: list[Line]) -> list[Line]:
     return [x._replace(kept=True) if x.article and x.saved else x for x in lines]
 
 
+def in_articles(lines: list[Line]) -> bool:
+    """Whether articles bound the text: one has text of its own, or only links as the rest of the page has."""
+    return any(x.article and x.kept and len(x.text) > x.linked for x in lines) or (
+        any(x.article and x.kept and x.text for x in lines) and not any(x.kept and len(x.text) > x.linked for x in lines)
+    )
+
+
 def line_weights(lines: list[Line]) -> np.ndarray:
     """Characters per line that count: none in left-out parts, nor link text."""
-    in_article = any(x.article and x.kept and x.text for x in lines)
+    bounded = in_articles(lines)
     return np.array([
-        max(len(x.text) - x.linked, 0) if x.kept and (x.article or not in_article) else 0 for x in lines
+        max(len(x.text) - x.linked, 0) if x.kept and (x.article or not bounded) else 0 for x in lines
     ])
 
 
-def regions(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE, gap: int = GAP) -> list[tuple[int, int]]:
-    """Runs of lines between surge and dive points."""
+def linked_inside(lines: list[Line]) -> np.ndarray:
+    """Lines of nothing but links that stand alone between or, as a heading, above other text."""
+    kept = [i for i, x in enumerate(lines) if x.kept and x.text]
+    own = [len(lines[i].text) > lines[i].linked for i in kept]
+    out = np.zeros(len(lines), bool)
+    for k, i in enumerate(kept):
+        after = k + 1 < len(kept) and own[k + 1] and lines[kept[k + 1]].article == lines[i].article
+        out[i] = not own[k] and after and ((k > 0 and own[k - 1]) or lines[i].heading)
+    return out
+
+
+def regions(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE, gap: int = GAP, inside: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Runs of lines between surge and dive points; lines ``inside`` without weight belong to the run that they are in or next to."""
     if not len(weights) or not weights.any():
         return []
     sums = np.convolve(weights, np.ones(window, int))[window - 1 :]  # sum of a line and those after it
-    full = np.flatnonzero(weights)
+    full = np.flatnonzero(weights if inside is None else (np.asarray(weights) > 0) | inside)
     breaks = np.flatnonzero(np.diff(full) > window + gap)
     starts, ends = full[np.r_[0, breaks + 1]], full[np.r_[breaks, len(full) - 1]] + 1
     runs = list(zip(starts.tolist(), ends.tolist()))
@@ -263,17 +297,11 @@ def regions(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE, gap:
 def main_text(html: str) -> str:
     """The article text of a page."""
     lines = settled(page_lines(html))
-    in_article = any(x.article and x.kept and x.text for x in lines)
-    weights = line_weights(lines)
-    if in_article:
+    if in_articles(lines):
         # The article element bounds the region; all of its own lines belong to it.
-        runs = regions(weights, surge=1)
-    else:
-        runs = regions(weights)
-    out = [
-        line.text for a, b in runs for line in lines[a:b] if line.text and line.kept and (line.article or not in_article)
-    ]
-    return "\n".join(out)
+        return "\n".join(x.text for x in lines if x.text and x.kept and x.article)
+    runs = regions(line_weights(lines), inside=linked_inside(lines))
+    return "\n".join(x.text for a, b in runs for x in lines[a:b] if x.text and x.kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

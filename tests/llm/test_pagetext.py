@@ -79,3 +79,29 @@ def test_deep_pages_are_linear():
     for html in ("<li>" * 200000, "<tr><td>" * 100000, "<div>" * 200000 + "</div>" * 200000, "<table><tr><td>" * 50000, "<div><li>" * 100000 + "</ul>" * 100000, "<article>" * 100000 + "</x>" * 100000):
         pagetext.main_text(html)
     assert time.time() - began < 30
+
+
+LINKED = [
+    (f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p><ul><li><a href=y>x</a></li></ul><p>end</p><p><a href=z>last</a></p></article>", f"Title\n{LONG}\nx\nend\nlast"),
+    (f"<article><p><a href=x>open<p>{LONG}</p></article>", f"open\n{LONG}"),
+    (f"<div><a name=top><p>{LONG}</p></div>", LONG),
+    (f"<a href=x>open<p>{LONG}</p>", LONG),
+    (f"<p>{LONG}</p><ul><li><a href=y>x</a></li></ul><p>{LONG}</p>", f"{LONG}\nx\n{LONG}"),
+    (f"<p>{LONG}</p><ul><li><a href=y>x</a></li></ul><p>end</p>", f"{LONG}\nx\nend"),
+    (f"<h1><a href=x>Title</a></h1><p>{LONG}</p>", f"Title\n{LONG}"),
+    (f"<div><a href=x><div>{LONG}</div><p>{LONG}</p></a></div><p>{LONG} Own.</p>", f"{LONG} Own."),
+    (f"<article><h2><a href=x>Teaser</a></h2></article><p>{LONG}</p>", LONG),
+    ("<article><a href=x>only a link</a></article>", "only a link"),
+]
+
+
+@pytest.mark.parametrize("html,text", LINKED)
+def test_link_text_inside_the_region_is_kept(html, text):
+    assert pagetext.main_text(html) == text
+
+
+def test_links_are_linear():
+    began = time.time()
+    for html in ("<a href=x>" * 100000, "<a href=x>x</a>" * 100000, "<p><a href=x>" * 100000, "<a " * 200000):
+        pagetext.main_text(html)
+    assert time.time() - began < 30
