@@ -10,8 +10,11 @@ Every found term is looked at in a window of words around it: inside quotation m
 a quoted line it counts as quoted. Sums of term weights, direct and quoted, exact and
 misspelled, are the features of a logistic score that is fitted on the same labelled sample.
 
-The sample is the only thing that is bounded: ``SAMPLE`` labelled documents of each label in
-hash order. Scores look at nothing but the text. A null text is empty; an empty text gets
+The sample is bounded: ``SAMPLE`` different labelled texts of each label in hash order, so a
+text counts once however often it or its id is repeated; the label of a text is that of most
+of its ids. Terms are chosen until no likely one is left that ``LEAST_DOCUMENTS`` documents
+need, in portions of ``CANDIDATES``, so a group of near copies cannot crowd out the terms of
+others; there are COVER * SAMPLE[0] / LEAST_DOCUMENTS of them at most. Scores look at nothing but the text. A null text is empty; an empty text gets
 the score of a text without terms. Rows of ``labels`` without a document or with a null
 label are left out; repeated rows are scored alike. Without labels of both kinds every
 score is 0.
@@ -31,8 +34,7 @@ from .common import small_batches, written
 
 #: Labelled documents of each label that the lexicon and the score are learned from.
 SAMPLE = (3000, 6000)  # toxic, other
-#: Terms that the lexicon holds at most, and candidates that are looked at.
-MOST_TERMS = 2000
+#: Candidates that are looked at in one go.
 CANDIDATES = 6000
 #: A term is in so many toxic documents at least, and so many times likelier there (natural log).
 LEAST_DOCUMENTS = 4
@@ -213,20 +215,25 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
-    """(doc, toxic, text) of a bounded number of labelled documents, in hash order."""
+    """(doc, toxic, text) of a bounded number of different labelled texts, in hash order."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    toxic = known.filter(F.col("toxic") == 1).orderBy(order, "doc_id").limit(sample[0])
-    other = known.filter(F.col("toxic") == 0).orderBy(order, "doc_id").limit(sample[1])
-    chosen = toxic.unionByName(other).select(F.col("doc_id").alias("doc"), "toxic")
-    # At most sum(sample) rows of 12 bytes.
-    found = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(chosen), "doc")
-    return written(found.select("doc", "toxic", F.coalesce("text", F.lit("")).alias("text")), "toxicity-sample")
-
-
-def candidate_terms(sample: DataFrame) -> tuple[list, int]:
-    """Likely terms, and the number of toxic documents in the sample."""
+    texts = docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
+    # Ids with several texts have the one of the smallest hash, texts with several ids the first of these in hash order.
+    of_ids = texts.groupBy("doc").agg(F.min("same").alias("same"))
+    order = F.xxhash64(F.lit("sample"), "doc")
+    groups = of_ids.join(known.withColumnRenamed("doc_id", "doc"), "doc").groupBy("same").agg(
+        F.min_by("doc", F.struct(order, "doc")).alias("doc"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    groups = written(groups, "toxicity-labels")
+    toxic = groups.filter(F.col("toxic") == 1).orderBy(order, "doc").limit(sample[0])
+    other = groups.filter(F.col("toxic") == 0).orderBy(order, "doc").limit(sample[1])
+    # At most sum(sample) rows of 20 bytes.
+    found = texts.join(F.broadcast(toxic.unionByName(other)), ["doc", "same"]).dropDuplicates(["doc"])
+    return written(found.select("doc", "toxic", "text"), "toxicity-sample")
+
+
+def candidate_terms(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All likely terms (term, odds, gain), and the toxic documents (term, doc) that hold them."""
     sizes = sample.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("other")).first()
     words = sample.select(
         "doc", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1)))).alias("word")
@@ -246,36 +253,58 @@ def candidate_terms(sample: DataFrame) -> tuple[list, int]:
         (F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("odds") >= LEAST_ODDS)
         & (~F.col("term").endswith("*") | (F.col("words") >= LEAST_WORDS))
     )
-    best = likely.orderBy(F.desc("toxic"), F.desc("odds"), "term").limit(CANDIDATES)
-    held = in_docs.filter("toxic = 1").join(F.broadcast(best.select("term")), "term").groupBy("doc").agg(F.collect_list("term").alias("terms"))
-    # At most SAMPLE[0] documents and CANDIDATES terms reach the driver.
-    return best.select("term", "odds").collect(), held.select("terms").collect()
+    likely = written(likely.select("term", "odds", F.col("toxic").alias("gain")), "toxicity-terms")
+    return likely, written(in_docs.filter("toxic = 1").join(likely.select("term"), "term").select("term", "doc"), "toxicity-holders")
 
 
-def lexicon(candidates: list, documents: list) -> dict[str, float]:
-    """Terms that are needed to give every toxic document ``COVER`` of them, the most frequent first.
+def lexicon(candidates: list, documents: list, kept: dict[str, float] | None = None, covered: dict | None = None) -> dict[str, float]:
+    """Terms that are needed to give every toxic document ``COVER`` of them, in the order of ``candidates``.
 
     Words that only a group of copies shares follow terms that cover the group already.
+    ``kept`` and ``covered`` hold the outcome of earlier candidates and are added to.
     """
-    holders: dict[str, list[int]] = {}
-    for i, row in enumerate(documents):
+    kept, covered = {} if kept is None else kept, {} if covered is None else covered
+    holders: dict[str, list] = {}
+    for row in documents:
         for term in row["terms"]:
-            holders.setdefault(term, []).append(i)
-    covered = np.zeros(len(documents), int)
-    kept: dict[str, float] = {}
+            holders.setdefault(term, []).append(row["doc"])
     for row in candidates:
         term = row["term"]
-        if any(term.removesuffix("*").startswith(s[:-1]) for s in kept if s.endswith("*")) and term.endswith("*"):
+        if term.endswith("*") and any(term[:n] + "*" in kept for n in STEMS if n < len(term)):
             continue
-        own = np.array(holders.get(term, []), int)
-        if np.count_nonzero(covered[own] < COVER) >= LEAST_DOCUMENTS:
+        own = holders.get(term, [])
+        if sum(covered.get(doc, 0) < COVER for doc in own) >= LEAST_DOCUMENTS:
             kept[term] = float(row["odds"])
-            covered[own] += 1
-        if len(kept) == MOST_TERMS:
-            break
+            for doc in own:
+                covered[doc] = covered.get(doc, 0) + 1
     return kept
 
 
+def chosen_terms(sample: DataFrame, portion: int | None = None) -> dict[str, float]:
+    """The lexicon, out of portions of the likely terms that the most documents need."""
+    portion = portion or CANDIDATES
+    likely, held = candidate_terms(sample)
+    kept: dict[str, float] = {}
+    covered: dict = {}
+    needed = likely
+    while True:
+        rows = needed.orderBy(F.desc("gain"), F.desc("odds"), "term").limit(portion + 1).collect()
+        best = sample.sparkSession.createDataFrame([(r["term"],) for r in rows[:portion]], "term string")
+        documents = held.join(F.broadcast(best), "term").groupBy("doc").agg(F.collect_list("term").alias("terms"))
+        # At most SAMPLE[0] documents and CANDIDATES terms reach the driver.
+        lexicon(rows[:portion], documents.collect(), kept, covered)
+        if len(rows) <= portion:
+            return kept
+        # What was looked at is kept, or begins with a kept stem, or too few documents need it now; so each term comes once.
+        begins = [(F.char_length("term") > n) & F.concat(F.substring("term", 1, n), F.lit("*")).isin(list(kept)) for n in STEMS]
+        left = likely.filter(~F.col("term").isin(list(kept)))
+        for stem in begins:
+            left = left.filter(~(F.col("term").endswith("*") & stem))
+        full = [doc for doc, n in covered.items() if n >= COVER]
+        gains = held.filter(~F.col("doc").isin(full)).groupBy("term").agg(F.count(F.lit(1)).alias("gain"))
+        needed = left.drop("gain").join(gains.filter(F.col("gain") >= LEAST_DOCUMENTS), "term")
+
+
 def features(docs: DataFrame, terms: dict[str, float], keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``features`` array<double> of ``text``."""
     small_batches(docs.sparkSession)
@@ -312,8 +341,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int = 50) ->
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     """Lexicon and score from the labels that are not held out."""
     chosen = labelled_sample(docs, labels, sample)
-    candidates, documents = candidate_terms(chosen)
-    terms = lexicon(candidates, documents)
+    terms = chosen_terms(chosen)
     rows = features(chosen, terms, ["toxic"]).collect()
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():

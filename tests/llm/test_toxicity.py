@@ -79,3 +79,24 @@ def test_held_out_labels(spark):
     assert toxicity.clean_documents(docs.limit(0), labels).collect() == []
     none = toxicity.learn(docs, labels.limit(0))
     assert {round(r.score, 6) for r in toxicity.scored(docs, none, ["doc_id"]).collect()} == {0.0}
+
+
+def test_copies_do_not_crowd_out_other_terms(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CANDIDATES", 100)
+    rows = corpus(600, 2)
+    rare = " ".join(f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(400))
+    exact = [(10000 + i, rare, 1) for i in range(150)]
+    near = [(20000 + i, f"{rare.replace('rare', 'near')} only{i}", 1) for i in range(150)]
+    every = rows + exact + near
+    docs = spark.createDataFrame([(i, t) for i, t, _ in every] + [(rows[0][0], rows[0][1])] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in every], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels)
+    chosen = sample.collect()
+    assert len({r.text for r in chosen}) == len({r.doc for r in chosen}) == len(chosen)
+    assert sum(r.text == rare for r in chosen) == 1
+    by_portion = toxicity.chosen_terms(sample, 100)
+    assert {"moron", "worthless", "pathetic", "gumbok"} <= {t.rstrip("*") for t in by_portion} | set(by_portion)
+    model = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model, ["doc_id"]).collect()}
+    held = {r.doc_id for r in docs.filter(toxicity.is_held_out(docs["doc_id"])).select("doc_id").collect()}
+    assert np.mean([(got[i] >= 0.7) == bool(t) for i, _, t in rows if i in held]) > 0.97
