@@ -14,7 +14,7 @@ whose bound equals the k-th score are still read, for ties.
 
 Scores are integers and exact: 64-bit sums, taken in double precision where all partial sums
 stay below 2 ** 53. Vectors that are null or hold null or non-finite components take no
-part; missing components count zero. Rows with the id of a query are no candidates for it.
+part, nor do rows without an id; missing components count zero. Rows with the id of a query are no candidates for it.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` best rows for every query row of (vec_id, embedding)."""
-    good = rows.filter(usable(F.col("embedding"))).select("vec_id", quantised(F.col("embedding"), scale).alias("v"), is_query.alias("asks"))
+    good = rows.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", quantised(F.col("embedding"), scale).alias("v"), is_query.alias("asks"))
     good = written(good, "quantised")
     facts = good.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     width, count = facts["width"] or 1, facts["n"]

@@ -16,7 +16,7 @@ Rows are sorted and dealt by node or by query, at most 2 * K or a bounded front
 no task holds a group of unbounded size. The vectors of a join are sent to all executors
 only up to ``MOST_SENT`` bytes; beyond it they are joined by shuffles.
 
-Vectors that are null, zero or hold null or non-finite components take no part; vectors
+Rows without an id and vectors that are null, zero or hold null or non-finite components take no part; vectors
 with fewer components than others count zeros for the rest. Repeated ids are rows of their
 own. An empty table gives an empty result.
 """
@@ -295,7 +295,7 @@ def nearest(vectors_table: DataFrame, is_query: Column, k: int = 20) -> DataFram
 
     ``vectors_table`` has vec_id and embedding; ``is_query`` picks the rows that are queries.
     """
-    rows = vectors_table.filter(usable(F.col("embedding"))).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = vectors_table.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
     nodes = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")), "nodes")
     vectors = Vectors(nodes)
     if not vectors.count:

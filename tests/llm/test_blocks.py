@@ -54,3 +54,10 @@ def test_pruning_skips_blocks():
         blocks._product = product
     assert [-s for s, _ in best[0]] == sorted((4 * weights[:, 0]).tolist(), reverse=True)[:5]
     assert sum(1 for n in calls if n == 8) < 20
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (None, [9.0]), (5, [2.0]), (None, None)], "vec_id long, embedding array<float>")
+    for asks in (F.lit(True), F.coalesce(F.col("vec_id") % 5 == 0, F.lit(True))):
+        got = [tuple(r) for r in blocks.top_k(rows, asks).orderBy("query_id").collect()]
+        assert got == [(0, 1, 5, 131072), (5, 1, 0, 131072)]

@@ -42,3 +42,9 @@ def test_small_tables(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (1, 1, 2, 2.0), (1, 2, 0, 1.0), (2, 1, 1, 2.0), (2, 2, 0, 1.0)]
     assert neighbours.nearest(few.limit(0), F.lit(True)).collect() == []
     assert neighbours.nearest(few.limit(1), F.lit(True)).collect() == []
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (None, [5.0, 1.0])], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in neighbours.nearest(rows, F.lit(True)).orderBy("query_id").collect()]
+    assert got == [(0, 1, 1, 1.0), (1, 1, 0, 1.0)]
