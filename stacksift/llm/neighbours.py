@@ -4,13 +4,14 @@ Vectors that are equal are one node. A graph of the ``K`` nearest known neighbou
 node starts from random groups and is improved by rounds of joins: the neighbours of a
 node, in both directions, are compared with each other, and every node keeps the best it
 has met. Only pairs with an edge that is new since the last round are looked at. Rounds end
-when few edges change.
+when few edges change, however many it takes.
 
 A search keeps the best nodes that a query has met and opens the nearest ones that are not
-opened yet, all queries in step, until the best are open. Vectors have half precision there
-and one more component that makes all lengths equal: the graph links the nearest by angle,
-and a query, whose own component is zero, ranks them by inner product. What is found is
-scored again exactly, in double precision.
+opened yet, all queries in step, until the best are open; it starts from the query and the
+``LONGEST`` longest nodes. Vectors have single precision there, on a scale that a few long ones
+do not set, and one more component that makes the lengths up to that scale equal: the graph
+links the nearest by squared distance, in double precision, and a query, whose own component
+is zero, ranks them by inner product. What is found is scored again exactly, in double precision.
 
 Rows are sorted and dealt by node or by query, at most 2 * K or a bounded front each, so
 no task holds a group of unbounded size. The vectors of a join are sent to all executors
@@ -24,6 +25,7 @@ own. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -36,14 +38,16 @@ K = 40
 REVERSE = 32
 #: Random groups that the graph starts from, and their size.
 START_GROUPS, GROUP = 3, 1024
-ROUNDS = 9
 #: Rounds end when this share of the edges is new, or less.
 SETTLED = 0.02
 #: Pairs that a node gets out of one comparison at most.
 BEST = 6
 #: Nodes that a query keeps, and opens at once.
 KEEP, OPEN = 192, 64
-STEPS = 12
+#: Longest nodes that every search meets first.
+LONGEST = 64
+#: The scale is at most so many times the length that this share of the nodes has at most.
+SPREAD, USUAL = 2.0, 0.99
 #: Found nodes that are scored exactly.
 RESCORED = 64
 #: Vectors that may be sent to all executors, in bytes.
@@ -63,16 +67,19 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 class Vectors:
-    """Nodes with their half-precision vectors, and how to join them."""
+    """Nodes with their single-precision vectors, and how to join them."""
 
     def __init__(self, nodes: DataFrame) -> None:
         """``nodes``: (node, embedding), one row per different vector."""
+        squared = _dot(F.col("embedding"), F.col("embedding"))
         facts = nodes.agg(
             F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"),
-            F.max(_dot(F.col("embedding"), F.col("embedding"))).alias("longest"),
+            F.max(squared).alias("longest"), F.percentile_approx(squared, USUAL, 1000).alias("usual"),
         ).first()
         self.count, self.width = facts["n"], (facts["width"] or 0) + 1
-        longest, width = facts["longest"] or 1.0, self.width
+        # Longer rows get no further component, and stay as long as they are.
+        scale, width = min(facts["longest"] or 1.0, SPREAD**2 * (facts["usual"] or 1.0)), self.width
+        longest = nodes.orderBy(squared.desc(), "node").limit(LONGEST).select("node")
         small_batches(nodes.sparkSession, BATCH)
 
         def run(batches):
@@ -83,12 +90,13 @@ class Vectors:
                 for x in batch.column(1).to_pylist():
                     v = np.zeros(width)
                     v[: len(x)] = x
-                    v[-1] = np.sqrt(max(longest - v @ v, 0.0))
-                    out.append((v / np.sqrt(longest)).astype("<f2").tobytes())
+                    v[-1] = np.sqrt(max(scale - v @ v, 0.0))
+                    out.append((v / np.sqrt(scale)).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "vec"])
 
         self.rows = written(nodes.select("node", "embedding").mapInArrow(run, "node long, vec binary"), "vectors")
-        self.sent = self.count * (2 * self.width + 32) <= MOST_SENT
+        self.longest = written(longest, "longest")
+        self.sent = self.count * (4 * self.width + 32) <= MOST_SENT
 
     def joined(self, rows: DataFrame, on: str, by: str, table: DataFrame | None = None) -> DataFrame:
         """``rows`` with the columns of their vector, dealt and sorted by ``by``."""
@@ -99,9 +107,15 @@ class Vectors:
 
 
 def vector_matrix(column, width: int) -> np.ndarray:
-    """Vectors of an Arrow column, as rows of float32."""
+    """Vectors of an Arrow column, as rows of float64."""
     data = b"".join(column.to_pylist())
-    return np.frombuffer(data, "<f2").reshape(-1, width).astype(np.float32)
+    return np.frombuffer(data, "<f4").reshape(-1, width).astype(np.float64)
+
+
+def closeness(vecs: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of all pairs of rows; of rows of the same length this orders as their products do."""
+    lengths = np.einsum("ij,ij->i", vecs, vecs)
+    return 2 * (vecs @ vecs.T) - lengths[:, None] - lengths[None, :]
 
 
 def grouped(batches, key: str = "key") -> Iterator:
@@ -144,6 +158,9 @@ def _nearest(score: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], columns[good]
 
 
+#: Below any closeness.
+NOTHING = float("-inf")
+
 PAIRS = "u long, v long, sim float"
 
 
@@ -168,7 +185,7 @@ def _random_groups(vectors: Vectors, seed: int) -> DataFrame:
             nodes, vecs = table["node"].to_numpy(), vector_matrix(table["vec"], width)
             at = _starts(keys)
             for a, b in zip(at[:-1], at[1:]):
-                score = vecs[a:b] @ vecs[a:b].T
+                score = closeness(vecs[a:b])
                 np.fill_diagonal(score, -np.inf)
                 i, j = _nearest(score, K)
                 if len(i):
@@ -192,7 +209,7 @@ def reverse_edges(edges: DataFrame, most: int, seed: int) -> DataFrame:
     return back.select(F.col("v").alias("key"), F.col("u").alias("node"), "fresh")
 
 
-def neighbour_graph(vectors: Vectors, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(vectors: Vectors) -> DataFrame:
     """Edges (u, v, sim, fresh): the nearest neighbours that descent finds for every node."""
     start = None
     for seed in range(START_GROUPS):
@@ -209,7 +226,7 @@ def neighbour_graph(vectors: Vectors, rounds: int = ROUNDS) -> DataFrame:
             u, v, sim = [], [], []
             for a, b in zip(at[:-1], at[1:]):
                 own = nodes[a:b]
-                score = vecs[a:b] @ vecs[a:b].T
+                score = closeness(vecs[a:b])
                 new = fresh[a:b]
                 score[~(new[:, None] | new[None, :])] = -np.inf
                 score[score <= least[a:b, None]] = -np.inf
@@ -222,10 +239,11 @@ def neighbour_graph(vectors: Vectors, rounds: int = ROUNDS) -> DataFrame:
             if u:
                 yield _pairs(u, v, sim)
 
-    for number in range(rounds):
-        least = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) == K, F.min("sim")).otherwise(-2.0).cast("float").alias("least"))
+    # Edges only get better, so rounds settle.
+    for number in count():
+        least = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) == K, F.min("sim")).otherwise(NOTHING).cast("float").alias("least"))
         known = vectors.rows.join(least, F.col("node") == F.col("u"), "left").select(
-            "node", "vec", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"))
+            "node", "vec", F.coalesce("least", F.lit(NOTHING).cast("float")).alias("least"))
         forward = edges.select(F.col("u").alias("key"), F.col("v").alias("node"), "fresh")
         met = forward.unionByName(reverse_edges(edges, REVERSE, number))
         rows = vectors.joined(met, "node", "key", known)
@@ -239,7 +257,7 @@ def neighbour_graph(vectors: Vectors, rounds: int = ROUNDS) -> DataFrame:
     return edges
 
 
-def greedy_search(vectors: Vectors, edges: DataFrame, queries: DataFrame, steps: int = STEPS) -> DataFrame:
+def greedy_search(vectors: Vectors, edges: DataFrame, queries: DataFrame) -> DataFrame:
     """(key, node, score) of the best nodes that the nodes ``queries`` (key) reach from themselves."""
     forward = edges.select(F.col("u").alias("from"), F.col("v").alias("node"))
     back = reverse_edges(edges.withColumn("fresh", F.lit(0)), K, -1).select(F.col("key").alias("from"), "node")
@@ -274,11 +292,14 @@ def greedy_search(vectors: Vectors, edges: DataFrame, queries: DataFrame, steps:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "node", "score", "open"])
 
     small_batches(state.sparkSession, BATCH)
-    for _ in range(steps):
+    # What a query keeps only gets better, so searches end.
+    for number in count():
         rank = F.row_number().over(Window.partitionBy("key").orderBy("open", F.desc("score"), "node"))
         ranked = state.withColumn("_r", rank).withColumn("front", ~F.col("open") & (F.col("_r") <= OPEN)).drop("_r")
         front = ranked.filter("front").select("key", F.col("node").alias("from"))
         met = front.join(graph, "from").select("key", "node").distinct()
+        if not number:
+            met = met.unionByName(queries.select("key").crossJoin(F.broadcast(vectors.longest))).distinct()
         met = met.join(state.select("key", "node"), ["key", "node"], "left_anti")
         rows = ranked.select("key", "node", "score", (F.col("open") | F.col("front")).alias("open")).unionByName(
             met.select("key", "node", F.lit(None).cast("float").alias("score"), F.lit(False).alias("open"))

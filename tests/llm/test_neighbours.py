@@ -48,3 +48,16 @@ def test_rows_without_an_id_take_no_part(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (None, [5.0, 1.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in neighbours.nearest(rows, F.lit(True)).orderBy("query_id").collect()]
     assert got == [(0, 1, 1, 1.0), (1, 1, 0, 1.0)]
+
+
+def test_long_rows_do_not_spoil_the_others(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP", 128)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(1200)]
+    rows += [(2001, (1e4 * rng.normal(size=16)).tolist()), (2002, (30 * rng.normal(size=16)).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = [len(got[q] & set(brute(rows, q, 20))) / 20 for q in got]
+    assert len(got) == 60 and np.mean(recall) >= 0.95, np.mean(recall)
