@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, chat, covertree, jaccard, mixing, neighbours, packing, pagetext, pii, separators, toxicity
+from . import blocks, chat, covertree, impacts, jaccard, mixing, neighbours, packing, pagetext, pii, separators, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,31 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
     return covertree.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+LEXICAL_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+docs AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM tokens WHERE len(w) > 0),
+facts AS (SELECT count(*) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM docs),
+counts AS (SELECT doc_id, n, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM docs) GROUP BY doc_id, n, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * N_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, facts GROUP BY t, N_docs),
+wanted AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+scored AS (
+  SELECT q.item_id, c.doc_id,
+         CAST(sum(q.times * w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 75 + (75 * c.n * N_docs) // L)))) AS BIGINT) AS score
+  FROM wanted q JOIN counts c USING (t) JOIN weights w USING (t), facts GROUP BY q.item_id, c.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 AND item_id IS NOT NULL AND doc_id IS NOT NULL QUALIFY rank <= 10"""
+
+
+@query(LEXICAL_SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    return impacts.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
