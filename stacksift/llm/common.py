@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +46,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, keeps column pruning."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    # Nothing reads the shuffles of a write that is over; else they stay until the driver collects garbage.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, chat, covertree, impacts, jaccard, mixing, neighbours, packing, pagetext, pii, separators, toxicity
+from . import blocks, chat, covertree, impacts, jaccard, mixing, neighbours, packing, pagetext, phrases, pii, separators, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +256,26 @@ FROM scored WHERE score > 0 AND item_id IS NOT NULL AND doc_id IS NOT NULL QUALI
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents for every benchmark item."""
     return impacts.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+REPEATS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM words)),
+firsts AS (SELECT t, min(doc_id) AS least FROM windows GROUP BY t),
+gone AS (
+  SELECT doc_id, list_sort(list_distinct(flatten(list(range(s, s + 13))))) AS g
+  FROM windows JOIN firsts USING (t) WHERE least < doc_id GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(len(g), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i))), ' ') END) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)"""
+
+
+@query(REPEATS_SQL)
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 13-word windows that start in a document with a smaller id."""
+    kept = phrases.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
