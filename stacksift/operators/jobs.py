@@ -85,9 +85,24 @@ def queue_order() -> list[Column]:
     return [F.col("queued_at"), F.col("id")]
 
 
+def oldest_pending(jobs: DataFrame, n: int) -> DataFrame:
+    return jobs.filter(F.col("active") & (F.col("status") == "pending")).orderBy(*queue_order()).limit(n)
+
+
+def in_work(rows: DataFrame, now: datetime) -> DataFrame:
+    """Claimed ``rows`` as they stand in the queue from now on."""
+    stamp = F.lit(now).cast("timestamp")
+    return rows.withColumns(
+        {
+            "status": F.lit("processing"), "attempts": F.col("attempts") + 1, "started_at": stamp,
+            "last_error": F.lit(None).cast("string"), "updated_at": stamp,
+        }
+    )
+
+
 def claim(jobs: DataFrame, n: int, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Claim the ``n`` oldest pending jobs: the claimed rows, and the queue with them in work."""
-    oldest = jobs.filter(F.col("active") & (F.col("status") == "pending")).orderBy(*queue_order()).limit(n)
+    oldest = oldest_pending(jobs, n)
     marked = jobs.join(oldest.select("id", F.lit(True).alias("_mine")), "id", "left")
     mine = F.coalesce(F.col("_mine"), F.lit(False))
     stamp = F.lit(now).cast("timestamp")

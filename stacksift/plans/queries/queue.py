@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ...functions.decisions import retry_seconds
 from ...operators import jobs
+from ...schemas import CANDIDATE_FIELDS, JOBS, RESULTS
 from ...session import checkpoint_dir
+from ...sources.snapshots import read_current
 from ...streaming import arrivals, queue_state
-from .. import tables
+from .. import resolve_queue, tables
 from .registry import query
 
 NOW = datetime(2002, 1, 1)
@@ -279,3 +281,54 @@ def stream_new_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     arrivals.watch_feed(feed, catalog, f"{folder}/arrivals", f"{folder}/checkpoint", link="url")
     return spark.read.parquet(f"{folder}/arrivals").select("url")
+
+
+# What the provider of the drain answers for a part: an entity of its title, one without a
+# date, nothing, an error that stays, or one that passes.
+_ANSWER = """CASE WHEN p_size % 25 = 7 THEN 'deferred' WHEN p_size % 25 = 11 THEN 'failed' WHEN p_size % 5 = 1 THEN 'none'
+  WHEN p_size % 5 = 2 THEN 'undated' ELSE 'done' END"""
+
+
+@query(f"""
+WITH asked AS (SELECT *, {_ANSWER} AS answer, p_name || ' no ' || p_partkey AS title FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS id,
+       CASE answer WHEN 'done' THEN 'done' WHEN 'failed' THEN 'failed' WHEN 'deferred' THEN 'pending' ELSE 'review' END AS status,
+       CASE WHEN answer = 'deferred' AND (SELECT count(*) FROM asked WHERE answer = 'deferred') > 0 THEN 4 ELSE 1 END AS attempts,
+       CASE answer WHEN 'failed' THEN 'KeyError: gone' WHEN 'deferred' THEN 'TimeoutError: slow'
+         WHEN 'none' THEN 'no metadata evidence found'
+         WHEN 'undated' THEN 'ambiguous metadata match: best=0.920, second=0.000, game_like=1, complete=0' END AS last_error,
+       CASE WHEN answer = 'done' THEN title END AS canonical_title,
+       (SELECT CASE WHEN count_if(answer = 'deferred') > 0 THEN 4 ELSE 1 END FROM asked) AS batches
+FROM asked""")
+def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts queued and drained: one batch with work, then three that only meet what fails for a while.
+
+    A job has its status, what was tried, the error or reason, and the title of its result.
+    """
+    root = f"{checkpoint_dir(spark).rstrip('/')}/drain-{uuid.uuid4().hex}"
+    parts = tables.table(spark, sf_dir, "part").withColumn("answer", F.expr(_ANSWER)).withColumn(
+        "title", F.concat("p_name", F.lit(" no "), F.col("p_partkey").cast("string")))
+    catalog = parts.select(
+        F.col("p_partkey").cast("string").alias("id"), "title", F.lit("https://parts.example.com/").alias("source_url"),
+        F.lit("2001-01-01").alias("post_date"), F.array("p_brand").alias("genres"), F.struct(F.lit("").alias("description")).alias("details"),
+    )
+    none = F.array().cast("array<string>")
+    entity = F.struct(
+        F.lit("entities").alias("source"), F.concat(F.lit("https://e.example.com/Q"), "p_partkey").alias("url"),
+        F.concat(F.lit("Q"), "p_partkey").alias("id"), F.col("title").alias("label"), F.lit("video game").alias("description"),
+        none.alias("instance_of"), F.when(F.col("answer") == "done", F.array(F.lit("2000-01-01"))).otherwise(none).alias("release_dates"),
+        F.array("p_type").alias("genres"), none.alias("developers"), none.alias("publishers"), none.alias("platforms"),
+    ).cast(f"struct<{CANDIDATE_FIELDS}>")
+    found = F.col("answer").isin("done", "undated")
+    said = parts.filter("answer <> 'none'").select(
+        F.lower("title").alias("key"), F.when(found, entity).alias("candidate"),
+        F.when(F.col("answer") == "failed", "KeyError: gone").when(~found, "TimeoutError: slow").alias("error"),
+        (F.col("answer") == "deferred").alias("transient"),
+    )
+    resolve_queue.sync(spark, catalog, root, NOW)
+    log = resolve_queue.drain(
+        spark, root, lambda q: q.join(said, F.lower("query") == F.col("key")).select("query", "candidate", "error", "transient"),
+        parts.count(), lambda: NOW)
+    states = read_current(spark, f"{root}/jobs", JOBS).select("id", "status", "attempts", "last_error")
+    results = read_current(spark, f"{root}/results", RESULTS).select("id", "canonical_title")
+    return states.join(results, "id", "left").withColumn("batches", F.lit(len(log)).cast("long"))

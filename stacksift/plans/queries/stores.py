@@ -16,7 +16,7 @@ from ...operators.merge import quarantine_order
 from ...operators.ordinals import with_ordinals
 from ...session import checkpoint_dir
 from ...sources import catalog as files
-from ...sources import snapshots
+from ...sources import deltas, snapshots
 from .. import hooks, tables
 from .browse import NOW, prepared
 from .registry import CATALOG, PREPARED, query
@@ -163,6 +163,41 @@ def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "status", F.lit(snapshots.current(spark, root)[0]).alias("generation"), F.lit(again).alias("rewritten"))
 
 
+_CHANGES = 10
+
+
+@query(f"""
+WITH last AS (
+  SELECT l_orderkey, min(l_linenumber + l_suppkey % {_CHANGES - 1}) AS change FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey::VARCHAR AS id,
+       CASE WHEN change IS NULL OR change >= {_CHANGES} THEN o_orderstatus ELSE o_orderstatus || '-' || change END AS status,
+       true AS rewritten_once, 0 AS again
+FROM orders LEFT JOIN last ON l_orderkey = o_orderkey
+WHERE NOT (o_orderpriority = '2-HIGH' AND change IS NOT DISTINCT FROM 3)""")
+def state_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders under ten deltas, one of which takes some away, compacted when due.
+
+    ``rewritten_once``: the deltas led to one new base at least, and few segments are left. ``again``:
+    rows committed by writing the table over itself.
+    """
+    root, schema = folder(spark, "delta-state"), "id string, status string, o_orderpriority string"
+    orders = tables.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    deltas.replace(orders, root, ["id"], DAY, ["status"])
+    last = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(
+        F.min(F.col("l_linenumber") + F.col("l_suppkey") % (_CHANGES - 1)).alias("change"))
+    lines = orders.join(last, "id")
+    bases = 0
+    for n in range(_CHANGES):
+        mine = lines.filter(F.col("change") == n).select("id", F.concat("status", F.lit(f"-{n}")).alias("status"), "o_orderpriority")
+        high = F.col("o_orderpriority") == "2-HIGH"
+        deltas.append(mine, root, ["id"], DAY, ["status"], high if n == 3 else None)
+        bases += deltas.compact(spark, root, schema, DAY) == "base"
+    again = deltas.upsert(deltas.read(spark, root, schema), root, ["id"], DAY)
+    once = bases > 0 and len(deltas.state(spark, root).live) <= _CHANGES // 2
+    return deltas.read(spark, root, schema).select("id", "status", F.lit(once).alias("rewritten_once"), F.lit(int(again)).alias("again"))
+
+
 @query("""
 SELECT o_custkey::VARCHAR AS id, min(o_orderpriority) AS title, 'created' AS outcome FROM orders GROUP BY o_custkey""")
 def queue_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

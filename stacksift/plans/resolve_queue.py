@@ -14,9 +14,13 @@ from ..operators import publish as export
 from ..operators import resolve, review
 from ..schemas import EVIDENCE_CACHE, JOBS, RESULTS, REVIEW_STATE
 from ..session import cut_lineage
+from ..sources import deltas
 from ..sources.snapshots import publish, read_current
 
 RESULT_VERSION = 1
+#: Jobs are stored by status and queue time, so that claims skip what is not pending.
+JOB_KEYS, JOB_CLUSTER = ["id"], ["status", "queued_at"]
+REVIEW_KEYS = ["id", "fingerprint", "worker_version"]
 Find = Callable[[DataFrame], DataFrame]
 
 
@@ -33,9 +37,10 @@ def sync(spark: SparkSession, catalog: DataFrame, root: str, now: datetime) -> d
     jobs = read_current(spark, f"{root}/jobs", JOBS)
     synced = queue.sync_jobs(fingerprinted(catalog), jobs, now)
     results = queue.void_results(read_current(spark, f"{root}/results", RESULTS), synced)
+    synced = cut_lineage(synced)
     stats = queue.sync_stats(synced).first().asDict()
-    publish(results, f"{root}/results", now)
-    publish(synced.drop("outcome"), f"{root}/jobs", now)
+    deltas.replace(results, f"{root}/results", ["id"], now)
+    deltas.replace(synced.drop("outcome"), f"{root}/jobs", JOB_KEYS, now, JOB_CLUSTER)
     return stats
 
 
@@ -43,13 +48,12 @@ def run_batch(spark: SparkSession, root: str, find: Find, n: int, now: datetime)
     """Claim ``n`` jobs, look up evidence for titles not cached yet, decide, write back.
 
     The claim is written before the work starts, so an interrupted batch is visible as
-    jobs in processing and is recovered by the next sync.
+    jobs in processing and is recovered by the next sync. All that is written are deltas
+    with the rows of the batch; the tables are compacted when their sizes ask for it.
     """
-    claimed, in_work = queue.claim(read_current(spark, f"{root}/jobs", JOBS), n, now)
-    publish(in_work, f"{root}/jobs", now)
-    working = read_current(spark, f"{root}/jobs", JOBS)
-    own = claimed.select("id").distinct()
-    mine = working.filter("active and status = 'processing'").join(own, "id", "left_semi").select("id", "title")
+    working = cut_lineage(queue.in_work(queue.oldest_pending(read_current(spark, f"{root}/jobs", JOBS), n), now))
+    deltas.append(working, f"{root}/jobs", JOB_KEYS, now, JOB_CLUSTER)
+    mine = working.select("id", "title")
 
     cache = read_current(spark, f"{root}/cache", EVIDENCE_CACHE)
     looked_up = resolve.cache_lookup(mine, cache)
@@ -60,21 +64,24 @@ def run_batch(spark: SparkSession, root: str, find: Find, n: int, now: datetime)
     answered = missing.join(errors.select("title"), "title", "left_anti")
     fresh = resolve.evidence_cache(found, answered, F.lit(now).cast("timestamp"))
     hits = looked_up.filter(F.col("evidence").isNotNull()).count()
-    publish(queue.upsert(cache, fresh.select(*cache.columns), ["search_title"]), f"{root}/cache", now)
+    deltas.append(fresh.select(*cache.columns), f"{root}/cache", ["search_title"], now)
 
-    decided = resolve.decide(mine, read_current(spark, f"{root}/cache", EVIDENCE_CACHE))
+    decided = cut_lineage(resolve.decide(mine, read_current(spark, f"{root}/cache", EVIDENCE_CACHE)))
     results = resolve.results_of(
         decided, "deterministic", "deterministic match", RESULT_VERSION, F.lit(now).cast("timestamp")
     )
     stored = read_current(spark, f"{root}/results", RESULTS)
-    publish(queue.upsert(stored, results.select(*stored.columns), ["id"]), f"{root}/results", now)
+    deltas.append(results.select(*stored.columns), f"{root}/results", ["id"], now)
     error = F.when(F.col("outcome") == "review", F.col("reason"))
     failed = mine.join(errors, "title").join(decided.select("id"), "id", "left_anti").select(
         "id", F.when(F.col("transient"), "deferred").otherwise("failed").alias("outcome"), "error"
     )
     outcomes = cut_lineage(decided.select("id", "outcome", error.alias("error")).unionByName(failed))
     stats = queue.outcome_stats(outcomes, ["done", "review", "failed", "deferred"]).first().asDict()
-    publish(queue.apply_outcomes(working, outcomes, now), f"{root}/jobs", now)
+    deltas.append(queue.apply_outcomes(working, outcomes, now), f"{root}/jobs", JOB_KEYS, now, JOB_CLUSTER)
+    for name, schema in (("jobs", JOBS), ("cache", EVIDENCE_CACHE), ("results", RESULTS)):
+        if deltas.is_log(spark, f"{root}/{name}"):
+            deltas.compact(spark, f"{root}/{name}", schema, now)
     return {**stats, "cache_hits": hits}
 
 
@@ -127,16 +134,16 @@ def review_round(
     publish(rows.withColumn("attempted_at", stamp), f"{root}/round", now)
     rows = spark.read.parquet(_current_folder(spark, f"{root}/round"))
 
-    keys = ["id", "fingerprint", "worker_version"]
     new_state = rows.select(*state.columns)
     results = resolve.results_of(rows, "review", "candidate selected in review", RESULT_VERSION, stamp)
     stored = read_current(spark, f"{root}/results", RESULTS)
-    publish(queue.upsert(stored, results.select(*stored.columns), ["id"]), f"{root}/results", now)
+    deltas.append(results.select(*stored.columns), f"{root}/results", ["id"], now)
     resolved = rows.filter(F.col("status") == "resolved").select(
         "id", F.lit("done").alias("outcome"), F.lit(None).cast("string").alias("error")
     )
-    publish(queue.apply_outcomes(jobs, resolved, now), f"{root}/jobs", now)
-    publish(queue.upsert(state, new_state, keys), f"{root}/review", now)
+    moved = jobs.join(resolved.select("id"), "id", "left_semi")
+    deltas.append(queue.apply_outcomes(moved, resolved, now), f"{root}/jobs", JOB_KEYS, now, JOB_CLUSTER)
+    deltas.append(new_state, f"{root}/review", REVIEW_KEYS, now)
     stats = queue.outcome_stats(rows, ["resolved", "unresolved", "ineligible", "error"], "status").first()
     return {"yielded": False, **stats.asDict()}
 

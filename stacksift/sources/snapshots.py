@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import detail_name
 from ..operators.dedupe import repeated_keys
 from ..operators.publish import content_hash
+from . import deltas
+from .folders import delete_folder, path_exists
 
 
 POINTER = "generation int, folder string, written_at timestamp, rows bigint, content string"
@@ -25,22 +27,6 @@ def _pointer(root: str) -> str:
     return f"{root}/pointer"
 
 
-def _path(spark: SparkSession, path: str):
-    """Hadoop path and file system of a folder, wherever it is stored."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    there, files = _path(spark, path)
-    return files.exists(there)
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    there, files = _path(spark, path)
-    files.delete(there, True)
-
-
 def _pointers(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(POINTER).parquet(_pointer(root))
 
@@ -56,7 +42,9 @@ def current(spark: SparkSession, root: str) -> tuple[int, str | None]:
 
 
 def read_current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The current generation of a state table; empty before the first write."""
+    """The current generation of a state table, or the newest rows of a log of deltas; empty before the first write."""
+    if deltas.is_log(spark, root):
+        return deltas.read(spark, root, schema)
     _, folder = current(spark, root)
     return spark.read.parquet(folder) if folder else spark.createDataFrame([], schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import post_url, with_slash
 from ..operators.merge import new_arrivals
-from ..sources.snapshots import path_exists
+from ..sources.folders import path_exists
 
 
 def catalog_urls(catalog: DataFrame) -> DataFrame:
