@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 WINDOW = 13
 ANCHOR = 7
@@ -60,8 +60,8 @@ def _word_hashes(found: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(held, categorize=False)
 
 
-def anchors(hashes: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of every window of a row of word hashes: its place and its hash."""
+def anchors(hashes: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> np.ndarray:
+    """The anchor of every window of a row of word hashes."""
     n = len(hashes) - size + 1
     phrase = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -70,9 +70,12 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tup
         phrase ^= phrase >> np.uint64(29)
         phrase *= _STIR
         phrase ^= phrase >> np.uint64(32)
-    choice = np.lib.stride_tricks.sliding_window_view(phrase, window - size + 1).argmin(1)
-    place = np.arange(len(choice)) + choice
-    return place, phrase[place].view(np.int64)
+    span, least = 1, phrase
+    while span < window - size + 1:  # the least of twice as many neighbours, and of as many as are left at last
+        step = min(span, window - size + 1 - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return least.view(np.int64)
 
 
 def _texts(batches):
@@ -99,7 +102,7 @@ def document_anchors(docs: DataFrame, window: int) -> DataFrame:
             keys, ids = [], []
             for doc, a, b in zip(batch.column(0).to_pylist(), starts, starts[1:]):
                 if b - a >= window:
-                    here = np.unique(anchors(hashes[a:b], window)[1])
+                    here = np.unique(anchors(hashes[a:b], window))
                     keys.append(here)
                     ids.append(np.full(len(here), doc, np.int64))
             if keys:
@@ -111,6 +114,18 @@ def document_anchors(docs: DataFrame, window: int) -> DataFrame:
 STRETCHES = "anchor long, doc_id long, row long, start long, windows int, text string"
 
 
+def runs(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal keys, cut to at most ``most``."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[first, len(keys)])
+    if size.max(initial=0) > most:
+        pieces = -(-size // most)
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(np.repeat(size, pieces) - step * most, most)
+        first = np.repeat(first, pieces) + step * most
+    return first, size
+
+
 def stretches(docs: DataFrame, window: int) -> DataFrame:
     """Stretches of (doc_id, text, row, anchors): windows from ``start`` on that have one of the shared anchors."""
 
@@ -120,23 +135,28 @@ def stretches(docs: DataFrame, window: int) -> DataFrame:
         names = [c.split()[0] for c in STRETCHES.split(", ")]
         for batch, found, starts in _texts(batches):
             hashes = _word_hashes(found)
-            out: list[list] = [[] for _ in names]
+            size = np.fromiter(map(len, found), np.int64, len(found)) + 1
+            numbers: list[list[np.ndarray]] = [[] for _ in range(5)]
+            texts: list[bytes] = []
             for doc, row, shared, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), starts, starts[1:]):
                 if b - a < window:
                     continue
-                place, key = anchors(hashes[a:b], window)
-                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-                size = np.diff(np.r_[first, len(place)])
+                key = anchors(hashes[a:b], window)
+                first, n = runs(key, window - ANCHOR + 1)
                 kept = np.isin(key[first], shared.values.to_numpy())
-                for s, n, k in zip(first[kept].tolist(), size[kept].tolist(), key[first][kept].tolist()):
-                    values = (k, doc, row, s, n, b" ".join(found[a + s : a + s + n + window - 1]).decode("utf-8", "surrogatepass"))
-                    for column, value in zip(out, values):
-                        column.append(value)
-            if out[0]:
-                kinds = [pa.int64()] * 4 + [pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                first, n = first[kept], n[kept]
+                joined = b" ".join(found[a:b])
+                at = np.r_[0, np.cumsum(size[a:b])]
+                texts += [joined[s:e] for s, e in zip(at[first].tolist(), (at[first + n + window - 1] - 1).tolist())]
+                for column, values in zip(numbers, (key[first], np.full(len(n), doc), np.full(len(n), row), first, n)):
+                    column.append(values)
+            if texts:
+                arrays = [pa.array(np.concatenate(c).astype(np.int64)) for c in numbers[:4]]
+                arrays += [pa.array(np.concatenate(numbers[4]).astype(np.int32)), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", "text", "row", "anchors").mapInArrow(run, STRETCHES)
+    found = docs.select("doc_id", "text", "row", "anchors").mapInArrow(run, STRETCHES)
+    return found.withColumn("words", F.xxhash64("text"))
 
 
 def single_windows(held: DataFrame, window: int) -> DataFrame:
@@ -146,13 +166,14 @@ def single_windows(held: DataFrame, window: int) -> DataFrame:
     rows = held.select("doc_id", "row", "start", split.alias("_w"), each)
     text = F.array_join(F.slice("_w", F.col("_j") + 1, window), " ")
     rows = rows.select("doc_id", "row", (F.col("start") + F.col("_j")).alias("start"), F.lit(1).alias("windows"), text.alias("text"))
-    return rows.select(F.xxhash64(F.lit(window), "text").alias("anchor"), "doc_id", "row", "start", "windows", "text")
+    words = F.xxhash64("text").alias("words")
+    return rows.select(F.xxhash64(F.lit(window), "text").alias("anchor"), "doc_id", "row", "start", "windows", "text", words)
 
 
 def passages(held: DataFrame) -> DataFrame:
     """Different stretches: anchor, words, and the smallest and largest document."""
-    found = held.groupBy("anchor", F.xxhash64("text").alias("words"))
-    return found.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("text").alias("text"), F.first("windows").alias("windows"))
+    found = held.groupBy("anchor", "words")
+    return found.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("text").alias("text"))
 
 
 class Shard:
@@ -162,11 +183,14 @@ class Shard:
         import ahocorasick
 
         number: dict[str, int] = {}
-        split = [[number.setdefault(w, len(number)) for w in text.split(" ")] for text, _, _ in rows]
+        split = [text.split(" ") for text, _, _ in rows]
+        ids = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.uint32)
         #: Letters of the two alphabets; two letters make a word.
         bits = max(1, (max(len(number) - 1, 1).bit_length() + 1) // 2)
         mask = (1 << bits) - 1
-        self.letters = ["".join(chr(x) for w in s for x in ((w >> bits) + 1, (w & mask) + mask + 2)) for s in split]
+        letters = np.column_stack([(ids >> bits) + 1, (ids & mask) + mask + 2]).astype("<u4").tobytes().decode("utf-32-le")
+        ends = np.cumsum([2 * len(s) for s in split]).tolist()
+        self.letters = [letters[a:b] for a, b in zip([0, *ends], ends)]
         self.window = window
         span = 2 * window
         # Of every window: its smallest and largest document, and whether several passages hold it.
@@ -218,29 +242,41 @@ def located(held: DataFrame, window: int, size: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(run, "anchor long, words long, firsts array<long>")
 
 
-def recurring(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """Rows of (doc_id, text, row) that hold shared anchors, and the windows of theirs that start in a smaller document.
+def recurring(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard: int = SHARD) -> DataFrame:
+    """``doc_id``, ``row`` and marks of the windows of (doc_id, text, row) that start in a smaller document.
 
-    The second table has ``doc_id``, ``row`` and an array of (start, offsets) of such windows.
+    A mark is the start of a stretch, shifted by the most windows a stretch has, and a bit per window.
     """
+    if window - ANCHOR + 1 > 32:
+        raise ValueError("a window has at most 38 words")
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     pairs = written(document_anchors(known.select("doc_id", "text"), window), "anchors")
     shared = pairs.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("anchor")
-    by_doc = pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    by_doc = written(pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    discard(pairs)
     sharing = written(known.join(by_doc, "doc_id"), "sharing")
+    discard(by_doc)
     held = written(stretches(sharing, window), "stretches")
+    discard(sharing)
     kinds = written(passages(held), "passages")
+    made = [held, kinds]
     crowded = written(kinds.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "crowded")
     if crowded.count():
         alone = written(single_windows(held.join(crowded, "anchor", "left_semi"), window), "single-windows")
+        made.append(alone)
         held = held.join(crowded, "anchor", "left_anti").unionByName(alone)
         kinds = kinds.join(crowded, "anchor", "left_anti").unionByName(passages(alone))
     # A passage of one document can still share a window with another passage of its anchor.
     firsts = written(located(kinds, window, shard).filter(F.exists("firsts", lambda x: x.isNotNull())), "located")
-    marked = held.select("anchor", F.xxhash64("text").alias("words"), "doc_id", "row", "start").join(firsts, ["anchor", "words"])
-    offsets = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), i)), lambda x: x.isNotNull())
-    marked = marked.select("doc_id", "row", F.struct("start", offsets.alias("offsets")).alias("mark")).filter("size(mark.offsets) > 0")
-    return sharing.select("doc_id", "row", "text"), marked.groupBy("doc_id", "row").agg(F.collect_list("mark").alias("marks"))
+    marked = held.select("anchor", "words", "doc_id", "row", "start").join(firsts, ["anchor", "words"])
+    # One number: where the stretch starts, and a bit for each of its windows that goes.
+    smaller = F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.aggregate(smaller, F.lit(0).cast("long"), lambda s, x: s + x)
+    marked = marked.select("doc_id", "row", "start", bits.alias("bits")).filter("bits > 0")
+    mark = F.col("start") * (1 << (window - ANCHOR + 1)) + F.col("bits")
+    marks = written(marked.groupBy("doc_id", "row").agg(F.collect_list(mark).alias("marks")), "marks")
+    discard(firsts, crowded, *made)
+    return marks
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
@@ -248,16 +284,18 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
     """What is left of (doc_id, text, marks)."""
+    most = window - ANCHOR + 1
 
     def run(batches):
         import pyarrow as pa
 
         for batch, found, starts in _texts(batches):
             n, removed, kept = [], [], []
-            for marks, a, b in zip(batch.column(2).to_pylist(), starts, starts[1:]):
+            for marks, a, b in zip(batch.column(2), starts, starts[1:]):
                 here = found[a:b]
-                if marks:
-                    at = np.array([m["start"] + o for m in marks for o in m["offsets"]])
+                if marks.is_valid:
+                    marks = marks.values.to_numpy()
+                    at = np.concatenate([(marks >> most)[(marks >> i & 1) == 1] + i for i in range(most)])
                     edges = np.zeros(len(here) + 1, np.int64)
                     np.add.at(edges, at, 1)
                     np.add.at(edges, at + window, -1)
@@ -276,7 +314,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard
     """doc_id, n_words, n_removed and kept: the words of (doc_id, text) that no repeated window covers."""
     row = F.xxhash64("text").alias("row")  # rows with the same id and text have the same marks
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
-    sharing, marked = recurring(slim, window, hot, shard)
-    marks = written(marked, "marks")
+    marks = recurring(slim, window, hot, shard)
     return _kept(slim.join(marks, ["doc_id", "row"], "left"), window)
 
