@@ -1,21 +1,24 @@
 """Token ids of a public byte-level vocabulary, inside tasks.
 
-Texts of prose repeat their words, so ids are kept per space-delimited piece: a single
-space always starts a new piece of the pattern when anything but white space follows, so
-such pieces are encoded alone with the same result. Texts in which white space follows a
-space, and pieces with letters beyond Latin ones, go to the tokenizer as they are.
+Texts of Latin letters, ASCII signs and plain white space are encoded whole by a second
+library with the same ranks, which gives the same ids at a fraction of the time. Of other
+texts only the words with other characters, or with strings of special tokens, go to the
+tokenizer: a single space between two characters that are no white space always starts a
+new piece of the pattern, so a text can be cut there without changing its ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 from array import array
 from functools import cached_property, lru_cache
+from itertools import groupby
 
-#: Pieces kept per worker, about 30 MB; beyond it the cache starts anew. Workers outlive
-#: their tasks, so what they hold adds to what later stages need.
-CACHE_PIECES = 120_000
+#: Characters on which libraries may differ: beyond Latin letters, and control characters.
+OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa1-\\u024f]")
+CUT = re.compile(r"(?<=\S)(?= \S)")
 
 DEFAULT = "byte_bpe_50k"
 
@@ -29,7 +32,7 @@ def vocabulary(name: str = DEFAULT, folder: str | None = None) -> tuple[str, str
     return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken")
 
 
-class PieceEncoder:
+class Encoder:
     """Encodes texts to little-endian ids of four bytes.
 
     ``special``: strings of special tokens in a text become their id, as the tokenizer does
@@ -48,7 +51,6 @@ class PieceEncoder:
         self.latin = tiktoken.Encoding(
             json_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.cache: dict[str, bytes] = {}
 
     @cached_property
     def tokenizer(self):
@@ -62,28 +64,24 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, text: str) -> bytes:
-        if max(text) > "ɏ" or any(m in text for m in self.marks):
-            return self.whole(text)
+    def is_plain(self, text: str) -> bool:
+        return not OTHER.search(text) and not any(m in text for m in self.marks)
+
+    def plain(self, text: str) -> bytes:
         return array("I", self.latin.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``."""
-        first, *rest = text.split(" ")
-        found = list(map(self.cache.get, rest))
-        if None in found:
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    word = rest[i]
-                    if not word or word[0].isspace():
-                        return self.whole(text)
-                    found[i] = self.cache[word] = self.piece(" " + word)
-        return (self.piece(first) if first else b"") + b"".join(found)
+        if self.is_plain(text):
+            return self.plain(text)
+        out: list[bytes] = []
+        for plain, words in groupby(CUT.split(text), self.is_plain):
+            part = "".join(words)
+            out.append(self.plain(part) if plain else self.whole(part))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=4)
-def encoder(json_path: str, ranks_path: str, special: bool) -> PieceEncoder:
+def encoder(json_path: str, ranks_path: str, special: bool) -> Encoder:
     """The encoder of this worker."""
-    return PieceEncoder(json_path, ranks_path, special)
+    return Encoder(json_path, ranks_path, special)

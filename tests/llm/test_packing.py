@@ -130,3 +130,27 @@ def test_query_digest(spark):
     docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     row = packing.pack(docs).select("ids", F.crc32("ids").alias("crc")).orderBy("start").first()
     assert row.crc == zlib.crc32(bytes(row.ids))
+
+
+def test_same_ids_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(4)
+    signs = list("ab Z9 .,\n\t") + ["é", "ß", "ɏ", "ɐ", "Ω", "你", "\u0301", "\u00a0", "\u2019", "\x1c", "\x85", "\u200b", "²", "'s", "<|endoftext|>", "  "]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 60))) for _ in range(3000)] + ["a" * 200_000, "é" * 50_000, "你" * 5000]
+    paths = vocabulary()
+    for special in (True, False):
+        plain = Tokenizer.from_file(paths[0])
+        plain.encode_special_tokens = not special
+        encode = encoder(*paths, special).encode
+        for text in texts:
+            assert list(np.frombuffer(encode(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    encode = encoder(*vocabulary(), False).encode
+    start = time.perf_counter()
+    encode("a" * 1_000_000)
+    assert time.perf_counter() - start < 20
