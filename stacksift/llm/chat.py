@@ -1,7 +1,7 @@
 """Chat formatting of typed content parts, with DataFrame functions only.
 
 A turn has a role and an array of typed parts. The visitor walks the parts in order: text
-is escaped, and an image, audio or document part becomes a placeholder that names its kind
+is escaped, after neighbouring text parts are joined, and an image, audio or document part becomes a placeholder that names its kind
 and its place in the turn. The reference of each attachment and the number of tokens that
 its placeholder expands to are recorded next to the formatted text.
 
@@ -73,12 +73,33 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
+def _merged(parts: Column) -> Column:
+    """Parts as (mark, part, text), with neighbouring texts in one; ``mark`` is the kind of an attachment."""
+    numbered = F.transform(
+        parts,
+        lambda p, i: F.struct(
+            F.when(~_is_text(p), p["type"]).alias("mark"), i.alias("part"),
+            F.when(_is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise("").alias("text"),
+        ),
+    )
+    none = F.array().cast("array<struct<mark:string,part:int,text:string>>")
+
+    def visit(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joins = p["mark"].isNull() & (F.size(done) > 0) & last["mark"].isNull()
+        both = F.struct(last["mark"].alias("mark"), last["part"].alias("part"), F.concat(last["text"], p["text"]).alias("text"))
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(p)))
+
+    return F.aggregate(numbered, none, visit)
+
+
 def visit_parts(parts: Column, rule: Expansion = Expansion()) -> tuple[Column, Column]:
     """The body of a turn, and its attachments as (part, type, ref, tokens)."""
+    # Neighbouring texts are one text before it is escaped: a control string may begin in one and end in the next.
     flat = F.transform(
-        parts,
-        lambda p, i: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), escape(p["type"]), F.lit(":"), i.cast("string"), F.lit("|>"))
+        _merged(parts),
+        lambda p: F.when(p["mark"].isNull(), escape(p["text"])).otherwise(
+            F.concat(F.lit("<|"), escape(p["mark"]), F.lit(":"), p["part"].cast("string"), F.lit("|>"))
         ),
     )
     numbered = F.transform(
