@@ -47,6 +47,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])*")
 _SPELLED_HOST = re.compile(r" ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+_SPELLED_AT = re.compile(r"[(\[]at[)\]]", re.IGNORECASE)
 _WORD_BEFORE = re.compile(r"([^\W\d_]{1,24})[^\w\n]{0,3}$")
 _WORD_AFTER = re.compile(r"[^\w\n]{0,3}([^\W\d_]{1,24})")
 
@@ -154,9 +155,9 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
     nodes = [_node(text, s.start, s.end, s.kind) for s in base]
     taken = sorted((s.start, s.end) for s in base)
     free: list[tuple[int, int]] = []
-    for mark in ("(at)", "[at]", " (at)", " [at]"):
-        if mark in text:
-            free += _addresses(text, mark, _SPELLED_HOST)
+    spelled = {m.group() for m in _SPELLED_AT.finditer(text)}
+    for mark in sorted(spelled | {" " + m for m in spelled}):
+        free += _addresses(text, mark, _SPELLED_HOST)
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
             if m.end() - m.start() >= LEAST_DIGITS and len(_DIGIT.findall(m.group())) >= LEAST_DIGITS:

@@ -117,3 +117,8 @@ def test_rows(spark):
     assert clean[0].text is None and clean[0].n_chars == 5 and clean[2].text == "mail [EMAIL] now" and clean[2].n_chars == 16
     assert clean[6].text == texts[6] and clean[None].text == "[IP]" and clean[2].spans == "k"
     assert pii.personal_data(docs.limit(0)).collect() == [] and pii.redacted(docs.limit(0)).collect() == []
+
+
+def test_spelled_addresses_in_any_case():
+    for text in ("ada (at) x (dot) org", "ada (AT) x (DOT) org", "ada [At] x [dOt] org"):
+        assert [(n.start, n.end) for n in pii.nodes_of(text, pii.base_spans(text))] == [(0, len(text))]
