@@ -6,15 +6,17 @@ the largest and smallest weight of every term per block; ``SHARD`` rows are one
 carries its blocks' weights as a forward index. A block's bound for a query is the sum over
 the terms of what its extremes allow.
 
-First every query is scored against the shard with the largest bound, found from one row of
-extremes per shard. Its k-th score there is a lower bound of its k-th score overall. Then
-queries, in batches, meet every shard: the blocks of a shard are taken in the order of their
+Queries, in batches, meet every shard: the blocks of a shard are taken in the order of their
 bounds, and a query is done with the shard once the bounds fall below its k-th score. Blocks
-whose bound equals the k-th score are still read, for ties.
+whose bound equals the k-th score are still read, for ties. Shards are searched in two waves;
+the second starts from the k-th scores of the first, and a task keeps the k-th scores of a
+batch from shard to shard. Shards are dealt to groups and a batch is sent once to each group.
 
 Scores are integers and exact: 64-bit sums, taken in double precision where all partial sums
 stay below 2 ** 53. Vectors that are null or hold null or non-finite components take no
-part, nor do rows without an id; missing components count zero. Rows with the id of a query are no candidates for it.
+part, nor do rows without an id; missing components count zero. Every row stands for itself:
+of rows with equal ids each asks on its own, and a row with the query's id is a candidate if
+it is another row.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import written
 
 BLOCK = 256
 SHARD = 4096
 #: Queries in a batch.
 BATCH = 1024
+#: Shards of the first wave: one in so many.
+FIRST = 8
+#: Batches up to which they are sent to all executors, about half a MB each at 64 components.
+MOST_SENT = 8
 SCALE = 256
 
 
@@ -65,35 +71,52 @@ def _pack(items: list[tuple], kinds: list):
     return pa.RecordBatch.from_arrays([pa.array([i[c] for i in items], t) for c, (_, t) in enumerate(kinds)], names=names)
 
 
-PACKS = "pack long, size int, ids binary, weights binary, high binary, low binary"
+SHARDS = "slot int, wave int, rows binary, ids binary, weights binary"
 
 
-def packs(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """Rows (vec_id, v) as packs of up to ``size``, in the order they come, with extremes of all rows of a pack."""
+def shards(held: DataFrame, width: int, size: int, slots: int) -> DataFrame:
+    """Rows (row, vec_id, v), in the order they come, as shards of up to ``size``."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        kinds = [("pack", pa.int64()), ("size", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("high", pa.binary()), ("low", pa.binary())]
-        pack = TaskContext.get().partitionId() << 32
-        ids, held = np.empty(0, np.int64), np.empty((0, width), np.int64)
+        kinds = [("slot", pa.int32()), ("wave", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("weights", pa.binary())]
+        number = TaskContext.get().partitionId() * 7919
+        rows, ids, weights = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.int64)
 
         def out(n: int):
-            high, low = _extremes(held[:n], n)
-            return _pack([(pack, n, ids[:n].tobytes(), held[:n].tobytes(), high.tobytes(), low.tobytes())], kinds)
+            return _pack([(number % slots, number // slots % FIRST, rows[:n].tobytes(), ids[:n].tobytes(), weights[:n].tobytes())], kinds)
 
         for batch in batches:
-            ids = np.r_[ids, batch.column(0).to_numpy()]
-            held = np.concatenate([held, _matrix(batch.column(1), width)])
+            rows, ids = np.r_[rows, batch.column(0).to_numpy()], np.r_[ids, batch.column(1).to_numpy()]
+            weights = np.concatenate([weights, _matrix(batch.column(2), width)])
             while len(ids) >= size:
                 yield out(size)
-                ids, held, pack = ids[size:], held[size:], pack + 1
+                rows, ids, weights, number = rows[size:], ids[size:], weights[size:], number + 1
         if len(ids):
             yield out(len(ids))
 
-    small_batches(rows.sparkSession, BATCH)
-    return rows.select("vec_id", "v").mapInArrow(run, PACKS)
+    return held.select("row", "vec_id", "v").mapInArrow(run, SHARDS)
+
+
+ASKS = "asks binary, names binary, queries binary, least binary"
+
+
+def ask_batches(queries: DataFrame, width: int) -> DataFrame:
+    """Queries (row, vec_id, v, least) in batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [("asks", pa.binary()), ("names", pa.binary()), ("queries", pa.binary()), ("least", pa.binary())]
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                rows, ids, least = (batch.column(i).to_numpy().tobytes() for i in (0, 1, 3))
+                yield _pack([(rows, ids, _matrix(batch.column(2), width).tobytes(), least)], kinds)
+
+    return queries.select("row", "vec_id", "v", "least").mapInArrow(run, ASKS)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,13 +133,14 @@ def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray
 
 
 def top_in_shard(
-    asks: np.ndarray, queries: np.ndarray, least: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int, block: int = BLOCK
-) -> list[list[tuple[int, int]]]:
-    """Per query up to ``k`` (-score, id) of a shard that may be among its best; ``least`` is a known lower bound."""
+    asks: np.ndarray, queries: np.ndarray, least: np.ndarray, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int,
+    block: int = BLOCK,
+) -> list[list[tuple[int, int, int]]]:
+    """Per query up to ``k`` (-score, id, row) of a shard that may be among its best; ``least`` is a known lower bound."""
     high, low = _extremes(weights, block)
     bound = bounds(queries, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
-    best: list[list[tuple[int, int]]] = [[] for _ in asks]
+    best: list[list[tuple[int, int, int]]] = [[] for _ in asks]
     kth = least.astype(np.float64).copy()
     live = np.arange(len(asks))
     for place in range(bound.shape[1]):
@@ -125,16 +149,16 @@ def top_in_shard(
         live, at = live[open_], at[open_]
         for b in np.unique(at):
             who = live[at == b]
-            rows = slice(b * block, (b + 1) * block)
-            score = _product(queries[who], weights[rows])
+            here = slice(b * block, (b + 1) * block)
+            score = _product(queries[who], weights[here])
             near = score >= kth[who, None]
-            near &= ids[rows][None, :] != asks[who, None]
+            near &= rows[here][None, :] != asks[who, None]
             for i in np.flatnonzero(near.any(1)):
                 q, found = who[i], np.flatnonzero(near[i])
                 if len(found) > 4 * k:  # of many, the k-th and its ties
                     cut = np.partition(score[i, found], len(found) - k)[len(found) - k]
                     found = found[score[i, found] >= cut]
-                merged = sorted(best[q] + [(-int(s), int(d)) for s, d in zip(score[i, found], ids[rows][found])])[:k]
+                merged = sorted(best[q] + [(-int(s), int(d), int(r)) for s, d, r in zip(score[i, found], ids[here][found], rows[here][found])])[:k]
                 best[q] = merged
                 if len(merged) == k:
                     kth[q] = max(kth[q], -merged[-1][0])
@@ -147,41 +171,55 @@ def _of(column, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(column, kind)
 
 
-def _scored(pairs: DataFrame, width: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) out of rows with a batch of queries and a shard."""
+FOUND = "query long, query_id long, vec_id long, row long, score long"
+#: Below any score.
+NOTHING = -(2**62)
+
+
+def _search(asks: DataFrame, n_batches: int, held: DataFrame, slots: int, width: int, k: int) -> DataFrame:
+    """Rows of shards that may be among the ``k`` best of the queries."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
+        kinds = [(c.split()[0], pa.int64()) for c in FOUND.split(", ")]
+        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for asks, queries, least, ids, weights in zip(*(c.to_pylist() for c in batch.columns)):
-                asks = _of(asks)
-                found = top_in_shard(
-                    asks, _of(queries).reshape(-1, width), _of(least), _of(ids), _of(weights).reshape(-1, width), k
-                )
-                rows = [(int(q), d, -s) for q, best in zip(asks, found) for s, d in best]
-                if rows:
-                    yield _pack(rows, kinds)
-
-    small_batches(pairs.sparkSession, 4)
-    return pairs.select("asks", "queries", "least", "ids", "weights").mapInArrow(run, "query_id long, vec_id long, score long")
-
-
-#: Below any score.
-NOTHING = -(2**62)
+            for i in range(batch.num_rows):
+                key, names, queries, least, rows, ids, weights = (c[i].as_py() for c in batch.columns)
+                asks = _of(key)
+                if len(known) > 256:
+                    known.clear()
+                least = known.setdefault(key, _of(least).copy())
+                found = top_in_shard(asks, _of(queries).reshape(-1, width), least, _of(rows), _of(ids), _of(weights).reshape(-1, width), k, BLOCK)
+                out = []
+                for q, (ask, name, best) in enumerate(zip(asks, _of(names), found)):
+                    out += [(int(ask), int(name), d, r, -s) for s, d, r in best]
+                    if len(best) == k:
+                        least[q] = max(least[q], -best[-1][0])
+                if out:
+                    yield _pack(out, kinds)
+
+    sent = asks.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    if n_batches <= MOST_SENT and n_batches * slots <= 64 * MOST_SENT:
+        sent = F.broadcast(sent)
+    met = held.join(sent, "slot")
+    return met.select("asks", "names", "queries", "least", "rows", "ids", "weights").mapInArrow(run, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` best rows for every query row of (vec_id, embedding)."""
-    good = rows.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", quantised(F.col("embedding"), scale).alias("v"), is_query.alias("asks"))
+    good = rows.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"),
+        quantised(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"),
+    )
     good = written(good, "quantised")
-    facts = good.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    facts = good.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.count_if("asks").alias("asks")).first()
     width, count = facts["width"] or 1, facts["n"]
     # The strongest term and its sign: rows alike come into one block, whose extremes are then tight.
     size = F.transform("v", lambda x: F.abs(x))
@@ -189,67 +227,18 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, sha
     strongest = term * 2 + (F.element_at("v", F.greatest(term, F.lit(1)).cast("int")) < 0).cast("long")
     # A vector without components has no strongest term.
     strongest = F.when(F.size("v") > 0, strongest).otherwise(F.lit(0))
-    parts = max(1, -(-count // shard))
-    ordered = good.withColumn("_term", strongest).repartitionByRange(parts, "_term", "vec_id").sortWithinPartitions("_term", "vec_id")
-    shards = written(packs(ordered, width, shard), "shards")
-    asking = good.filter("asks")
-    batches = written(packs(asking.repartition(max(1, -(-count // (50 * BATCH)))), width, BATCH), "batches")
-
-    # One row of extremes per shard meets every batch; each query names the shard with its largest bound.
-    number = F.row_number().over(Window.orderBy("pack"))
-    placed = written(shards.select("pack", "high", "low").withColumn("shard", number.cast("long")), "extremes")
-    names = placed.select("pack", "shard")
-    n_shards = placed.count()
-    every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max(n_shards, 1)).cast("long"))).alias("shard")
-    met = batches.select(F.col("ids").alias("asks"), F.col("weights").alias("queries"), every)
-
-    def name_shard(rows):
-        import pyarrow as pa
-
-        kinds = [("query_id", pa.int64()), ("shard", pa.int64()), ("bound", pa.float64()), ("query", pa.binary())]
-        for batch in rows:
-            for asks, queries, shard_, high, low in zip(*(c.to_pylist() for c in batch.columns)):
-                q = _of(queries).reshape(-1, width)
-                bound = bounds(q, _of(high).reshape(1, width), _of(low).reshape(1, width))[:, 0]
-                yield _pack([(int(i), shard_, float(b), v.tobytes()) for i, b, v in zip(_of(asks), bound, q)], kinds)
-
-    small_batches(rows.sparkSession, 64)
-    named = met.join(placed.select("shard", "high", "low"), "shard").select("asks", "queries", "shard", "high", "low").mapInArrow(
-        name_shard, "query_id long, shard long, bound double, query binary"
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard"))
-    first = written(named.withColumn("_r", rank).filter(F.col("_r") == 1).select("query_id", "shard", "query"), "first-shards")
-
-    # Queries of one shard in packs; a shard that many queries name is met by many packs.
-    def pack_queries(rows):
-        import pyarrow as pa
-
-        kinds = [("shard", pa.int64()), ("asks", pa.binary()), ("queries", pa.binary()), ("least", pa.binary())]
-        for batch in rows:
-            shard_ = batch.column(1).to_numpy()
-            at = np.flatnonzero(np.r_[True, shard_[1:] != shard_[:-1], True]) if len(shard_) else []
-            ids, queries = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for a, b in zip(at[:-1], at[1:]):
-                least = np.full(b - a, NOTHING, np.int64).tobytes()
-                yield _pack([(int(shard_[a]), ids[a:b].tobytes(), b"".join(queries[a:b]), least)], kinds)
-
-    small_batches(rows.sparkSession, BATCH)
-    shaped = "shard long, asks binary, queries binary, least binary"
-    asked = first.repartitionByRange("shard", "query_id").sortWithinPartitions("shard").mapInArrow(pack_queries, shaped)
-    held = shards.join(names, "pack").select("shard", "ids", "weights")
-    tried = _scored(written(asked, "first-packs").join(held, "shard"), width, k)
-    kth = _best(tried, k).filter(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("least"))
-    known = written(first.join(kth, "query_id", "left").select("query_id", F.coalesce("least", F.lit(NOTHING)).alias("least"), "query"), "thresholds")
-
-    def pack_known(rows):
-        import pyarrow as pa
-
-        kinds = [("asks", pa.binary()), ("queries", pa.binary()), ("least", pa.binary())]
-        for batch in rows:
-            if batch.num_rows:
-                yield _pack([(batch.column(0).to_numpy().tobytes(), b"".join(batch.column(2).to_pylist()), batch.column(1).to_numpy().tobytes())], kinds)
-
-    small_batches(rows.sparkSession, BATCH)
-    again = written(known.select("query_id", "least", "query").mapInArrow(pack_known, "asks binary, queries binary, least binary"), "known")
-    pairs = again.select("asks", "queries", "least", every).join(held, "shard")
-    return _best(_scored(pairs, width, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ordered = good.withColumn("_term", strongest).repartitionByRange(max(1, -(-count // (2 * shard))), "_term", "row")
+    slots = max(1, min(-(-count // shard), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    held = written(shards(ordered.sortWithinPartitions("_term", "row"), width, shard, slots), "shards")
+
+    parts = max(1, -(-facts["asks"] // (8 * BATCH)))
+    n_batches = -(-facts["asks"] // BATCH) + parts
+    asking = good.filter("asks").select("row", "vec_id", "v").repartition(parts, "row")
+    asks = written(ask_batches(asking.withColumn("least", F.lit(NOTHING)), width), "queries")
+    early = written(_best(_search(asks, n_batches, held.filter("wave = 0"), slots, width, k), k), "first-wave")
+    kth = early.filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("_kth"))
+    known = asking.join(kth, "row", "left").withColumn("least", F.coalesce("_kth", F.lit(NOTHING)))
+    asks = written(ask_batches(known, width), "queries")
+    late = _search(asks, n_batches, held.filter("wave > 0"), slots, width, k)
+    best = _best(early.drop("rank").unionByName(late), k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

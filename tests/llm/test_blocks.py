@@ -6,10 +6,11 @@ from stacksift.llm import blocks
 
 def brute(rows, k, asks):
     good = [(i, np.floor(256 * np.array(x, float)).astype(int)) for i, x in rows if x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    good = [(i, x) for i, x in good if i is not None]
     out = []
-    for i, x in good:
-        if i is not None and asks(i):
-            scored = sorted((-int(sum(int(a) * int(b) for a, b in zip(x, y))), j) for j, y in good if j != i)[:k]
+    for a, (i, x) in enumerate(good):
+        if asks(i):
+            scored = sorted((-int(sum(int(p) * int(q) for p, q in zip(x, y))), j) for b, (j, y) in enumerate(good) if b != a)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return sorted(out)
 
@@ -49,10 +50,10 @@ def test_pruning_skips_blocks():
 
     blocks._product = counted
     try:
-        best = blocks.top_in_shard(np.array([-1]), np.ones((1, 4), int), np.array([blocks.NOTHING]), np.arange(512), weights, 5, 8)
+        best = blocks.top_in_shard(np.array([-1]), np.ones((1, 4), int), np.array([blocks.NOTHING]), np.arange(512), np.arange(512), weights, 5, 8)
     finally:
         blocks._product = product
-    assert [-s for s, _ in best[0]] == sorted((4 * weights[:, 0]).tolist(), reverse=True)[:5]
+    assert [-s for s, _, _ in best[0]] == sorted((4 * weights[:, 0]).tolist(), reverse=True)[:5]
     assert sum(1 for n in calls if n == 8) < 20
 
 
@@ -61,3 +62,12 @@ def test_rows_without_an_id_take_no_part(spark):
     for asks in (F.lit(True), F.coalesce(F.col("vec_id") % 5 == 0, F.lit(True))):
         got = [tuple(r) for r in blocks.top_k(rows, asks).orderBy("query_id").collect()]
         assert got == [(0, 1, 5, 131072), (5, 1, 0, 131072)]
+
+
+def test_rows_with_one_id_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=4).round(1).tolist()) for i in range(60)]
+    rows += [(50, [1.0, 2.0, 0.0, 1.0]), (50, [-1.0, 0.5, 3.0, 0.0]), (50, rows[50][1]), (7, rows[50][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = blocks.top_k(table, F.col("vec_id") % 50 == 0, 5, shard=16).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, lambda i: i % 50 == 0)
