@@ -18,8 +18,8 @@ no task holds a group of unbounded size. The vectors of a join are sent to all e
 only up to ``MOST_SENT`` bytes; beyond it they are joined by shuffles.
 
 Rows without an id and vectors that are null, zero or hold null or non-finite components take no part; vectors
-with fewer components than others count zeros for the rest. Repeated ids are rows of their
-own. An empty table gives an empty result.
+with fewer components than others count zeros for the rest. Of rows with equal ids each is a
+row of its own, as query and as candidate. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -316,19 +316,22 @@ def nearest(vectors_table: DataFrame, is_query: Column, k: int = 20) -> DataFram
 
     ``vectors_table`` has vec_id and embedding; ``is_query`` picks the rows that are queries.
     """
-    rows = vectors_table.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
-    nodes = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")), "nodes")
+    rows = vectors_table.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
+        "vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"))
+    # Ids may repeat, so a row is known by a number of its own from here on.
+    rows = written(rows, "numbered")
+    nodes = written(rows.groupBy("embedding").agg(F.min("row").alias("node")), "nodes")
     vectors = Vectors(nodes)
     if not vectors.count:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     small = 0 if vectors.sent else 1
     named = sent_if_small(nodes, small, 0)
-    members = written(rows.join(named, "embedding").select("node", "vec_id", "asks"), "members")
+    members = written(rows.join(named, "embedding").select("node", "vec_id", "asks", "row"), "members")
     # Ties go to smaller ids: of equal vectors, the first k + 1 rows suffice.
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
-    heads = written(members.withColumn("_r", rank).filter(F.col("_r") <= k + 1).select("node", "vec_id"), "heads")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("vec_id", "row"))
+    heads = written(members.withColumn("_r", rank).filter(F.col("_r") <= k + 1).select("node", "vec_id", "row"), "heads")
     edges = neighbour_graph(vectors)
-    asking = members.filter("asks").select("node", F.col("vec_id").alias("query_id"))
+    asking = members.filter("asks").select("node", F.col("vec_id").alias("query_id"), F.col("row").alias("own"))
     found = greedy_search(vectors, edges, asking.select(F.col("node").alias("key")).distinct())
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
     found = found.withColumn("_r", best).filter((F.col("_r") <= RESCORED) | (F.col("key") == F.col("node"))).select("key", "node")
@@ -337,9 +340,9 @@ def nearest(vectors_table: DataFrame, is_query: Column, k: int = 20) -> DataFram
     two = sent_if_small(embedded.select("node", F.col("embedding").alias("b")), small, 0)
     exact = written(found.join(one, "key").join(two, "node").select("key", "node", _dot(F.col("a"), F.col("b")).alias("score")), "found")
     # Per node the rows that can be among the first k of a query: k + 1, with one to spare for the query itself.
-    options = exact.join(heads, "node").select("key", "vec_id", "score")
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
+    options = exact.join(heads, "node").select("key", "vec_id", "row", "score")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "row"))
     options = written(options.withColumn("_r", first).filter(F.col("_r") <= k + 1).drop("_r"), "options")
-    answers = asking.join(options, asking["node"] == options["key"]).filter(F.col("query_id") != F.col("vec_id"))
-    last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    answers = asking.join(options, asking["node"] == options["key"]).filter(F.col("own") != F.col("row"))
+    last = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row"))
     return answers.withColumn("rank", last).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -61,3 +61,15 @@ def test_long_rows_do_not_spoil_the_others(spark, monkeypatch):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     recall = [len(got[q] & set(brute(rows, q, 20))) / 20 for q in got]
     assert len(got) == 60 and np.mean(recall) >= 0.95, np.mean(recall)
+
+
+def test_rows_with_one_id_are_rows_of_their_own(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(20, [20.0, 1.0]), (20, [3.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, 3).collect())
+    want = []
+    for a, (i, x) in enumerate(rows):
+        if i % 20 == 0:
+            scored = sorted((-float(np.dot(x, y)), j) for b, (j, y) in enumerate(rows) if b != a)[:3]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    assert got == sorted(want)
