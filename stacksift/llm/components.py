@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Rounds are logarithmic in the number of nodes; this only stops a loop that is broken.
 MOST_ROUNDS = 60
@@ -15,6 +15,12 @@ def _state(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.written_to = edges.written_to  # so that it can be discarded
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the smallest node it reaches.
 
@@ -27,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(edges.filter((F.col("a") != F.col("b")) & links["a"].isNotNull() & links["b"].isNotNull()).distinct(), "links")
     before = _state(edges)
     if not before[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return _roots(edges)
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -36,9 +42,10 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m", "a")
         hooked = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        edges = written(hooked.filter("a <> b").distinct(), "links")
+        older, edges = edges, written(hooked.filter("a <> b").distinct(), "links")
+        discard(older)
         after = _state(edges)
         if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return _roots(edges)
         before = after
     raise RuntimeError("components did not settle")

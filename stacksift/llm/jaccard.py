@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sent_if_small, small_batches, written
+from .common import discard, sent_if_small, small_batches, written
 from .components import components
 
 SHINGLE = 4
@@ -328,11 +328,12 @@ def link(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> t
     plan = bands({r["c"]: r["docs"] for r in classes}, most_words, per_cent)
     found = written(indexed(docs, plan, shingle, per_cent), "shingles")
     groups = _shared_entries(found)
-    named = found.select("doc_id", "n_shingles", "node")
+    named = written(found.select("doc_id", "n_shingles", "node"), "named")
     needed = groups.select("node").distinct()
     # One text per node: its smallest id.
     facts = found.select("node", "doc_id", "n_shingles", "sketch", "short").filter("doc_id IS NOT NULL").join(needed, "node")
     facts = written(facts.groupBy("node").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "short"), "doc_id").alias("f")), "nodes")
+    discard(found)
     chosen = sent_if_small(facts.select("node", "f.doc_id"), facts.count(), MOST_SENT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     nodes = facts.select("node", F.col("f.n_shingles").alias("size"), F.col("f.sketch").alias("sketch"), F.col("f.short").alias("short"))
@@ -385,12 +386,16 @@ def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent:
             break
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
+        older, roots = roots, components(links)
+        if older is not None:
+            discard(older, rows)
         rows = _open_groups(groups, roots)
     # All pairs of a group that are still in different components. The leaders of the first
     # round have met their whole groups, so they and groups of two are done. The largest
     # component of a group needs no pairs inside; the others meet all rows.
-    rows = _mixed(rows.filter(~F.col("leads")))
+    older, rows = rows, _mixed(rows.filter(~F.col("leads")))
+    if roots is not None:
+        discard(older)
     parts = rows.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("entry").agg(F.max(F.struct("n", "root")).alias("top"))
     minor = rows.join(largest, "entry").filter(F.col("root") != F.col("top.root")).drop("top")
