@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ...functions.fold import distinct_words, match_fold, search_fold
 from ...operators import browse, light, search
 from ...session import checkpoint_dir
+from ...sources.index_store import SegmentedIndex
 from .. import tables
 from .registry import PREPARED, candidate_test, fold, query, query_score
 
@@ -151,3 +153,65 @@ def index_missing_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prepared(spark, sf_dir)
     partial = search.postings(rows, "id", distinct_words(search_fold("canonical_title")))
     return search.missing_postings(rows, "id", "title", partial)
+
+
+# Parts after three changes: a tenth of them renamed twice, every fiftieth removed, and one
+# new record for every supplier.
+_RENAMED = """
+renamed AS (
+  SELECT 'p' || p_partkey AS id, CASE WHEN p_partkey % 10 = 3 THEN 'Lantern ' || p_type || ' ' || p_size ELSE p_name END AS title
+  FROM part WHERE p_partkey % 50 <> 7 UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier)"""
+
+
+def _indexed_parts(spark: SparkSession, sf_dir: str, merged: bool) -> SegmentedIndex:
+    """The index of all part names, brought through the changes; merged after each where its sizes ask for it."""
+    part = tables.table(spark, sf_dir, "part")
+    day = datetime(2024, 1, 1)
+    index = SegmentedIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+
+    def named(rows: DataFrame, id_, title) -> DataFrame:
+        return rows.select(id_.alias("id"), distinct_words(search_fold(title)).alias("words"))
+
+    id_ = F.concat(F.lit("p"), F.col("p_partkey"))
+    tenth = part.filter("p_partkey % 10 = 3 AND p_partkey % 50 <> 7")
+    steps = [
+        (named(tenth, id_, F.concat_ws(" ", F.lit("Interim"), "p_name")), None),
+        (named(tables.table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey")), F.col("s_name")), part.filter("p_partkey % 50 = 7").select(id_.alias("id"))),
+        (named(tenth, id_, F.concat_ws(" ", F.lit("Lantern"), "p_type", "p_size")), None),
+    ]
+    index.build(named(part, id_, F.col("p_name")), "words", day)
+    for changed, removed in steps:
+        index.update(changed, "words", day, removed)
+        if merged:
+            index.merge(day)
+    return index
+
+
+@query(f"""
+WITH {_RENAMED},
+words AS (SELECT DISTINCT id, unnest(string_split({fold('title')}, ' ')) AS w FROM renamed),
+keys AS (
+  SELECT DISTINCT id, 'p' AS kind, left(w, n) AS key FROM words, (SELECT unnest(range(2, 7)) AS n) WHERE length(w) >= n
+  UNION ALL
+  SELECT DISTINCT id, 'g', unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) FROM words WHERE length(w) >= 3)
+SELECT kind, key, count(*) AS postings, md5(string_agg(id, ',' ORDER BY id)) AS ids FROM keys GROUP BY kind, key""")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posting lists of an index that took three changes, by segments and merges."""
+    found = _indexed_parts(spark, sf_dir, True).postings().groupBy("kind", "key")
+    ids = F.array_join(F.sort_array(F.collect_list("id")), ",")
+    return found.agg(F.count(F.lit(1)).alias("postings"), F.md5(ids).alias("ids"))
+
+
+_ASKED = ["lantern promo", "blue gizmo", "supplier", "interim"]
+
+
+@query(f"WITH {_RENAMED}, folded AS (SELECT id, string_split({fold('title')}, ' ') AS words FROM renamed) " + " UNION ALL ".join(
+    f"SELECT '{q}' AS asked, id FROM folded WHERE {candidate_test(q, 'words')}" for q in _ASKED))
+def index_changed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed segments offer for old and new words, before any merge."""
+    index = _indexed_parts(spark, sf_dir, False).postings()
+    out = None
+    for asked in _ASKED:
+        found = search.candidates(index, "id", asked).select(F.lit(asked).alias("asked"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -100,7 +100,8 @@ def last_commit(spark: SparkSession, root: str) -> int:
     return state(spark, root).last
 
 
-def _commit(spark: SparkSession, root: str, made: Segment, now: datetime, keys: list[str], cluster: list[str]) -> None:
+def commit(spark: SparkSession, root: str, made: Segment, now: datetime, keys: list[str], cluster: list[str]) -> None:
+    """Make a written segment visible; fails where another one has its number."""
     line = spark.createDataFrame([(*made[:5], now, *made[5:], list(keys), list(cluster))], COMMIT)
     line.coalesce(1).write.parquet(f"{_log(root)}/{made.number}-{made.folder}")
     if commits(spark, root).filter(F.col("number") == made.number).first()["folder"] != made.folder:
@@ -143,7 +144,7 @@ def append(rows: DataFrame, root: str, keys: list[str], now: datetime, cluster:
     if not count:
         delete_folder(spark, f"{root}/{folder}")
         return 0
-    _commit(spark, root, Segment(number, folder, False, number, number, count, folder_bytes(spark, f"{root}/{folder}")), now, keys, cluster)
+    commit(spark, root, Segment(number, folder, False, number, number, count, folder_bytes(spark, f"{root}/{folder}")), now, keys, cluster)
     return count
 
 
@@ -167,7 +168,7 @@ def replace(rows: DataFrame, root: str, keys: list[str], now: datetime, cluster:
     marked = _clustered(rows.withColumns({AT: F.lit(number).cast("long"), GONE: F.lit(False)}), cluster)
     folder, written = _folder(spark, marked, root, "base", number)
     count = _check_keys(written, keys, f"{root}/{folder}")
-    _commit(spark, root, Segment(number, folder, True, 1, number, count, folder_bytes(spark, f"{root}/{folder}")), now, keys, cluster)
+    commit(spark, root, Segment(number, folder, True, 1, number, count, folder_bytes(spark, f"{root}/{folder}")), now, keys, cluster)
     vacuum(spark, root)
     return count
 
@@ -215,7 +216,7 @@ def read(spark: SparkSession, root: str, schema) -> DataFrame:
     return rows.filter(~F.col(GONE)).drop(AT, GONE)
 
 
-def _run_of_one_size(deltas: list[Segment]) -> list[Segment]:
+def run_of_one_size(deltas: list[Segment]) -> list[Segment]:
     """Neighbouring deltas, newest first, of one size; at least ``FAN`` or none."""
     best: list[Segment] = []
     for at in range(len(deltas)):
@@ -236,7 +237,7 @@ def compact(spark: SparkSession, root: str, schema, now: datetime) -> str | None
     deltas = sorted((s for s in found.live if not s.base), key=lambda s: s.high)
     shape, number = _with_marks(schema), found.last + 1
     held = sum(s.bytes for s in found.live if s.base)
-    run = _run_of_one_size(deltas)
+    run = run_of_one_size(deltas)
     if len(deltas) > 1 and sum(s.bytes for s in deltas) >= SHARE * held:
         rows = _clustered(_merged(spark, root, found.live, found.keys, shape).filter(~F.col(GONE)), found.cluster)
         kind, low, high = "base", 1, number
@@ -247,7 +248,7 @@ def compact(spark: SparkSession, root: str, schema, now: datetime) -> str | None
         return None
     folder, written = _folder(spark, rows, root, kind, number)
     made = Segment(number, folder, kind == "base", low, high, written.count(), folder_bytes(spark, f"{root}/{folder}"))
-    _commit(spark, root, made, now, found.keys, found.cluster)
+    commit(spark, root, made, now, found.keys, found.cluster)
     vacuum(spark, root)
     return kind
 

@@ -73,7 +73,7 @@ def test_bad_keys_and_second_writers_fail(spark, tmp_path):
     deltas.append(rows(spark, [(1, "p", "a")]), root, ["k"], DAY)
     other = deltas.Segment(1, "zzz", False, 1, 1, 1, 1)
     with pytest.raises(RuntimeError):
-        deltas._commit(spark, root, other, DAY, ["k"], [])
+        deltas.commit(spark, root, other, DAY, ["k"], [])
     assert held(spark, root) == [(1, "p", "a")]
 
 
