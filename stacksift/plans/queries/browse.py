@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions.text import display_genre, genre_label, platform_label, size_mb, year_of
-from ...operators import browse, ordinals, recommend
+from ...operators import bitmaps, browse, ordinals, recommend
+from ...session import cut_lineage
 from .. import tables
 from .registry import PREPARED, TAGS, fold, query, query_score
 from .search import prepared
@@ -118,6 +119,41 @@ def tag_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.facets(dictionary, pool, ["economy"], "Brand#2").drop("label")
 
 
+@query(f"""
+WITH {TAGS},
+asked AS (
+  SELECT DISTINCT type_key AS a, NULL AS b FROM prepared UNION SELECT DISTINCT brand_key, NULL FROM prepared
+  UNION SELECT DISTINCT type_key, brand_key FROM prepared),
+flags AS (SELECT unnest([false, true]) AS described), media AS (SELECT unnest([false, true]) AS shown),
+selections AS (SELECT a, b, described, shown FROM asked, flags, media),
+pool AS (
+  SELECT a, b, described, shown, p.id FROM selections s JOIN prepared p
+    ON (s.a = p.type_key OR s.a = p.brand_key) AND (s.b IS NULL OR s.b = p.brand_key)
+       AND (NOT s.described OR p.details_ready) AND (NOT s.shown OR p.media_count > 0)),
+sizes AS (SELECT a, b, described, shown, count(*) AS total FROM pool GROUP BY ALL),
+hits AS (SELECT a, b, described, shown, t.key, count(*) AS hits FROM pool JOIN tags t USING (id) GROUP BY ALL)
+SELECT concat_ws('|', a, hits.b, CASE WHEN described THEN '+described' END, CASE WHEN shown THEN '+media' END) AS selection,
+       key, hits, total
+FROM hits JOIN sizes USING (a, described, shown) WHERE hits.b IS NOT DISTINCT FROM sizes.b""")
+def facets_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all tags under every selection of a type, a brand or both, with or without descriptions and media."""
+    numbered = ordinals.with_ordinals(prepared(spark, sf_dir), [F.col("id")])
+    flags = F.array_compact(F.array(F.when(F.col("has_description"), F.lit("+described")), F.when(F.col("media_count") > 0, F.lit("+media"))))
+    rows = cut_lineage(numbered.select("ordinal", "tag_keys", F.concat("tag_keys", flags).alias("keys")))
+    maps = cut_lineage(bitmaps.key_bitmaps(rows, "ordinal", F.col("keys")))
+    first, second = F.get("tag_keys", F.lit(0)), F.get("tag_keys", F.lit(1))
+    # The type comes first in the SQL form; which of a row's tags that is differs.
+    pair = F.when(first.startswith("brand "), F.array(second, first)).otherwise(F.array(first, second))
+    asked = rows.select(F.explode(F.array(F.array(first), F.array(second), pair)).alias("tags")).distinct()
+    extra = F.array(F.array(), F.array(F.lit("+described")), F.array(F.lit("+media")), F.array(F.lit("+described"), F.lit("+media")))
+    selections = asked.select(F.explode(F.transform(extra.cast("array<array<string>>"), lambda x: F.concat("tags", x))).alias("keys"))
+    selections = selections.select(F.array_join("keys", "|").alias("selection"), "keys")
+    pool = cut_lineage(bitmaps.pools(maps, selections))
+    tags = maps.filter(~F.col("key").startswith("+"))
+    counts = bitmaps.facets(pool, tags).withColumnRenamed("rows", "hits")
+    return counts.join(bitmaps.pool_sizes(pool).withColumnRenamed("rows", "total"), "selection")
+
+
 @query(f"""
 WITH {TAGS} SELECT DISTINCT id FROM tags WHERE contains(key, 'brand 2') OR contains(key, 'econ')""")
 def rows_with_any_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
