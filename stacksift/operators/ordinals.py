@@ -61,8 +61,14 @@ def with_neighbours(df: DataFrame, order: list[Column], key: str) -> DataFrame:
     ).drop("_part", "_pos", "_before", "_after")
 
 
+#: Rows up to which a page is the end of a sorted head; see ``sources.sort_runs`` for results that are paged often.
+HEAD = 10_000
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int = 30) -> DataFrame:
-    """One page of a sorted result; pages count from 0. Deep pages cost what the first one does."""
+    """One page of a sorted result; pages count from 0. Deep pages cost one sort of the whole."""
+    if (number + 1) * size <= HEAD:
+        return df.orderBy(*order).limit((number + 1) * size).offset(number * size)
     numbered = with_ordinals(df, order, "_ordinal")
     first = number * size
     return numbered.filter(F.col("_ordinal").between(first, first + size - 1)).orderBy("_ordinal").drop("_ordinal")

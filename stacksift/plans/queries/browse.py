@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ...functions.text import display_genre, genre_label, platform_label, size_mb, year_of
 from ...operators import bitmaps, browse, ordinals, recommend
-from ...session import cut_lineage
+from ...session import checkpoint_dir, cut_lineage
+from ...sources import sort_runs
 from .. import tables
 from .registry import PREPARED, TAGS, fold, query, query_score
 from .search import prepared
@@ -222,6 +223,26 @@ def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinals.page(rows, [F.desc("o_orderdate"), F.col("o_orderkey")], 2, browse.PAGE_SIZE).drop("o_orderdate")
 
 
+_PAGES = """(0, 'first'), ((SELECT count(*) FROM orders) // 60, 'middle'), (((SELECT count(*) FROM orders) - 1) // 30, 'last')"""
+
+
+@query(f"""
+WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS ordinal FROM orders),
+pages AS (SELECT * FROM (VALUES {_PAGES}) AS v(page, name))
+SELECT name, page, ordinal, o_orderkey, true AS few_files FROM pages JOIN n ON ordinal // 30 = page""")
+def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, a middle and the last page of all orders out of a stored run, each from at most two files."""
+    rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    run = sort_runs.stored_run(rows, [F.desc("o_orderdate"), F.col("o_orderkey")], checkpoint_dir(spark), 2000)
+    total, out = sort_runs.run_rows(spark, run), None
+    for name, number in (("first", 0), ("middle", total // 60), ("last", (total - 1) // 30)):
+        page = sort_runs.page(spark, run, number, browse.PAGE_SIZE)
+        few = F.lit(len(page.inputFiles()) <= 2)
+        page = page.select(F.lit(name).alias("name"), F.lit(number).cast("long").alias("page"), "ordinal", "o_orderkey", few.alias("few_files"))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 @query("""
 WITH n AS (SELECT o_orderkey, row_number() OVER w - 1 AS ordinal, lag(o_orderkey) OVER w AS p, lead(o_orderkey) OVER w AS f,
   first_value(o_orderkey) OVER w AS lo, last_value(o_orderkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hi
