@@ -1,8 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one per block element. Lines inside menus, forms, scripts
-and other parts that are never article text count no characters but keep their place, and
-so do lines outside the article element where a page has one. A part that is only named as
+Markup is stripped into lines, one per block element. Lines inside menus, forms, scripts,
+readers' comments and other parts that are never article text count no characters but keep their
+place. Where a page has an article element, its ends are the surge and the dive, unless the text
+next to it outweighs it by far. Containers are such parts by names made of known words alone; headings,
+list items and cells never are, and paragraphs only as adverts. A part that is only named as
 one of these, by class, id, role or as a form, does not count as such for the main element
 inside of it, nor for an article if no other has text. Text lengths without link
 text are summed over sliding windows of ``WINDOW`` lines. A region starts where the sum
@@ -35,6 +37,8 @@ WINDOW = 3
 SURGE = 60
 #: Lines without text between two regions that belong to one page part.
 GAP = 2
+#: So many times the text of all articles makes another part of a page its main text.
+OUTWEIGHS = 10
 
 # Elements by what they do to the text.
 BLOCKS = frozenset(
@@ -42,7 +46,7 @@ BLOCKS = frozenset(
     " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary"
     " table tbody td tfoot th thead title tr ul caption".split()
 )
-RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp title svg math canvas object audio video".split())
+RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp title svg annotation canvas audio video".split())
 #: Elements that an opening tag ends without a tag of their own, and those beyond which it ends none.
 _PARTS_OF_PAGE = frozenset("article main section nav aside header footer form fieldset blockquote table td th".split())
 _LISTS = _PARTS_OF_PAGE | {"ul", "ol", "menu", "dir"}
@@ -76,6 +80,21 @@ OUTSIDE = frozenset(
     " social sponsor sponsored subscribe subscription tags toc toolbar widget widgets complementary alert disclaimer".split()
 )
 
+#: Words that may stand beside those in a name that marks such a part; any other word makes it a name of its own.
+GENERIC = frozenset(
+    "a above after area article aside bar before below block blog body bottom box btn button buttons center class col column component"
+    " container content desktop entry fixed floating global group holder icon icons id inline inner item items js layout left link links"
+    " list main mobile module narrow outer page panel post primary region right row secondary section single site small sticky sub thread"
+    " title top web wide wrap wrapper zone".split()
+)
+COMMENT = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: A paragraph is left out for these names alone, and only when they are its whole class.
+PAID = frozenset("ad ads adv advert advertisement advertising adbox promo promoted sponsor sponsored".split())
+#: Elements whose class, id or role can name them as outside the article.
+CONTAINERS = frozenset(
+    "address aside blockquote center details dialog dir div dl fieldset figure footer form header hgroup menu nav ol section table ul".split()
+)
+
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _QUOTE_OR_END = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -123,14 +142,31 @@ def _is_hidden(attributes: str) -> bool:
     return False
 
 
-def _is_outside(attributes: str) -> bool:
-    """Whether class, id or role name a part outside the article."""
+def _names(attributes: str, keys: tuple[str, ...] = ("class", "id", "role")):
+    """The words of every class, id and role that says what an element is."""
     for key, value in _NAMES.findall(attributes):
-        if key.lower() in ("class", "id", "role"):
+        if key.lower() in keys:
             for name in value.strip("\"'").split():
-                if not _BESIDE.match(name) and any(w.lower() in OUTSIDE for w in _WORDS.findall(name)):
-                    return True
-    return False
+                if not _BESIDE.match(name):
+                    yield [w.lower() for w in _WORDS.findall(name)]
+
+
+def _marks(words: list[str], marks: frozenset[str]) -> bool:
+    """Whether a name is made of ``marks`` and of words that say nothing else."""
+    return any(w in marks for w in words) and all(w in marks or w in OUTSIDE or w in GENERIC or w.isdigit() for w in words)
+
+
+def _is_outside(attributes: str) -> bool:
+    """Whether class, id or role name a part outside the article."""
+    return any(_marks(words, OUTSIDE) for words in _names(attributes))
+
+
+def _is_comment(attributes: str) -> bool:
+    return any(_marks(words, COMMENT) for words in _names(attributes))
+
+
+def _is_paid(attributes: str) -> bool:
+    return any(len(words) == 1 and words[0] in PAID for words in _names(attributes, ("class",)))
 
 
 def page_lines(html: str) -> list[Line]:
@@ -235,10 +271,13 @@ def page_lines(html: str) -> list[Line]:
                     while places.get(other) and places[other][-1] > least:
                         leave(places[other][-1])
             attributes = html[tag.end() : at]
-            named = name not in ("html", "body", "article", "main")
             out = name in SKIPPED and name != "form" and not (name == "header" and articles)
-            enter(name, out or (named and _is_hidden(attributes)), named and (name == "form" or _is_outside(attributes)))
-        elif name in ("span", "section", "font", "center", "ins"):
+            if name not in ("html", "body", "main"):
+                # Readers' comments go wherever they stand, also as articles.
+                out = out or ((name == "article" or name in CONTAINERS) and _is_comment(attributes))
+                out = out or (name != "article" and _is_hidden(attributes)) or (name == "p" and _is_paid(attributes))
+            enter(name, out, name == "form" or (name in CONTAINERS and _is_outside(attributes)))
+        elif name in ("span", "font", "ins"):
             attributes = html[tag.end() : at]
             out, named = _is_hidden(attributes), _is_outside(attributes)
             if out or named:
@@ -263,11 +302,13 @@ def in_articles(lines: list[Line]) -> bool:
 
 
 def line_weights(lines: list[Line]) -> np.ndarray:
-    """Characters per line that count: none in left-out parts, nor link text."""
-    bounded = in_articles(lines)
-    return np.array([
-        max(len(x.text) - x.linked, 0) if x.kept and (x.article or not bounded) else 0 for x in lines
-    ])
+    """Characters per line that count: none in left-out parts, nor link text, nor in articles."""
+    return np.array([0 if x.article or not x.kept else max(len(x.text) - x.linked, 0) for x in lines])
+
+
+def article_weights(lines: list[Line]) -> np.ndarray:
+    """All characters of the lines of articles."""
+    return np.array([len(x.text) if x.article and x.kept else 0 for x in lines])
 
 
 def linked_inside(lines: list[Line]) -> np.ndarray:
@@ -294,14 +335,30 @@ def regions(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE, gap:
     return kept or [max(runs, key=lambda r: (sums[r[0] : r[1]].max(), -r[0]))]
 
 
+def main_runs(lines: list[Line]) -> list[tuple[int, int]]:
+    """Runs of lines between surge and dive points that are the main text.
+
+    An article is a hard limit: inside of it any text is a surge and no gap a dive, so all of
+    its lines belong to the run. It gives way to the rest of the page only where a run there has
+    ``OUTWEIGHS`` times its text, as where articles are teasers beside it.
+    """
+    rest = line_weights(lines)
+    own = article_weights(lines) if in_articles(lines) else None
+    if own is not None and rest.sum() <= OUTWEIGHS * own.sum():
+        return regions(own, surge=1, gap=len(lines))
+    runs = regions(rest, inside=linked_inside(lines))
+    if own is not None and max((rest[a:b].sum() for a, b in runs), default=0) <= OUTWEIGHS * own.sum():
+        return regions(own, surge=1, gap=len(lines))
+    return runs
+
+
 def main_text(html: str) -> str:
     """The article text of a page."""
     lines = settled(page_lines(html))
-    if in_articles(lines):
-        # The article element bounds the region; all of its own lines belong to it.
-        return "\n".join(x.text for x in lines if x.text and x.kept and x.article)
-    runs = regions(line_weights(lines), inside=linked_inside(lines))
-    return "\n".join(x.text for a, b in runs for x in lines[a:b] if x.text and x.kept)
+    bounded = in_articles(lines)
+    runs = main_runs(lines)
+    article = bounded and any(x.article and x.kept and x.text for a, b in runs for x in lines[a:b])
+    return "\n".join(x.text for a, b in runs for x in lines[a:b] if x.text and x.kept and (x.article or not article))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -105,3 +105,60 @@ def test_links_are_linear():
     for html in ("<a href=x>" * 100000, "<a href=x>x</a>" * 100000, "<p><a href=x>" * 100000, "<a " * 200000):
         pagetext.main_text(html)
     assert time.time() - began < 30
+
+
+CONTRACT = [
+    (f"<article><h2 id='share-of-market'>Share</h2><p>{LONG}</p></article>", f"Share\n{LONG}"),
+    (f"<article><h2 id='search'>Search</h2><p>{LONG}</p></article>", f"Search\n{LONG}"),
+    (f"<article><p>{LONG}</p><p class='related'>A related thought.</p><ul><li class=share>shared</li></ul></article>", f"{LONG}\nA related thought.\nshared"),
+    (f"<article><p>{LONG}</p></article><article id='comment-1'><p>{LONG} Comment.</p></article>", LONG),
+    (f"<article><p>{LONG}</p><article class='comment byuser'><p>no</p></article><article class='post-comment'><p>no</p></article></article>", LONG),
+    (f"<main><p>{LONG}</p><section class='post-comments'><article><p>{LONG}</p></article></section></main>", LONG),
+    (f"<div><p>{LONG}</p></div><section id=comments><article><p>{LONG} Comment.</p></article></section>", LONG),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><object data=a><p>Fallback</p></object></article>", "Let x=2 be.\nFallback"),
+    (f"<article><p>{LONG}</p><div class='share-of-market'>kept</div><div class='share-buttons'>no</div><div id='site-sidebar-2'>no</div></article>", f"{LONG}\nkept"),
+    (f"<article><p>teaser</p></article><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><div><p>{LONG} Other.</p></div>", LONG),
+    (f"<article><p>{LONG}</p><p class='ad'>Buy</p><div class='ads'>Buy</div></article>", LONG),
+]
+
+
+@pytest.mark.parametrize("html,text", CONTRACT)
+def test_names_and_comments(html, text):
+    assert pagetext.main_text(html) == text
+
+
+def test_every_text_comes_through_regions(monkeypatch):
+    seen = []
+    real = pagetext.regions
+    monkeypatch.setattr(pagetext, "regions", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    lines = pagetext.settled(pagetext.page_lines(f"<nav>x</nav><article><h1>T</h1><p>{LONG}</p><hr><hr><hr><hr><hr><hr><hr><p>end</p></article><p>after</p>"))
+    runs = pagetext.main_runs(lines)
+    assert seen and runs == seen[-1] and len(runs) == 1
+    (a, b), = runs
+    assert lines[a].text == "T" and lines[b - 1].text == "end"
+
+
+def test_regions_like_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        n = int(rng.integers(1, 40))
+        weights = rng.integers(0, 60, n) * (rng.random(n) < 0.3)
+        runs, start = [], None
+        full = [i for i in range(n) if weights[i]]
+        for i in full:  # a new run after more than WINDOW + GAP - 1 lines without text
+            if start is None:
+                start, end = i, i
+            elif i - end > pagetext.WINDOW + pagetext.GAP:
+                runs.append((start, end + 1))
+                start, end = i, i
+            else:
+                end = i
+        runs += [(start, end + 1)] if full else []
+        strength = [max(sum(weights[i : i + pagetext.WINDOW]) for i in range(a, b)) for a, b in runs]
+        want = [r for r, s in zip(runs, strength) if s >= pagetext.SURGE]
+        if runs and not want:
+            want = [runs[strength.index(max(strength))]]
+        assert pagetext.regions(weights) == want
