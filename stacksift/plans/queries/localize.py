@@ -167,11 +167,13 @@ WITH {_FIELDS}
 SELECT id, field_key FROM fields WHERE lang = 'fr' OR source = 'src1'
 ORDER BY CASE field_key WHEN 'description' THEN 0 ELSE 1 END, id, field_key LIMIT 24""")
 def field_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next fields to translate out of those of French documents and one source."""
+    """The next fields to translate of a queue of all; those of French documents and one source are pending."""
     catalog = document_catalog(spark, sf_dir)
-    facts = tables.documents(spark, sf_dir).filter("lang = 'fr' OR source = 'src1'").select(F.col("doc_id").cast("string").alias("id"))
-    queue = _as_done(localize.wanted_jobs(catalog, document_verified(spark, sf_dir)).join(facts, "id", "left_semi"))
-    return localize.field_work(queue.withColumn("status", F.lit("pending")), 24).select("id", "field_key")
+    facts = tables.documents(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("id"), (F.coalesce(F.col("lang") == "fr", F.lit(False)) | F.coalesce(F.col("source") == "src1", F.lit(False))).alias("open"))
+    queue = _as_done(localize.wanted_jobs(catalog, document_verified(spark, sf_dir))).join(facts, "id")
+    queue = queue.withColumn("status", F.when(F.col("open"), "pending").otherwise(F.col("status"))).drop("open")
+    return localize.field_work(queue, 24).select("id", "field_key")
 
 
 def translated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

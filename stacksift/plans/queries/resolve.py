@@ -389,27 +389,24 @@ def review_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {CATALOG},
 w AS (SELECT CAST(p_partkey AS VARCHAR) AS id, lower(p_type || ' ' || p_name) AS t, p_type, p_size FROM part
   WHERE p_type NOT IN ('SMALL', 'PROMO') OR (p_type = 'PROMO' AND p_size % 5 < 3)),
-top AS (SELECT w.*, (SELECT min(v.id) FROM verified v WHERE v.canonical_title = w.t) AS best FROM w)
-SELECT id, CASE WHEN best IS NULL THEN 'other' WHEN p_size >= 25 THEN 'resolved' ELSE 'unresolved' END AS status,
+asked AS (SELECT DISTINCT t, list_distinct(string_split(t, ' ')) AS tw FROM w),
+known AS (SELECT DISTINCT canonical_title AS c, list_distinct(string_split(canonical_title, ' ')) AS cw FROM verified),
+found AS (
+  SELECT DISTINCT t FROM asked, known
+  WHERE len(list_intersect(tw, cw)) / len(list_distinct(list_concat(tw, cw))) >= 0.4
+     OR ((contains(t, c) OR contains(c, t)) AND greatest(length(t), length(c)) <= 1.4 * least(length(t), length(c))))
+SELECT id, CASE WHEN t NOT IN (SELECT t FROM found) THEN 'ineligible' WHEN p_size >= 25 THEN 'resolved' ELSE 'unresolved' END AS status,
        CASE WHEN p_type = 'PROMO' THEN p_size % 5 + 1 ELSE 1 END AS attempts
-FROM top""")
+FROM w""")
 def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A review round whose decisions take the first candidate, surely for large parts only.
-
-    The status of jobs without an entity of exactly their base title is given as other.
-    """
+    """A review round whose decisions take the first candidate, surely for large parts only; jobs without any are ineligible."""
     waiting = review.work(review_jobs(spark, sf_dir), review_state(spark, sf_dir))
     catalog = tables.catalog(spark, sf_dir)
     eligible = review.eligibility(waiting, catalog, evidence(spark, sf_dir))
     sure = tables.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") >= 25).alias("sure"),
-        F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("base"),
-    )
+        F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") >= 25).alias("sure"))
     asked = review.requests(eligible).join(sure, "id")
     first = F.get_json_object("request", "$.candidates[0].id")
     answer = F.concat(F.lit('{"candidate_id":"'), first, F.lit('","confidence":'), F.when(F.col("sure"), "0.95").otherwise("0.9"), F.lit("}"))
     decided = review.outcomes(eligible, asked.select("id", answer.alias("response")))
-    exact = tables.verified(spark, sf_dir).select(F.col("canonical_title").alias("base")).distinct()
-    named = sure.join(exact, "base", "left_semi").select("id", F.lit(True).alias("named"))
-    status = F.when(F.col("named"), F.col("status")).otherwise("other")
-    return decided.join(named, "id", "left").select("id", status.alias("status"), "attempts")
+    return decided.select("id", "status", "attempts")
