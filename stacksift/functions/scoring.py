@@ -22,49 +22,50 @@ MATCH_DOMAIN, MATCH_DATE, MATCH_GENRE, MATCH_COMPANY, MATCH_CAP = 0.12, 0.05, 0.
 # -----------------------------------------------------------------------------
 
 
-def word_score(query_word: str, words: Column) -> Column:
-    """Best score of one query word against the words of a row; 0 when none fits."""
+def single_word_score(query_word: str, word: Column) -> Column:
+    """Score of one query word against one word; 0 when it does not fit."""
     allowed = 1 if len(query_word) <= SHORT_WORD else 2
+    value = (
+        F.when(word == query_word, WORD_EQUAL)
+        .when(word.startswith(query_word), WORD_PREFIX)
+        .when(word.contains(query_word), WORD_CONTAINS)
+    )
+    if len(query_word) >= FUZZY_MIN_LENGTH:
+        near = F.length(word).between(len(query_word) - FUZZY_LENGTH_GAP, len(query_word) + FUZZY_LENGTH_GAP)
+        distance = F.levenshtein(F.lit(query_word), word, allowed)
+        value = value.when(near & (distance >= 0), WORD_FUZZY - EDIT_PENALTY * distance)
+    return value.otherwise(0)
 
-    def score(word: Column) -> Column:
-        value = (
-            F.when(word == query_word, WORD_EQUAL)
-            .when(word.startswith(query_word), WORD_PREFIX)
-            .when(word.contains(query_word), WORD_CONTAINS)
-        )
-        if len(query_word) >= FUZZY_MIN_LENGTH:
-            near = F.length(word).between(
-                len(query_word) - FUZZY_LENGTH_GAP, len(query_word) + FUZZY_LENGTH_GAP
-            )
-            distance = F.levenshtein(F.lit(query_word), word, allowed)
-            value = value.when(near & (distance >= 0), WORD_FUZZY - EDIT_PENALTY * distance)
-        return value.otherwise(0)
 
-    return F.coalesce(F.array_max(F.transform(words, score)), F.lit(0))
+def word_score(query_word: str, words: Column) -> Column:
+    """Best score of one query word against the words of a row; 0 when none fits."""
+    return F.coalesce(F.array_max(F.transform(words, lambda w: single_word_score(query_word, w))), F.lit(0))
 
 
-def query_score(query: str, title_fold: Column, text_fold: Column, words: Column) -> Column:
-    """Relevance of a row for a query; 0 means no match. All columns are folded."""
+def row_score(query: str, title_fold: Column, text_fold: Column, by_words: Column | None) -> Column:
+    """Relevance of a row whose words score ``by_words`` in all; that is null where a query word fits none of them."""
     folded = fold_query(query)
     if not folded:
         return F.lit(EMPTY_QUERY)
-    per_word = [word_score(word, words) for word in folded.split(" ")]
-    matched = F.lit(True)
-    total = F.lit(0)
-    for value in per_word:
-        matched = matched & (value > 0)
-        total = total + value
     penalty = len(folded) * LENGTH_PENALTY
     return (
         F.when(title_fold == folded, EQUAL)
         .when(title_fold.startswith(folded), PREFIX - penalty)
         .when(title_fold.contains(folded), CONTAINS - penalty)
         .when(text_fold.contains(folded), TEXT)
-        .when(matched, total.cast("double"))
-        .otherwise(0.0)
+        .otherwise(F.coalesce(by_words.cast("double"), F.lit(0.0)))
     )
 
 
+def query_score(query: str, title_fold: Column, text_fold: Column, words: Column) -> Column:
+    """Relevance of a row for a query; 0 means no match. All columns are folded."""
+    matched, total = F.lit(True), F.lit(0)
+    for value in [word_score(word, words) for word in fold_query(query).split(" ")]:
+        matched = matched & (value > 0)
+        total = total + value
+    return row_score(query, title_fold, text_fold, F.when(matched, total))
+
+
 def _ratio(left: str | None, right: str | None) -> float:
     if not left or not right:
         return 0.0

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions.fold import distinct_words, match_fold, search_fold
-from ...operators import browse, light, search
-from ...session import checkpoint_dir
+from ...operators import browse, fuzzy, light, search
+from ...session import checkpoint_dir, cut_lineage
 from ...sources.index_store import SegmentedIndex
 from .. import tables
 from .registry import PREPARED, candidate_test, fold, query, query_score
@@ -79,9 +79,9 @@ WITH folded AS (SELECT doc_id, {fold('text')} AS t FROM documents),
 scored AS (SELECT doc_id, CAST({query_score(TEXT_QUERY, 't', 't')} AS DOUBLE) AS score FROM folded)
 SELECT * FROM scored WHERE score > 0""")
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that matches, by exact, prefix, contained or similar words, without an index."""
-    rows = document_words(spark, sf_dir).withColumn("title_fold", F.col("text_fold"))
-    return search.search(rows, "doc_id", TEXT_QUERY).select("doc_id", "score")
+    """Every document that matches, by exact, prefix, contained or similar words; each word is scored once."""
+    rows = cut_lineage(document_words(spark, sf_dir).withColumn("title_fold", F.col("text_fold")))
+    return fuzzy.search_words(rows, "doc_id", TEXT_QUERY, cut_lineage(fuzzy.vocabulary(rows))).select("doc_id", "score")
 
 
 @query(f"""
