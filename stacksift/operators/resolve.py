@@ -14,6 +14,7 @@ from ..functions.text import text_or_empty
 from ..functions.titles import aggressive_title, conservative_title, evidence_key
 from ..session import cut_lineage
 from .dedupe import top_per_key
+from .salting import salted_join
 
 # --- Fixed values -----------------------------------------------------------
 DOMAIN_ID = "Q7889"
@@ -47,7 +48,8 @@ def decode_lists(rows: DataFrame, key: str, lists: list[str], labels: DataFrame)
     flat = rows.select(key, F.explode(pairs).alias("_l")).select(
         key, F.col("_l.name").alias("name"), F.posexplode("_l.ids").alias("pos", "linked")
     )
-    named = flat.join(labels.select(F.col("id").alias("linked"), "label"), "linked", "left")
+    # A linked id can stand in a large share of all rows.
+    named = salted_join(flat, labels.select(F.col("id").alias("linked"), "label"), ["linked"], "left")
     item = F.struct("pos", F.coalesce("label", "linked").alias("text"))
 
     def gathered(name: str) -> Column:
@@ -143,7 +145,8 @@ def contained_pairs(left: DataFrame, right: DataFrame, longest: float = LONGEST_
             F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("key")
         )
         fits = (F.length("title") <= F.length("short") * longest) & F.col("title").contains(F.col("short"))
-        return keyed.select("short", F.col("key.gram").alias("gram")).join(long, "gram").filter(fits).select("short", F.col("title").alias("long"))
+        keyed = keyed.select("short", F.col("key.gram").alias("gram"))
+        return salted_join(long, keyed, ["gram"]).filter(fits).select("short", F.col("title").alias("long"))
 
     a, b = grams(left), grams(right)
     one = inside(a, b).select(F.col("short").alias("left"), F.col("long").alias("right"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.titles import aggressive_title, conservative_title, lookup_title
@@ -22,6 +23,21 @@ TITLE_CLEANERS = {0: lookup_title, 1: conservative_title, 2: aggressive_title}
 MEDIA_EXTRACTORS = {7: page_media}
 
 
+def title_of_version(title: str, version: Column) -> Column:
+    """The title as the cleaner of the row's version gives it; null for a version that is not known."""
+    out = F.lit(None).cast("string")
+    for number, clean in TITLE_CLEANERS.items():
+        out = F.when(version == number, clean(title)).otherwise(out)
+    return out
+
+
+def media_of_version(pages: DataFrame, version: int, *args, **kwargs) -> DataFrame:
+    """Media of pages by the extractor of a version."""
+    if version not in MEDIA_EXTRACTORS:
+        raise ValueError(f"no extractor of version {version}")
+    return MEDIA_EXTRACTORS[version](pages, *args, **kwargs)
+
+
 #: Exceptions after which the same request is worth another try.
 TRANSIENT = (TimeoutError, ConnectionError)
 

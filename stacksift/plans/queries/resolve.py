@@ -24,7 +24,7 @@ from ...functions.titles import (
 from ...operators import quality, resolve, review
 from ...operators.publish import public_evidence
 from ...session import cut_lineage
-from .. import tables
+from .. import hooks, tables
 from .registry import CATALOG, query
 
 FETCHED = datetime(2001, 1, 1)
@@ -47,6 +47,19 @@ _BY_SIZE = "CASE p_size % 5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN
 _TITLED = "p_name || ' & ' || p_type || ' [Crack Fix]'"
 
 
+_CONSERVATIVE = _BY_SIZE.format('p_name', "p_name || ': Deluxe Edition'", 'p_name', _TITLED, "p_name || ', update 1.' || p_size")
+_AGGRESSIVE = _BY_SIZE.format('p_name', 'p_name', 'p_name', "p_name || ' & ' || p_type", 'p_name')
+
+
+@query(f"""
+SELECT p_partkey, p_partkey % 4 AS version,
+  CASE p_partkey % 4 WHEN 0 THEN {_CONSERVATIVE} WHEN 1 THEN {_CONSERVATIVE} WHEN 2 THEN {_AGGRESSIVE} END AS cleaned FROM part""")
+def title_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as the cleaner of each row's version gives them; there is none of version 3."""
+    version = F.pmod("p_partkey", F.lit(4))
+    return listed_titles(spark, sf_dir).select("p_partkey", version.alias("version"), hooks.title_of_version("title", version).alias("cleaned"))
+
+
 @query(f"""
 SELECT p_partkey,
   {_BY_SIZE.format('p_name', "p_name || ': Deluxe Edition'", 'p_name', _TITLED, "p_name || ', update 1.' || p_size")} AS lookup,
