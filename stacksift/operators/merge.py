@@ -120,6 +120,17 @@ def refresh_mode(stored_rows: int, stored_version: int | None, version: int, ful
     return ("full-scan", True) if full_scan else ("incremental", False)
 
 
+def refresh_mode_of(stored_rows: Column, stored_version: Column, version: Column, full_scan: Column) -> tuple[Column, Column]:
+    """``refresh_mode`` for many catalogs at once."""
+    mode = (
+        F.when(stored_rows == 0, "bootstrap")
+        .when(~stored_version.eqNullSafe(version), "schema-rebuild")
+        .when(full_scan, "full-scan")
+        .otherwise("incremental")
+    )
+    return mode, mode != "incremental"
+
+
 def full_scan_stamp(previous: str | None, now: str, full_scan: bool, failed_pages: int) -> str | None:
     """The full-scan stamp moves only when a full scan lost no page."""
     return now if full_scan and failed_pages == 0 else previous

@@ -253,6 +253,25 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("id", "accepted", "outcome", F.col("candidate.id").alias("chosen_id"))
 
 
+@query(f"""
+WITH {CATALOG},
+best AS (SELECT canonical_title, min('Q' || id) AS best FROM verified GROUP BY canonical_title)
+SELECT CAST(p_partkey AS VARCHAR) AS id, canonical_title, strftime(CAST(v.release_date AS DATE) - 30, '%Y-%m-%d') AS release_date,
+       v.genre AS genres, lower(v.developer) AS developer, CAST(NULL AS VARCHAR) AS publisher, CAST(0.99 AS DOUBLE) AS confidence,
+       'https://www.example.org/wiki/' || best AS evidence, 'by title' AS notes, 3 AS version, best AS raw_id
+FROM part JOIN best ON canonical_title = lower(p_type || ' ' || p_name) JOIN verified v USING (canonical_title)
+WHERE 'Q' || v.id = best""")
+def accepted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows copied from the accepted candidate of every listing that has one."""
+    decided = resolve.decide(jobs(spark, sf_dir), evidence(spark, sf_dir))
+    rows = resolve.results_of(decided, "deterministic", "by title", 3, F.lit(FETCHED).cast("timestamp"))
+    return rows.select(
+        "id", "canonical_title", "release_date", F.array_join("genres", "|").alias("genres"), "developer", "publisher",
+        F.round("confidence", 9).alias("confidence"), F.array_join("evidence_urls", "|").alias("evidence"), "notes", "version",
+        F.get_json_object("raw", "$.candidate.id").alias("raw_id"),
+    )
+
+
 @query()
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best score, runner-up and reason of every listing; the sequence ratio has no SQL form."""

@@ -12,7 +12,7 @@ from ...functions.decisions import decision_request, json_object
 from ...functions.text import platform_list, split_tags
 from ...functions.urls import absolute, source_label
 from ...operators import browse, classify, jobs, light, localize, quality, search
-from ...operators.merge import quarantine_order
+from ...operators.merge import quarantine_order, refresh_mode_of
 from ...operators.ordinals import with_ordinals
 from ...session import checkpoint_dir
 from ...sources import catalog as files
@@ -414,3 +414,38 @@ def hook_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda queries: [[{"label": w} for w in dict.fromkeys(q.split(" "))] for q in queries], T.StructType([T.StructField("label", T.StringType())]))
     titles = tables.table(spark, sf_dir, "part").select(F.col("p_name").alias("query"))
     return find(titles).select("query", "candidate.label")
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part WHERE p_partkey % 97 <> 5""")
+def tolerant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of side tables in many files, some of them cut off, some of another shape, and one that is missing."""
+    path = folder(spark, "side-tables")
+    part = F.pmod("p_partkey", F.lit(97))
+    entry = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
+    grouped = tables.table(spark, sf_dir, "part").groupBy(part.alias("part"), F.floor(F.col("p_partkey") / 5000)).agg(F.collect_list(entry).alias("entries"))
+    whole = F.to_json(F.struct("entries"))
+    text = F.when(F.col("part") == 5, F.substring(whole, 1, 30)).otherwise(whole)
+    other = spark.range(1).select(F.lit('{"rows": [{"id": "x"}]}').alias("value"))
+    grouped.select(text.alias("value")).unionByName(other).write.option("maxRecordsPerFile", 1).text(path)
+    rows = files.read_tolerant(spark, path, "id string, name string")
+    return rows.unionByName(files.read_tolerant(spark, f"{path}-missing", "id string, name string"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN orders = 0 THEN 'bootstrap' WHEN c_nationkey % 3 <> 2 THEN 'schema-rebuild'
+         WHEN c_custkey % 2 = 0 THEN 'full-scan' ELSE 'incremental' END AS mode,
+       orders = 0 OR c_nationkey % 3 <> 2 OR c_custkey % 2 = 0 AS everything,
+       CASE WHEN (orders = 0 OR c_nationkey % 3 <> 2 OR c_custkey % 2 = 0) AND late = 0 THEN 'now' ELSE 'before' END AS stamp
+FROM (SELECT c_custkey, c_nationkey, count(o_orderkey) AS orders, count_if(o_orderstatus = 'P') AS late
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)""")
+def refresh_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mode of a refresh per customer, read as a site: its orders are stored rows, open ones pages that failed."""
+    orders = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "P").alias("late"))
+    sites = tables.table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select(
+        "c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("late", F.lit(0)).alias("late"),
+        F.pmod("c_nationkey", F.lit(3)).alias("version"), (F.pmod("c_custkey", F.lit(2)) == 0).alias("full"))
+    mode, everything = refresh_mode_of(F.col("orders"), F.col("version"), F.lit(2), F.col("full"))
+    stamp = F.when(everything & (F.col("late") == 0), "now").otherwise("before")
+    return sites.select("c_custkey", mode.alias("mode"), everything.alias("everything"), stamp.alias("stamp"))
