@@ -16,7 +16,7 @@ from ...operators.merge import quarantine_order, refresh_mode_of
 from ...operators.ordinals import with_ordinals
 from ...session import checkpoint_dir
 from ...sources import catalog as files
-from ...sources import deltas, snapshots
+from ...sources import deltas, images, snapshots
 from .. import hooks, tables
 from .browse import NOW, prepared
 from .registry import CATALOG, PREPARED, query
@@ -449,3 +449,24 @@ def refresh_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode, everything = refresh_mode_of(F.col("orders"), F.col("version"), F.lit(2), F.col("full"))
     stamp = F.when(everything & (F.col("late") == 0), "now").otherwise("before")
     return sites.select("c_custkey", mode.alias("mode"), everything.alias("everything"), stamp.alias("stamp"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_size * 7 ELSE 0 END AS width, CASE WHEN p_partkey % 4 < 2 THEN p_size + 300 ELSE 0 END AS height,
+       CASE WHEN p_partkey % 4 = 3 THEN 8 ELSE 10 + 100 * p_size END AS bytes
+FROM part""")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions of an image file per part, by its first bytes: two kinds of animations, another kind, and files cut off."""
+
+    def two(value):
+        return F.concat(*[F.unhex(F.lpad(F.hex(F.pmod(F.floor(value / step), F.lit(256)).cast("int")), 2, "0")) for step in (1, 256)])
+
+    kind = F.pmod("p_partkey", F.lit(4))
+    mark = F.when(kind == 1, F.unhex(F.lit(images.SIGNATURES[0]))).when(kind == 2, F.unhex(F.lit("89504E470D0A"))).otherwise(F.unhex(F.lit(images.SIGNATURES[1])))
+    whole = F.concat(mark, two(F.col("p_size") * 7), two(F.col("p_size") + 300), F.unhex(F.expr("repeat('00', 100 * p_size)")))
+    content = F.when(kind == 3, F.substring(whole, 1, 8)).otherwise(whole)
+    path = folder(spark, "images")
+    part = tables.table(spark, sf_dir, "part")
+    images.write_files(part.select(F.concat(F.pmod("p_partkey", F.lit(16)), F.lit("/"), "p_partkey", F.lit(".gif")).alias("name"), content.alias("content")), path)
+    found = images.read_headers(spark, f"{path}/*")
+    return found.select(F.regexp_extract("path", r"(\d+)\.gif$", 1).cast("long").alias("p_partkey"), "width", "height", "bytes")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- Fixed values -----------------------------------------------------------
 SIGNATURES = ["474946383761", "474946383961"]  # GIF87a, GIF89a
+HEAD = 32
 # -----------------------------------------------------------------------------
 
 
@@ -25,9 +28,55 @@ def header(content: Column) -> Column:
     )
 
 
+def file_system(uri: str):
+    """The file system of a path as Spark writes it, and the path inside of it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+
+
+def file_heads(spark: SparkSession, path: str, size: int = HEAD) -> DataFrame:
+    """``path, bytes, head``: the first ``size`` bytes of files, by one ranged read each.
+
+    Spark lists the files and their lengths and reads no content; tasks open the files.
+    A file that goes meanwhile, or can't be opened, has a null head; Spark leaves out empty files.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            heads = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    system, inside = file_system(name)
+                    with system.open_input_file(inside) as file:
+                        heads.append(file.read(size))
+                except OSError:
+                    heads.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["path", "bytes", "head"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    return files.mapInArrow(run, "path string, bytes long, head binary")
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """Dimensions and size of image files: ``path, width, height, bytes``."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", header(F.col("content")).alias("h"), F.col("length").alias("bytes")).select(
-        "path", "h.width", "h.height", "bytes"
-    )
+    heads = file_heads(spark, path)
+    found = header(F.coalesce("head", F.lit(b"")))
+    return heads.select("path", found.alias("h"), "bytes").select("path", "h.width", "h.height", "bytes")
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Binary files out of ``name, content``, below ``path``."""
+
+    def run(batches):
+        system, inside = file_system(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{inside}/{name}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{inside}/{name}") as file:
+                    file.write(content)
+            yield batch
+
+    rows.select("name", "content").mapInArrow(run, "name string, content binary").write.format("noop").mode("overwrite").save()
