@@ -331,4 +331,4 @@ def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.count(), lambda: NOW)
     states = read_current(spark, f"{root}/jobs", JOBS).select("id", "status", "attempts", "last_error")
     results = read_current(spark, f"{root}/results", RESULTS).select("id", "canonical_title")
-    return states.join(results, "id", "left").withColumn("batches", F.lit(len(log)).cast("long"))
+    return states.join(results, "id", "left").withColumn("batches", F.lit(len(log)))

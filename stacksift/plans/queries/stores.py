@@ -452,8 +452,9 @@ def refresh_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_size * 7 ELSE 0 END AS width, CASE WHEN p_partkey % 4 < 2 THEN p_size + 300 ELSE 0 END AS height,
-       CASE WHEN p_partkey % 4 = 3 THEN 8 ELSE 10 + 100 * p_size END AS bytes
+SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 < 2 THEN p_size * 7 ELSE 0 END AS INTEGER) AS width,
+       CAST(CASE WHEN p_partkey % 4 < 2 THEN p_size + 300 ELSE 0 END AS INTEGER) AS height,
+       CAST(CASE WHEN p_partkey % 4 = 3 THEN 8 ELSE 10 + 100 * p_size END AS BIGINT) AS bytes
 FROM part""")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions of an image file per part, by its first bytes: two kinds of animations, another kind, and files cut off."""
