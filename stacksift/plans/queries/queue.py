@@ -293,15 +293,15 @@ _ANSWER = """CASE WHEN p_size % 25 = 7 THEN 'deferred' WHEN p_size % 25 = 11 THE
 WITH asked AS (SELECT *, {_ANSWER} AS answer, p_name || ' no ' || p_partkey AS title FROM part)
 SELECT CAST(p_partkey AS VARCHAR) AS id,
        CASE answer WHEN 'done' THEN 'done' WHEN 'failed' THEN 'failed' WHEN 'deferred' THEN 'pending' ELSE 'review' END AS status,
-       CASE WHEN answer = 'deferred' AND (SELECT count(*) FROM asked WHERE answer = 'deferred') > 0 THEN 4 ELSE 1 END AS attempts,
+       CASE WHEN answer = 'deferred' AND (SELECT count(*) FROM asked WHERE answer = 'deferred') > 0 THEN 2 ELSE 1 END AS attempts,
        CASE answer WHEN 'failed' THEN 'KeyError: gone' WHEN 'deferred' THEN 'TimeoutError: slow'
          WHEN 'none' THEN 'no metadata evidence found'
          WHEN 'undated' THEN 'ambiguous metadata match: best=0.920, second=0.000, game_like=1, complete=0' END AS last_error,
        CASE WHEN answer = 'done' THEN title END AS canonical_title,
-       (SELECT CASE WHEN count_if(answer = 'deferred') > 0 THEN 4 ELSE 1 END FROM asked) AS batches
+       (SELECT CASE WHEN count_if(answer = 'deferred') > 0 THEN 2 ELSE 1 END FROM asked) AS batches
 FROM asked""")
 def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts queued and drained: one batch with work, then three that only meet what fails for a while.
+    """All parts queued and drained: one batch with work, then one that only meets what fails for a while and is the last allowed.
 
     A job has its status, what was tried, the error or reason, and the title of its result.
     """
@@ -328,7 +328,7 @@ def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolve_queue.sync(spark, catalog, root, NOW)
     log = resolve_queue.drain(
         spark, root, lambda q: q.join(said, F.lower("query") == F.col("key")).select("query", "candidate", "error", "transient"),
-        parts.count(), lambda: NOW)
+        parts.count(), lambda: NOW, max_stagnant=1)
     states = read_current(spark, f"{root}/jobs", JOBS).select("id", "status", "attempts", "last_error")
     results = read_current(spark, f"{root}/results", RESULTS).select("id", "canonical_title")
     return states.join(results, "id", "left").withColumn("batches", F.lit(len(log)))
