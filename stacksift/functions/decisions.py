@@ -16,6 +16,7 @@ FORBIDDEN_KEYS = [
 NULL_WORDS = ["null", "none", "unknown", "n/a"]
 REQUEST_CAPS = {"release_dates": 6, "genres": 12, "developers": 8, "publishers": 8, "platforms": 16}
 REASON_CHARS = 600
+ID_KEYS = ["candidate_id", "candidate", "id"]
 ENTITY_ID = r"(?i)\b(Q\d+)\b"
 STATED_CONFIDENCE = r"(?i)\bconfidence(?:_score)?\s*[:=]?\s*(\d+(?:[.,]\d+)?\s*%?)"
 DECLINED = r"(?i)\b(?:candidate(?:_id)?\s*[:=]?\s*)?(?:null|none|unknown|n/a)\b"
@@ -29,19 +30,33 @@ def candidate_payload(candidate: Column) -> Column:
     return F.struct(*fields, candidate["url"].alias("url"))
 
 
-def decision_request(title: Column, tags: Column, candidates: Column) -> Column:
-    """Compact JSON request: one entry, its candidates, the answer format."""
-    return F.to_json(
+def source_entry(title: Column, tags: Column) -> Column:
+    """JSON of the entry that a decision is about."""
+    return F.to_json(F.struct(title.alias("title"), F.slice(tags, 1, 12).alias("genres")))
+
+
+def candidate_list(candidates: Column) -> Column:
+    """JSON of what a decision maker sees of the candidates."""
+    return F.to_json(F.transform(candidates, candidate_payload))
+
+
+def request_text(source: Column, candidates: Column) -> Column:
+    """Compact JSON request out of the JSON of its entry and of its candidates, with the answer format."""
+    form = F.to_json(
         F.struct(
-            F.struct(title.alias("title"), F.slice(tags, 1, 12).alias("genres")).alias("source_entry"),
-            F.transform(candidates, candidate_payload).alias("candidates"),
-            F.struct(
-                F.lit("string|null; must be one supplied candidate id").alias("candidate_id"),
-                F.lit("number 0..1").alias("confidence"),
-                F.lit("short string").alias("reason"),
-            ).alias("required_schema"),
+            F.lit("string|null; must be one supplied candidate id").alias("candidate_id"),
+            F.lit("number 0..1").alias("confidence"),
+            F.lit("short string").alias("reason"),
         )
     )
+    return F.concat(
+        F.lit('{"source_entry":'), source, F.lit(',"candidates":'), candidates, F.lit(',"required_schema":'), form, F.lit("}")
+    )
+
+
+def decision_request(title: Column, tags: Column, candidates: Column) -> Column:
+    """Compact JSON request: one entry, its candidates, the answer format."""
+    return request_text(source_entry(title, tags), candidate_list(candidates))
 
 
 def unfenced(text: Column | str) -> Column:
@@ -76,6 +91,19 @@ def _mentioned(text: Column, allowed: Column) -> Column:
     return F.filter(allowed, lambda a: F.array_contains(named, F.upper(a)))
 
 
+def stated_ids(text: Column | str) -> Column:
+    """Upper-case ids that a response may name, distinct; ``parse_decision`` finds an allowed id by no other."""
+
+    def ids(seen: Column) -> Column:
+        raw = seen["raw"]
+        wanted = strip_text(F.coalesce(*[F.element_at(raw, F.lit(name)) for name in ID_KEYS]))
+        source = F.when(raw.isNotNull(), wanted).otherwise(seen["compact"])
+        named = F.transform(F.regexp_extract_all(source, F.lit(ENTITY_ID), F.lit(1)), F.upper)
+        return F.array_distinct(F.concat(named, F.array(F.upper(wanted))))
+
+    return let(F.struct(json_object(text).alias("raw"), collapse(unfenced(text)).alias("compact")), ids)
+
+
 def parse_decision(text: Column | str, allowed: Column) -> Column:
     """``struct<candidate_id, confidence, reason, error>`` of a response.
 
@@ -96,7 +124,7 @@ def _read_answer(seen: Column) -> Column:
         return F.coalesce(*[F.element_at(raw, F.lit(name)) for name in names])
 
     structured = raw.isNotNull()
-    wanted = strip_text(field("candidate_id", "candidate", "id"))
+    wanted = strip_text(field(*ID_KEYS))
     stated = F.regexp_extract(compact, STATED_CONFIDENCE, 1)
     said = F.when(structured, field("confidence", "confidence_score")).otherwise(F.nullif(stated, F.lit("")))
     return F.struct(

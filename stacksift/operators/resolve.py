@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -341,10 +341,10 @@ def evidence_cache(found: DataFrame, titles: DataFrame, fetched_at: Column) -> D
     )
 
 
-def cache_lookup(jobs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Jobs with their cached evidence; ``evidence`` is null on a miss."""
+def cache_lookup(jobs: DataFrame, cache: DataFrame, columns: Sequence[str] = ("evidence",)) -> DataFrame:
+    """Jobs with ``columns`` of their cache rows, by default their evidence; these are null on a miss."""
     keyed = jobs.withColumn("search_title", evidence_key("title"))
-    return keyed.join(cache.select("search_title", "evidence"), "search_title", "left")
+    return keyed.join(cache.select("search_title", *columns), "search_title", "left")
 
 
 def results_of(decisions: DataFrame, method: str, notes: str, version: int, checked_at: Column) -> DataFrame:

@@ -434,11 +434,13 @@ def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A review round whose decisions take the first candidate, surely for large parts only; jobs without any are ineligible."""
     waiting = review.work(review_jobs(spark, sf_dir), review_state(spark, sf_dir))
     catalog = tables.catalog(spark, sf_dir)
-    eligible = review.eligibility(waiting, catalog, evidence(spark, sf_dir))
+    cache = evidence(spark, sf_dir)
+    eligible = review.eligibility(waiting, catalog, cache)
     sure = tables.table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") >= 25).alias("sure"))
-    asked = review.requests(eligible).join(sure, "id")
-    first = F.get_json_object("request", "$.candidates[0].id")
-    answer = F.concat(F.lit('{"candidate_id":"'), first, F.lit('","confidence":'), F.when(F.col("sure"), "0.95").otherwise("0.9"), F.lit("}"))
-    decided = review.outcomes(eligible, asked.select("id", answer.alias("response")))
+    heads, bodies = review.requests(eligible, cache)
+    first = bodies.select("search_title", F.get_json_object("candidates", "$[0].id").alias("first"))
+    asked = heads.join(first, "search_title").join(sure, "id")
+    answer = F.concat(F.lit('{"candidate_id":"'), "first", F.lit('","confidence":'), F.when(F.col("sure"), "0.95").otherwise("0.9"), F.lit("}"))
+    decided = review.outcomes(eligible, asked.select("id", answer.alias("response")), cache)
     return decided.select("id", "status", "attempts")

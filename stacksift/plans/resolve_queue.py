@@ -128,9 +128,10 @@ def review_round(
     eligible = asked.unionByName(judged.filter(F.col("ineligible").isNotNull()))
     stamp = F.lit(now).cast("timestamp")
     # Answers may be costly and need not be repeatable: they are stored before they are used.
-    publish(answer(review.requests(eligible)).select("id", "response"), f"{root}/responses", now)
+    whole = review.whole_requests(*review.requests(eligible, cache))
+    publish(answer(whole).select("id", "response"), f"{root}/responses", now)
     responses = read_current(spark, f"{root}/responses", "id string, response string")
-    rows = review.outcomes(eligible, responses, threshold)
+    rows = review.outcomes(eligible, responses, cache, threshold)
     publish(rows.withColumn("attempted_at", stamp), f"{root}/round", now)
     rows = spark.read.parquet(_current_folder(spark, f"{root}/round"))
 
