@@ -7,10 +7,8 @@ else is Spark expressions over that list. A node covers the positions ``pos`` to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +47,8 @@ LINK_TIER, LINK_ATTR_TIER, DATA_TIER, ANY_ATTR_TIER = 100000.0, 94000.0, 92000.0
 PICTURE_TIER, PICTURE_ATTR_TIER, SRCSET_TIER = 80000.0, 79000.0, 76000.0
 PROMOTED_TIER, STRIPPED_TIER, STRIPPED_RAW_TIER, RAW_TIER = 70000.0, 69000.0, 68000.0, 60000.0
 MEDIA_CAP, PROBES = 8, 6
+#: Bytes of html whose nodes are held in Python at once; one larger page is a batch of its own.
+PARSED_BYTES = 1 << 18
 # -----------------------------------------------------------------------------
 
 NODE = T.StructType(
@@ -159,11 +159,40 @@ def _nodes(html: str | None) -> list[dict]:
     return parser.finish()
 
 
-@F.pandas_udf(T.ArrayType(NODE))
-def html_nodes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Nodes of a page in document order."""
+def _arrow_nodes(html: str | None) -> list[dict]:
+    return [{**row, "attrs": list(row["attrs"].items())} for row in _nodes(html)]
+
+
+def _parsed_batches(batches, html: str, kept: list[str], name: str):
+    """Arrow batches of pages as batches of ``kept`` columns and nodes, ``PARSED_BYTES`` of html each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(T.ArrayType(NODE))
     for batch in batches:
-        yield batch.map(_nodes)
+        texts, *rest = (batch.column(batch.schema.get_field_index(c)) for c in (html, *kept))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        start = held = 0
+        for end, size in enumerate(sizes, 1):
+            held += size
+            if held >= PARSED_BYTES or end == len(sizes):
+                part = slice(start, end)
+                parsed = pa.array([_arrow_nodes(t) for t in texts[part].to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*(c[part] for c in rest), parsed], names=[*kept, name])
+                start, held = end, 0
+
+
+def with_nodes(pages: DataFrame, html: str = "html", name: str = "nodes") -> DataFrame:
+    """``pages`` with a page's nodes in document order in place of its ``html``.
+
+    A node list is many times larger than its page, so lists leave Python in small batches;
+    an Arrow batch of pages is never held as nodes at once.
+    """
+    kept = [f for f in pages.schema.fields if f.name != html]
+    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(NODE))])
+    names = [f.name for f in kept]
+    return pages.mapInArrow(lambda batches: _parsed_batches(batches, html, names, name), schema)
 
 
 # --- node expressions -------------------------------------------------------------
@@ -213,7 +242,7 @@ def next_element(nodes: Column, node: Column) -> Column:
 
 def listing_records(pages: DataFrame, page: str = "page", html: str = "html") -> DataFrame:
     """Records of listing pages with the page number and their position on it."""
-    parsed = pages.select(page, html_nodes(html).alias("nodes"))
+    parsed = with_nodes(pages.select(page, html), html)
     articles = parsed.select(page, "nodes", F.posexplode(elements(F.col("nodes"), "article")).alias("position", "a"))
     # From here ``nodes`` are those of one article, the article itself first.
     own = F.concat(F.array("a"), inside(F.col("nodes"), F.col("a")))
@@ -272,8 +301,7 @@ def _listed_tags(content: Column) -> Column:
 
 def page_count(pages: DataFrame, html: str = "html") -> DataFrame:
     """Highest page number of the pager, 1 without one; one row per page."""
-    nodes = html_nodes(html)
-    parsed = pages.withColumn("nodes", nodes)
+    parsed = with_nodes(pages.withColumn("_html", F.col(html)), "_html")
     links = F.filter(elements(F.col("nodes"), "a"), lambda n: has_class(n, PAGER_CLASS))
     numbers = F.transform(links, lambda n: F.nullif(F.regexp_extract(texts(inside(F.col("nodes"), n)), r"^(\d+)$", 1), F.lit("")).cast("int"))
     return parsed.withColumn("pages", F.coalesce(F.array_max(numbers), F.lit(1))).drop("nodes")
@@ -305,7 +333,7 @@ def _following_text(content: Column, node: Column) -> Column:
 
 def detail_text(pages: DataFrame, key: str = "id", html: str = "html") -> DataFrame:
     """Description and feature lists of detail pages: ``key, details``."""
-    parsed = pages.select(key, html_nodes(html).alias("nodes"))
+    parsed = with_nodes(pages.select(key, html), html)
     parsed = parsed.select(key, inside(F.col("nodes"), _body(F.col("nodes"))).alias("content"))
     content = F.col("content")
     spoiler = first(
@@ -341,7 +369,7 @@ def detail_text(pages: DataFrame, key: str = "id", html: str = "html") -> DataFr
 
 def page_images(pages: DataFrame, key: str = "id", html: str = "html", base: str = "source_url", cover: str = "cover_url") -> DataFrame:
     """Images of a post body, one row each, with link, rendered source and picture sources."""
-    parsed = pages.select(key, F.col(base).alias("base"), identity(cover).alias("cover"), html_nodes(html).alias("nodes"))
+    parsed = with_nodes(pages.select(key, F.col(base).alias("base"), identity(cover).alias("cover"), F.col(html).alias("_html")), "_html")
     parsed = parsed.select(key, "base", "cover", inside(F.col("nodes"), _body(F.col("nodes"))).alias("nodes"))
     nodes = F.col("nodes")
 
@@ -489,7 +517,7 @@ def page_media(pages: DataFrame, probes: DataFrame | None = None, key: str = "id
 
 def page_links(pages: DataFrame, key: str, base: str, html: str = "html") -> DataFrame:
     """Links of every page in document order: ``key, pos, href, url``."""
-    nodes = pages.select(key, F.col(base).alias("base"), html_nodes(html).alias("nodes"))
+    nodes = with_nodes(pages.select(key, F.col(base).alias("base"), F.col(html).alias("_html")), "_html")
     links = F.transform(elements(F.col("nodes"), "a"), lambda n: n["attrs"]["href"])
     flat = nodes.select(key, "base", F.posexplode(F.filter(links, lambda h: h.isNotNull())).alias("pos", "href"))
     return flat.select(key, "pos", "href", absolute(F.col("base"), F.col("href")).alias("url"))
@@ -497,7 +525,7 @@ def page_links(pages: DataFrame, key: str, base: str, html: str = "html") -> Dat
 
 def page_titles(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Heading and body text of every page's first article."""
-    nodes = pages.select(key, html_nodes(html).alias("nodes"))
+    nodes = with_nodes(pages.select(key, html), html)
     article = nodes.select(key, inside(F.col("nodes"), first(elements(F.col("nodes"), "article"))).alias("nodes"))
     heading = first(elements(F.col("nodes"), "h1"))
     return article.select(
