@@ -182,10 +182,18 @@ def validate_result(text: Column | str, allowed_urls: Column) -> Column:
     ``error`` is set for forbidden keys and for an unusable confidence; other fields
     that do not hold are blanked.
     """
-    value = unfenced(text)
-    body = F.coalesce(F.nullif(F.regexp_extract(value, r"(?s)(\{.*\})", 1), F.lit("")), value)
-    parsed = F.from_json(body, RESULT_JSON)
-    keys = F.transform(F.json_object_keys(F.when(F.try_parse_json(body).isNotNull(), body)), F.lower)
+    def read(body: Column) -> Column:
+        keys = F.transform(F.json_object_keys(F.when(F.try_parse_json(body).isNotNull(), body)), F.lower)
+        return F.struct(F.from_json(body, RESULT_JSON).alias("parsed"), keys.alias("keys"))
+
+    def body_of(value: Column) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(value, r"(?s)(\{.*\})", 1), F.lit("")), value)
+
+    # Every step is evaluated once a row; written out, the response would be parsed for each field.
+    return let(let(let(unfenced(text), body_of), read), lambda r: _checked_result(r["parsed"], r["keys"], allowed_urls))
+
+
+def _checked_result(parsed: Column, keys: Column, allowed_urls: Column) -> Column:
     confidence = parsed["confidence"].try_cast("double")
     release = strip_text(parsed["release_date"])
     urls = capped_list(parsed["evidence_urls"], 160, 10)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fold import _col, let, match_fold
-from .text import clean_scalar, clean_tags, collapse, first_filled, strip_text, unescape_entities
+from .text import clean_scalar, clean_tags, collapse, strip_text, unescape_entities
 
 # --- Fixed values -----------------------------------------------------------
 PACKAGE_WORDS = r"edition|bundle|collection|pack|content|soundtrack|ost|game\s+of\s+the\s+year|goty"
@@ -48,7 +48,7 @@ def _cut(value: Column, pattern: str) -> Column:
 
 def _tidy(value: Column, edge: str, fallback: Column) -> Column:
     tidy = F.btrim(F.regexp_replace(value, r"(?U)\s{2,}", " "), F.lit(edge))
-    return first_filled(tidy, strip_text(fallback))
+    return let(tidy, lambda t: F.when(t != "", t).otherwise(strip_text(fallback)))
 
 
 def _start(title: Column) -> Column:
@@ -131,23 +131,32 @@ def longest_first(terms: Column) -> Column:
 
 def title_variants(title: Column | str) -> Column:
     """Names by which a running text may refer to a title."""
-    text = collapse(title)
-    first = F.btrim(F.get(F.split(text, _FLAGS + VARIANT_BREAK, 2), F.lit(0)))
-    base = F.when(first == "", text).otherwise(first)
-    left = F.when(base.contains(":"), collapse(F.substring_index(base, ":", 1)))
-    words = F.filter(
-        F.regexp_extract_all(base, F.lit(r"([A-Za-z0-9][A-Za-z0-9'’.-]*)"), F.lit(1)),
-        lambda w: ~F.lower(w).isin(TITLE_STOP_WORDS),
-    )
-    following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    pairs = F.zip_with(
-        words,
-        following,
-        lambda a, b: F.when((F.length(a) >= 3) & (F.length(b) >= 3), F.concat(a, F.lit(" "), b)),
-    )
-    long_words = F.filter(words, lambda w: (F.length(w) >= 8) & w.rlike(r"^[A-Za-z][A-Za-z'’-]*$"))
-    found = F.concat(F.array(base, F.when(F.length(left) >= 4, left)), pairs, long_words)
-    return longest_first(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))))
+    def base_of(text: Column) -> Column:
+        first = F.btrim(F.get(F.split(text, _FLAGS + VARIANT_BREAK, 2), F.lit(0)))
+        return let(first, lambda name: F.when(name == "", text).otherwise(name))
+
+    def parts(base: Column) -> Column:
+        left = F.when(base.contains(":"), collapse(F.substring_index(base, ":", 1)))
+        words = F.filter(
+            F.regexp_extract_all(base, F.lit(r"([A-Za-z0-9][A-Za-z0-9'’.-]*)"), F.lit(1)),
+            lambda w: ~F.lower(w).isin(TITLE_STOP_WORDS),
+        )
+        return F.struct(base.alias("base"), left.alias("left"), words.alias("words"))
+
+    def names(p: Column) -> Column:
+        words = p["words"]
+        following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+        pairs = F.zip_with(
+            words,
+            following,
+            lambda a, b: F.when((F.length(a) >= 3) & (F.length(b) >= 3), F.concat(a, F.lit(" "), b)),
+        )
+        long_words = F.filter(words, lambda w: (F.length(w) >= 8) & w.rlike(r"^[A-Za-z][A-Za-z'’-]*$"))
+        found = F.concat(F.array(p["base"], F.when(F.length(p["left"]) >= 4, p["left"])), pairs, long_words)
+        return longest_first(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))))
+
+    # Every step is evaluated once a row; written out, the base would be split anew for each use.
+    return let(let(let(collapse(title), base_of), parts), names)
 
 
 def protected_terms(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ...functions.claims import CLAIM_MAP, VALUE_MAP
 from ...functions.decisions import parse_decision, validate_result
-from ...functions.fold import match_fold
+from ...functions.fold import let, match_fold
 from ...functions.text import json_list, merged_ids
 from ...functions.titles import (
     aggressive_title,
@@ -40,7 +40,7 @@ def listed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("p_size") % 5 == 3, F.concat("p_name", F.lit(" &amp; "), "p_type", F.lit(" [Crack Fix]")))
         .otherwise(F.concat("p_name", F.lit(", update 1."), size))
     )
-    return tables.table(spark, sf_dir, "part").select("p_partkey", "p_name", dressed.alias("title"))
+    return tables.parts(spark, sf_dir).select("p_partkey", "p_name", dressed.alias("title"))
 
 
 _BY_SIZE = "CASE p_size % 5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} ELSE {4} END"
@@ -106,8 +106,8 @@ SELECT p_partkey, p_name || ': ' || p_type AS longest, 2 + CASE WHEN length(p_ty
 def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest name of a title and how many names it has."""
     title = F.concat("p_name", F.lit(": "), "p_type", F.lit(" – v1.0"))
-    names = tables.table(spark, sf_dir, "part").select("p_partkey", title_variants(title).alias("v"))
-    return names.select("p_partkey", F.get("v", F.lit(0)).alias("longest"), F.size("v").alias("variants"))
+    found = let(title_variants(title), lambda v: F.struct(F.get(v, F.lit(0)).alias("longest"), F.size(v).alias("variants")))
+    return tables.parts(spark, sf_dir).select("p_partkey", F.inline(F.array(found)))
 
 
 # --- candidates ---------------------------------------------------------------------
@@ -344,13 +344,15 @@ def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","https://y.example/"]'), extra, F.lit("}"),
     )
     url = F.array(F.concat(F.lit("https://x.example/"), k))
-    rows = tables.table(spark, sf_dir, "events").select("event_id", validate_result(text, url).alias("r"))
-    r = F.col("r")
-    return rows.select(
-        "event_id", r["canonical_title"].alias("title"), r["release_date"].alias("release_date"),
-        F.array_join(r["genres"], "|").alias("genres"), F.array_join(r["evidence_urls"], "|").alias("urls"),
-        F.round(r["confidence"], 6).alias("confidence"), r["error"].alias("error"), acceptance(r, 0.5).alias("status"),
-    )
+    def fields(r):
+        return F.struct(
+            r["canonical_title"].alias("title"), r["release_date"].alias("release_date"),
+            F.array_join(r["genres"], "|").alias("genres"), F.array_join(r["evidence_urls"], "|").alias("urls"),
+            F.round(r["confidence"], 6).alias("confidence"), r["error"].alias("error"), acceptance(r, 0.5).alias("status"),
+        )
+
+    events = tables.spread(tables.table(spark, sf_dir, "events"))
+    return events.select("event_id", F.inline(F.array(let(validate_result(text, url), fields))))
 
 
 @query("""

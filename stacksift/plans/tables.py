@@ -139,3 +139,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts for queries that work long on each title."""
+    return spread(table(spark, sf_dir, "part"))
