@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,8 @@ WORD_EQUAL, WORD_PREFIX, WORD_CONTAINS, WORD_FUZZY, EDIT_PENALTY = 90, 75, 58, 4
 FUZZY_MIN_LENGTH, FUZZY_LENGTH_GAP, SHORT_WORD = 4, 2, 5
 MATCH_EXACT, MATCH_SEQUENCE, MATCH_WORDS, MATCH_CONTAINS = 0.76, 0.50, 0.20, 0.08
 MATCH_DOMAIN, MATCH_DATE, MATCH_GENRE, MATCH_COMPANY, MATCH_CAP = 0.12, 0.05, 0.04, 0.03, 0.99
+#: Pairs of texts whose ratio a worker remembers; candidates that share a label come in rows.
+RATIOS = 1 << 14
 # -----------------------------------------------------------------------------
 
 
@@ -66,6 +69,7 @@ def query_score(query: str, title_fold: Column, text_fold: Column, words: Column
     return row_score(query, title_fold, text_fold, F.when(matched, total))
 
 
+@lru_cache(maxsize=RATIOS)
 def _ratio(left: str | None, right: str | None) -> float:
     if not left or not right:
         return 0.0

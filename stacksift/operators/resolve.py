@@ -32,6 +32,8 @@ DECISION_FORMAT = "ambiguous metadata match: best=%.3f, second=%.3f, game_like=%
 LONGEST_CONTAINING = 1.4
 #: Rows of one word that one task joins; words with more are split.
 HOT_WORD = 20_000
+#: Titles whose keys are sent to every task.
+FEW_TITLES = 100_000
 
 
 # --- candidates ------------------------------------------------------------------
@@ -327,12 +329,19 @@ def evidence_cache(found: DataFrame, titles: DataFrame, fetched_at: Column) -> D
     """
     keys = [evidence_key("title").alias("search_title"), match_fold(aggressive_title("title")).alias("asked")]
     hits = found.filter(F.col("candidate").isNotNull())
-    pairs = hits.select(F.struct(*keys).alias("id"), keys[1].alias("title"), "candidate")
+    # Cleaning and folding a title costs more than a join, and a title stands beside each of its candidates.
+    spelled = cut_lineage(hits.select("title").distinct().select("title", *keys))
+    if spelled.count() <= FEW_TITLES:
+        spelled = F.broadcast(spelled)
+    pairs = hits.join(spelled, "title").select(F.struct("search_title", "asked").alias("id"), F.col("asked").alias("title"), "candidate")
     scored = scored_pairs(pairs.withColumn("pos", F.lit(0)))
+    # A candidate found for several spellings counts once, by its best score. One shuffle serves both groupings;
+    # making a sorted list distinct instead would compare all of its candidates with each other.
+    by_title = scored.select(F.col("id.search_title").alias("search_title"), "candidate", "score").repartition("search_title")
+    best = by_title.groupBy("search_title", "candidate").agg(F.max("score").alias("score"))
     order = F.struct((-F.col("score")).alias("least"), F.col("candidate.id").alias("key"), F.col("candidate.url").alias("url"), "candidate")
-    lists = scored.groupBy(F.col("id.search_title").alias("search_title")).agg(F.array_sort(F.collect_set(order)).alias("ranked"))
-    evidence = F.array_distinct(F.transform("ranked", lambda x: x["candidate"]))
-    lists = lists.select("search_title", evidence.alias("evidence"))
+    lists = best.groupBy("search_title").agg(F.array_sort(F.collect_list(order)).alias("ranked"))
+    lists = lists.select("search_title", F.transform("ranked", lambda x: x["candidate"]).alias("evidence"))
     asked = titles.select(evidence_key("title").alias("search_title")).distinct()
     kind = lists.schema["evidence"].dataType
     both = asked.join(lists, "search_title", "left")
