@@ -49,3 +49,15 @@ def test_ratio_of_a_pair_is_computed_once():
     for _ in range(3):
         scoring._ratio("star forge", "star forges")
     assert scoring._ratio.cache_info().misses == 1
+
+
+def test_another_order_is_no_partition_by_language(spark):
+    assert "RepartitionByExpression [lang" not in _plan(QUERIES["snapshot_equal"](spark, SF))
+
+
+def test_files_below_one_folder(spark, tmp_path):
+    from stacksift.sources import images
+
+    rows = spark.range(50, numPartitions=1).selectExpr("concat('a/', id, '.gif') AS name", "X'00' AS content")
+    images.write_files(rows, str(tmp_path))
+    assert len(list((tmp_path / "a").iterdir())) == 50
