@@ -467,7 +467,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(mark, two(F.col("p_size") * 7), two(F.col("p_size") + 300), F.unhex(F.expr("repeat('00', 100 * p_size)")))
     content = F.when(kind == 3, F.substring(whole, 1, 8)).otherwise(whole)
     path = folder(spark, "images")
-    part = tables.table(spark, sf_dir, "part")
+    part = tables.parts(spark, sf_dir)
     images.write_files(part.select(F.concat(F.pmod("p_partkey", F.lit(16)), F.lit("/"), "p_partkey", F.lit(".gif")).alias("name"), content.alias("content")), path)
     found = images.read_headers(spark, f"{path}/*")
     return found.select(F.regexp_extract("path", r"(\d+)\.gif$", 1).cast("long").alias("p_partkey"), "width", "height", "bytes")

@@ -72,9 +72,13 @@ def write_files(rows: DataFrame, path: str) -> None:
 
     def run(batches):
         system, inside = file_system(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        made: set[str] = set()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system.create_dir(f"{inside}/{name}".rsplit("/", 1)[0], recursive=True)
+                above = f"{inside}/{name}".rsplit("/", 1)[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
                 with system.open_output_stream(f"{inside}/{name}") as file:
                     file.write(content)
             yield batch
