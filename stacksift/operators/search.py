@@ -25,6 +25,7 @@ from ..functions.fold import (
 )
 from ..functions.scoring import query_score
 from ..functions.text import array_or_empty, clean_tags, display_genre, effective_tags, keys_of, strip_text, text_or_empty, values_of, year_of
+from ..session import cut_lineage
 
 # --- Fixed values -----------------------------------------------------------
 GRAM_SHARE = 0.4
@@ -94,10 +95,24 @@ def postings(df: DataFrame, key: str, words: Column | str) -> DataFrame:
     )
 
 
-def stored_index(index: DataFrame, path: str) -> DataFrame:
-    """Postings written in key order and read back: filters on keys then skip row groups and files."""
-    index.repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").write.parquet(path)
-    return index.sparkSession.read.schema(index.schema).parquet(path)
+def stored_index(rows: DataFrame, key: str, words: str, path: str) -> DataFrame:
+    """Postings ``(kind, key, <row key>)`` of rows, stored in two levels and read back.
+
+    Keys belong to words, not to rows: the index stores the rows of every word, and the keys
+    of every distinct word once. What a query asks of ``kind`` and ``key`` is asked of the
+    second table; its words then give the rows. Every task writes the words of its rows in
+    order, as a segment, so the postings are not shuffled. A row whose words share a key has
+    it once for each of them.
+    """
+    spark = rows.sparkSession
+    held = rows.select(F.explode(words).alias("_word"), F.col(key).alias("_row"))
+    held.sortWithinPartitions("_word").write.parquet(f"{path}/words")
+    held = spark.read.schema(held.schema).parquet(f"{path}/words")
+    found = held.select("_word").distinct().select("_word", F.explode(index_keys(F.array("_word"))).alias("_k"))
+    keys = found.select("_k.kind", "_k.key", "_word")
+    keys.repartitionByRange("kind", "key", "_word").sortWithinPartitions("kind", "key").write.parquet(f"{path}/keys")
+    keys = spark.read.schema(keys.schema).parquet(f"{path}/keys")
+    return keys.join(held, "_word").select("kind", "key", F.col("_row").alias(key if key != "key" else "row"))
 
 
 def posting_blocks(index: DataFrame, ordinal: str = "ordinal", block: int = 65536) -> DataFrame:
@@ -127,8 +142,8 @@ def query_words(query: str) -> list[str]:
 def candidates(index: DataFrame, key: str, query: str) -> DataFrame | None:
     """Row keys that the index offers for a query; null when the query has no usable word.
 
-    Only the postings of the query's own keys are read. One aggregate per row counts, for
-    every query word, its prefix hit and its gram hits.
+    Only the postings of the query's own keys are read. One aggregate per row collects, for
+    every query word, its prefix hit and its gram hits, as bits: a posting may repeat.
     """
     words = query_words(query)
     if not words:
@@ -142,7 +157,13 @@ def candidates(index: DataFrame, key: str, query: str) -> DataFrame | None:
             grams = _word_grams(word)
             gram = (F.col("kind") == "g") & F.col("key").isin(grams)
             wanted = wanted | gram
-            hit = hit | (F.count_if(gram) >= _needed_grams(grams))
+            found = F.lit(0)
+            for at in range(0, len(grams), 63):
+                bit = F.lit(0).cast("long")
+                for i, g in enumerate(grams[at : at + 63]):
+                    bit = F.when(gram & (F.col("key") == g), F.lit(1 << i).cast("long")).otherwise(bit)
+                found = found + F.bit_count(F.bit_or(bit))
+            hit = hit | (found >= _needed_grams(grams))
         conditions.append(hit.alias(f"_w{number}"))
     grouped = index.filter(wanted).groupBy(key).agg(*conditions)
     every = F.lit(True)
@@ -158,7 +179,10 @@ def search_pool(rows: DataFrame, key: str, query: str, index: DataFrame | None =
     the rows are either joined with a few candidates or scanned, never both.
     """
     offered = candidates(index, key, query) if index is not None else None
-    if offered is None or offered.isEmpty():
+    if offered is None:
+        return rows
+    offered = cut_lineage(offered)  # read twice below
+    if offered.isEmpty():
         return rows
     return rows.join(offered, key, "left_semi")
 

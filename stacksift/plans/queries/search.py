@@ -93,9 +93,9 @@ SELECT * FROM scored WHERE score > 0""")
 def search_indexed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the stored index offers for the same text, scored."""
     folder = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
-    document_words(spark, sf_dir).withColumn("title_fold", F.col("text_fold")).write.parquet(f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows")
-    index = search.stored_index(search.postings(rows, "doc_id", "words"), f"{folder}/index")
+    document_words(spark, sf_dir).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows").withColumn("title_fold", F.col("text_fold"))
+    index = search.stored_index(rows, "doc_id", "words", f"{folder}/index")
     return search.search(rows, "doc_id", TEXT_QUERY, index).select("doc_id", "score")
 
 
@@ -116,7 +116,7 @@ def _suggestions(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
     prepared(spark, sf_dir).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    index = search.stored_index(search.postings(rows, "id", "index_words"), f"{folder}/index")
+    index = search.stored_index(rows, "id", "index_words", f"{folder}/index")
     date = browse.or_epoch(browse.when_of("post_date"))
     return search.suggestions(rows, "id", text, date, index).select("id", "title", "score")
 
