@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .ordinals import head
+
 # --- Fixed values -----------------------------------------------------------
 ERROR_CHARS = 1200
 STAGNANT_BATCHES = 3
@@ -86,7 +88,7 @@ def queue_order() -> list[Column]:
 
 
 def oldest_pending(jobs: DataFrame, n: int) -> DataFrame:
-    return jobs.filter(F.col("active") & (F.col("status") == "pending")).orderBy(*queue_order()).limit(n)
+    return head(jobs.filter(F.col("active") & (F.col("status") == "pending")), queue_order(), n)
 
 
 def in_work(rows: DataFrame, now: datetime) -> DataFrame:

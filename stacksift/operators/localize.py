@@ -19,6 +19,7 @@ from ..functions.text import (
 )
 from ..functions.titles import protected_terms
 from .jobs import may_run
+from .ordinals import head
 
 # --- Fixed values -----------------------------------------------------------
 FIELD_VERSION = 1
@@ -118,7 +119,7 @@ def field_work(jobs: DataFrame, n: int, max_attempts: int = 3) -> DataFrame:
     """Next fields to translate: descriptions first, then the oldest."""
     ready = jobs.filter(F.col("active") & may_run(F.col("status"), F.col("attempts"), max_attempts))
     first = F.when(F.col("field_key") == DESCRIPTION, 0).otherwise(1)
-    return ready.orderBy(first, "updated_at", "id", "field_key").limit(n)
+    return head(ready, [first, F.col("updated_at"), F.col("id"), F.col("field_key")], n)
 
 
 # --- term protection ---------------------------------------------------------------

@@ -65,6 +65,13 @@ def with_neighbours(df: DataFrame, order: list[Column], key: str) -> DataFrame:
 HEAD = 10_000
 
 
+def head(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in a total order. A sorted head is one task; a long one is taken by ordinals and stays in its ranges."""
+    if n <= HEAD:
+        return df.orderBy(*order).limit(n)
+    return with_ordinals(df, order, "_ordinal").filter(F.col("_ordinal") < n).drop("_ordinal")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int = 30) -> DataFrame:
     """One page of a sorted result; pages count from 0. Deep pages cost one sort of the whole."""
     if (number + 1) * size <= HEAD:

@@ -12,6 +12,7 @@ from ..functions.hashing import record_fingerprint
 from ..operators import jobs as queue
 from ..operators import publish as export
 from ..operators import resolve, review
+from ..operators.ordinals import head
 from ..schemas import EVIDENCE_CACHE, JOBS, RESULTS, REVIEW_STATE
 from ..session import cut_lineage
 from ..sources import deltas
@@ -124,7 +125,7 @@ def review_round(
     cache = read_current(spark, f"{root}/cache", EVIDENCE_CACHE)
     judged = review.eligibility(review.work(jobs, state), catalog, cache)
     # Only decisions count towards the limit; jobs that can't be decided are all recorded.
-    asked = judged.filter(F.col("ineligible").isNull()).orderBy(*review.work_order()).limit(n)
+    asked = head(judged.filter(F.col("ineligible").isNull()), review.work_order(), n)
     eligible = asked.unionByName(judged.filter(F.col("ineligible").isNotNull()))
     stamp = F.lit(now).cast("timestamp")
     # Answers may be costly and need not be repeatable: they are stored before they are used.

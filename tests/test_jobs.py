@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stacksift.functions.fold import fold_match_literal
-from stacksift.operators import classify, localize, publish, resolve
+from stacksift.operators import classify, jobs as queue, localize, publish, resolve
 from stacksift.operators.classify import Rule
 from stacksift.plans import build, hooks, refresh, resolve_queue, translate_queue
 from stacksift.plans.queries import QUERIES
@@ -268,3 +268,15 @@ def test_failed_translation_is_tried_again(spark):
     assert done["outcome"] == "error" and done["error"] == "ConnectionError: away"
     one = hooks.answer(requests, "masked", "translated", lambda texts: [t.upper() for t in texts]).first()
     assert one["translated"] == LONG.upper() and one["error"] is None
+
+
+def test_a_long_claim_is_not_one_task(spark):
+    """Long heads of the queue stay in several ranges, and hold the same rows as a sort with a limit."""
+    jobs = spark.range(0, 60_000, 1, 8).select(
+        F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(x)), 512) for x in "ab"]).alias("id"),
+        F.lit(True).alias("active"), F.when(F.col("id") % 10 == 0, "done").otherwise("pending").alias("status"),
+        F.timestamp_seconds(F.pmod(F.col("id"), F.lit(997))).alias("queued_at"))
+    got = queue.oldest_pending(jobs, 50_000)
+    assert got.columns == jobs.columns and got.rdd.getNumPartitions() > 1
+    want = jobs.filter("status = 'pending'").orderBy("queued_at", "id").limit(50_000)
+    assert got.count() == 50_000 and got.exceptAll(want).isEmpty()
