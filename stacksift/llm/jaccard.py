@@ -18,7 +18,7 @@ done ``LEADERS`` times with other leaders, for groups that still hold several co
 Then all pairs of a group that are in different components are looked at. A pair is verified
 exactly, by the sets, unless its sizes or its parity sketches rule it out: each shingle flips
 one bit, so differing bits are no more than differing shingles, and no linked pair is lost.
-Sketches grow with their sets; the rows of index groups carry a short one of fixed size.
+Sketches grow with their sets; the rows of the groups that are still open carry a short one of fixed size.
 
 Defined cases: a null or empty text, or white space alone, has no shingles and no links; a
 text with fewer words than a shingle has one, of all its words. Rows without an id link
@@ -230,10 +230,15 @@ def _sizes_fit(one: str, two: str, per_cent: int) -> tuple[Column, Column]:
 def short_fit(one: str, two: str, per_cent: int = PER_CENT) -> Column:
     """Whether two sets, as columns ending in ``s`` (size) and ``k`` (short sketch), can link."""
     sizes, most = _sizes_fit(one, two, per_cent)
+    return sizes & (_short_differing(F.col(f"{one}k"), F.col(f"{two}k")) <= most)
+
+
+def _short_differing(a: Column, b: Column) -> Column:
+    """Differing bits of two sketches of ``SKETCH`` words."""
     differing = F.lit(0)
     for i in range(SKETCH):
-        differing = differing + F.bit_count(F.col(f"{one}k")[i].bitwiseXOR(F.col(f"{two}k")[i]))
-    return sizes & (differing <= most)
+        differing = differing + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return differing
 
 
 def whole_fit(one: str, two: str, per_cent: int = PER_CENT) -> Column:
@@ -247,8 +252,9 @@ def whole_fit(one: str, two: str, per_cent: int = PER_CENT) -> Column:
     x, y = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
     differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     sizes, most = _sizes_fit(one, two, per_cent)
+    short = (F.size(a) == SKETCH) & (F.size(b) == SKETCH)
     # Sketches more than one fold apart belong to sizes that don't fit.
-    return sizes & (F.size(x) == F.size(y)) & (differing <= most)
+    return sizes & F.when(short, _short_differing(a, b) <= most).otherwise((F.size(x) == F.size(y)) & (differing <= most))
 
 
 def indexed(docs: DataFrame, plan: list[Band], shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
@@ -359,10 +365,9 @@ def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent:
         return nodes.select(F.col("node").alias(name), F.col("size").alias(f"{name}s"), F.col(sketch).alias(f"{name}{mark}"))
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and sketches allow: by the short ones first."""
-        near = pairs.join(facts("a", "short", "k"), "a").join(facts("b", "short", "k"), "b")
-        near = near.filter(short_fit("a", "b", per_cent)).select("a", "b")
-        near = near.join(facts("a", "sketch", "w"), "a").join(facts("b", "sketch", "w"), "b")
+        """Pairs (a, b) that sizes and whole sketches allow. A short sketch says nothing about sets of many
+        shingles, which are the ones that meet by chance most; the whole one is the short one for all others."""
+        near = pairs.join(facts("a", "sketch", "w"), "a").join(facts("b", "sketch", "w"), "b")
         return near.filter(whole_fit("a", "b", per_cent)).select("a", "b")
 
     def ordered(one: str, two: str) -> list[Column]:

@@ -164,3 +164,19 @@ def test_links_among_those_that_do_not_link_with_their_leader(spark):
     got = {r.node: r.root for r in jaccard._contracted(groups, nodes, nodes.select("node", "shingles"), 85).collect()}
     low, high = sorted(ids[1:])
     assert got.get(high) == low and got.get(low, low) == low and got.get(ids[0], ids[0]) == ids[0]
+
+
+def test_large_sets_that_meet_by_chance_are_ruled_out_where_they_meet(spark, monkeypatch):
+    """Short sketches say nothing about two different sets of 3,000 shingles; leader pairs are judged by whole ones."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, 3000, dtype=np.uint64) for _ in range(2)] + [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(2)]
+    rows = [(len(s), [int(x) for x in jaccard.short_sketch(jaccard.sketch(s))], [int(x) for x in jaccard.sketch(s)]) for s in sets]
+    pairs = spark.createDataFrame([(*rows[0], *rows[1]), (*rows[2], *rows[3]), (*rows[2], *rows[2])], "asz long, ak array<long>, aw array<long>, bsz long, bk array<long>, bw array<long>")
+    pairs = pairs.withColumnsRenamed({"asz": "as", "bsz": "bs"})
+    assert [tuple(r) for r in pairs.select(jaccard.short_fit("a", "b", 80), jaccard.whole_fit("a", "b", 80)).collect()] == [(True, False), (False, False), (True, True)]
+    asked, plain = [], jaccard.short_fit
+    monkeypatch.setattr(jaccard, "short_fit", lambda one, two, per_cent: asked.append(one + two) or plain(one, two, per_cent))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other text of few words")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and "ab" not in asked
