@@ -41,11 +41,13 @@ SHINGLE = 4
 PER_CENT = 85
 #: Ratio of the sizes of a band.
 BAND = 1.4
-#: Cost of a candidate pair in index rows, and the share of shingles that unrelated sets have in common.
+#: Cost in index rows of two unrelated sets in one group: where the short sketches rule them out, and where they can't.
 PAIR_COST = 0.05
+BLIND_COST = 1.0
+#: The share of shingles that unrelated sets have in common.
 COMMON = 0.01
-#: Numbers of spare segments to choose from.
-SPARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96)
+#: The least numbers of spare segments to choose from; further ones grow by an eighth up to a third of the segments.
+SPARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: Rounds of comparing nodes with one leader of their groups.
 LEADERS = 2
 #: Words of 64 bits in the short parity sketch of a set; the whole one has a bit per shingle or more.
@@ -69,17 +71,18 @@ class Band(NamedTuple):
 def band_plan(low: int, high: int, sets: float, per_cent: int = PER_CENT) -> Band:
     """Segments of a band and their kinds, at the least cost for about ``sets`` sets in it.
 
-    The cost is the index rows of all sets and the pairs of unrelated sets that agree on a
-    segment by chance; both follow from the mean number of shingles in a segment.
+    The cost is the index rows of all sets and the meetings of unrelated sets that agree on a
+    segment by chance, once for each segment; both follow from the mean number of shingles in a segment.
     """
     # The difference follows from the sum of the sizes; it jumps by two at most, so the last sums suffice.
     top = high + high * 100 // per_cent
     most = max(n - 2 * -(-per_cent * n // (100 + per_cent)) for n in range(max(2, top - 60), top + 1))
     if most <= 0:
         return Band(low, high, 1, 0, 0)
+    meeting = PAIR_COST if _short_tells(low, most) else max(PAIR_COST, BLIND_COST)
     best, least = None, math.inf
     for share in (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0):
-        for spare in SPARES:
+        for spare in _spares(most):
             need = most + 1 + spare
             segments = math.ceil(need / (1 + share))
             deletions = min(segments, need - segments)
@@ -88,19 +91,40 @@ def band_plan(low: int, high: int, sets: float, per_cent: int = PER_CENT) -> Ban
             empty = (segments - deletions) * none + 2 * deletions * none * (1 + mean)
             # Sets with more empty segments than spare ones index those, and meet others that do.
             thin = _more_than(spare, empty)
-            both = min(1.0, segments * (none * (1 + mean)) ** 2)
+            both = (segments - deletions) * none**2 + deletions * (none * (1 + mean)) ** 2
             alike = none * none * (math.exp(mean * COMMON) - 1)  # the same subset, not empty
             chance = alike * (segments - deletions + deletions * (1 + mean) ** 2) + thin * thin * both
             mean = (low + high) / 2 / segments
-            cost = sets * (segments + deletions * mean) + PAIR_COST * sets * sets / 2 * min(1.0, chance)
+            # Empty segments are rows of thin sets only.
+            rows = segments * (1 - (1 - thin) * math.exp(-mean)) + deletions * mean
+            cost = sets * rows + meeting * sets * sets / 2 * chance
             if cost < least:
                 best, least = Band(low, high, segments, deletions, spare), cost
     return best
 
 
+def _spares(most: int) -> list[int]:
+    """Numbers of spare segments to choose from where linked sets differ in up to ``most`` shingles.
+
+    About a twelfth of the segments is empty in a set, so fewer spare ones than that make up for nothing.
+    """
+    out = list(SPARES)
+    while out[-1] < most / 3:
+        out.append(out[-1] * 9 // 8)
+    return out
+
+
+def _short_tells(size: int, most: int) -> bool:
+    """Whether short sketches of unrelated sets differ in more bits than those of linked ones may."""
+    bits = 64 * SKETCH
+    return bits / 2 * (1 - math.exp(-4 * size / bits)) > most + 2 * math.sqrt(bits)
+
+
 def _more_than(most: int, mean: float) -> float:
     """The chance that a Poisson number is above ``most``."""
-    term = total = math.exp(-min(mean, 700))
+    if mean > 100:  # about normal; the sum would run out of range
+        return math.erfc((most + 0.5 - mean) / math.sqrt(2 * mean)) / 2
+    term = total = math.exp(-mean)
     for i in range(1, most + 1):
         term *= mean / i
         total += term

@@ -180,3 +180,23 @@ def test_large_sets_that_meet_by_chance_are_ruled_out_where_they_meet(spark, mon
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other text of few words")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3} and "ab" not in asked
+
+
+@pytest.mark.parametrize("low,high,count", [(1654, 2315, 700), (3243, 4540, 600), (8902, 12462, 100), (48000, 67199, 300)])
+def test_unrelated_large_sets_share_no_index_entries(low, high, count):
+    """Large sets have hundreds of empty segments; without as many spare ones, all of them met all others there."""
+    rng = np.random.default_rng(low)
+    band = jaccard.band_plan(low, high, count, 80)
+    sets = [np.unique(rng.integers(0, 1 << 63, low + low // 10, dtype=np.uint64) * np.uint64(2)) for _ in range(8)]
+    sets.append(np.unique(np.r_[sets[0][low // 12 :], sets[1][: low // 12]]))  # links with the first
+    entries = [set(jaccard._band_entries(s, 3, band).tolist()) for s in sets]
+    shared = len(np.intersect1d(sets[0], sets[8]))
+    assert 100 * shared >= 80 * (len(sets[0]) + len(sets[8]) - shared) and entries[0] & entries[8]
+    assert not any(entries[i] & entries[j] for i in range(8) for j in range(i))
+
+
+def test_chance_of_more_than():
+    for mean in (0.5, 20, 99):
+        draws = np.random.default_rng(1).poisson(mean, 40000)
+        assert all(abs((draws > most).mean() - jaccard._more_than(most, mean)) < 0.02 for most in (0, 1, 20, 90, 110))
+    assert jaccard._more_than(700, 900) > 0.99 and jaccard._more_than(1100, 900) < 0.01
