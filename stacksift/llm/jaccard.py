@@ -15,6 +15,7 @@ ones indexes them too. So nothing is lost and no segment is common to all.
 Equal sets are one node, named by its hash. In every index group, nodes are first checked
 against one leader of the group, which is linear, and linked nodes are contracted; this is
 done ``LEADERS`` times with other leaders, for groups that still hold several components.
+The first leader is the node of the group that shares most with others; further ones go by hash.
 Then all pairs of a group that are in different components are looked at. A pair is verified
 exactly, by the sets, unless its sizes or its parity sketches rule it out: each shingle flips
 one bit, so differing bits are no more than differing shingles, and no linked pair is lost.
@@ -371,15 +372,23 @@ def link(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> t
 
 
 def _shared_entries(found: DataFrame) -> DataFrame:
-    """(entry, node, leads) of entries that at least two nodes have; one node leads each."""
+    """(entry, node, leads) of entries that at least two nodes have; one node leads each.
+
+    It is the one that shares most with others: of near copies, the fewer shingles one has changed, the more
+    segments it has in common with the rest. So the middle of a group leads, and what is near it links with it.
+    """
     rows = found.filter(F.col("doc_id").isNotNull()).select(F.explode("entries").alias("entry"), "node")
     at = Window.partitionBy("entry")
-    order = F.struct(F.xxhash64("node", F.lit(0)), "node")
-    shared = rows.select(
-        "entry", "node", F.min("node").over(at).alias("first"), F.max("node").over(at).alias("last"),
-        (order == F.min(order).over(at)).alias("leads"),
-    )
-    return written(shared.filter("first <> last").select("entry", "node", "leads").distinct(), "shared-entries")
+    shared = rows.select("entry", "node", F.min("node").over(at).alias("first"), F.max("node").over(at).alias("last"))
+    shared = written(shared.filter("first <> last").select("entry", "node").distinct(), "shared-entries")
+    sizes = shared.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    weights = shared.join(sizes, "entry").groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = written(shared.join(weights, "node").select("entry", "node", "weight"), "weighed-entries")
+    order = F.struct(-F.col("weight"), F.xxhash64("node", F.lit(0)), "node")
+    lead = weighed.groupBy("entry").agg(F.min_by("node", order).alias("lead"))
+    led = written(weighed.join(lead, "entry").select("entry", "node", (F.col("node") == F.col("lead")).alias("leads")), "led-entries")
+    discard(shared, weighed)
+    return led
 
 
 def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -401,8 +410,11 @@ def _contracted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, per_cent:
     checked, roots = None, None
     for number in range(LEADERS):
         # Every node of a group against a node that leads it in this round.
-        order = F.struct(F.xxhash64("node", F.lit(number)), "node")
-        lead = rows.groupBy("entry").agg(F.min_by(F.struct("node", "root"), order).alias("lead"))
+        if number == 0:
+            lead = rows.filter("leads").select("entry", F.struct("node", "root").alias("lead"))
+        else:
+            order = F.struct(F.xxhash64("node", F.lit(number)), "node")
+            lead = rows.groupBy("entry").agg(F.min_by(F.struct("node", "root"), order).alias("lead"))
         led = rows.join(lead, "entry").filter(F.col("root") != F.col("lead.root"))
         pairs = led.select(*ordered("node", "lead.node")).distinct()
         near = fitting(pairs)

@@ -195,6 +195,26 @@ def test_unrelated_large_sets_share_no_index_entries(low, high, count):
     assert not any(entries[i] & entries[j] for i in range(8) for j in range(i))
 
 
+def test_the_middle_of_a_group_of_near_copies_leads_it(spark):
+    """Leaders by hash were copies with many changes, so copies with few of them met one another in all pairs."""
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(150)]
+    of, plan = jaccard.Shingler(), [jaccard.band_plan(100, 170, 1000)]
+    rows = []
+    for i in range(160):
+        copy = base[:]
+        for _ in range(0 if i == 0 else 1 if i < 40 else rng.randrange(4, 9)):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(1000)}"
+        rows.append((i, i, jaccard.index_entries(of(" ".join(copy)), plan, np.array([100])).view(np.int64).tolist()))
+    found = spark.createDataFrame(rows, "doc_id long, node long, entries array<long>")
+    groups = {}
+    for r in jaccard._shared_entries(found).collect():
+        groups.setdefault(r.entry, []).append((r.leads, r.node))
+    assert groups and all(sum(leads for leads, _ in g) == 1 for g in groups.values())
+    large = [g for g in groups.values() if len(g) > 40]
+    assert large and all(max(g)[1] == 0 for g in large)  # the text itself
+
+
 def test_chance_of_more_than():
     for mean in (0.5, 20, 99):
         draws = np.random.default_rng(1).poisson(mean, 40000)
