@@ -10,7 +10,8 @@ Queries, in batches, meet every shard: the blocks of a shard are taken in the or
 bounds, and a query is done with the shard once the bounds fall below its k-th score. Blocks
 whose bound equals the k-th score are still read, for ties. Shards are searched in two waves;
 the second starts from the k-th scores of the first, and a task keeps the k-th scores of a
-batch from shard to shard. Shards are dealt to groups and a batch is sent once to each group.
+batch from shard to shard. Few queries are sent to all executors; else shards are dealt to groups
+and a batch is shuffled once to each group, so the driver never holds more than ``MOST_SENT`` bytes of them.
 
 Scores are integers and exact: 64-bit sums, taken in double precision where all partial sums
 stay below 2 ** 53. Vectors that are null or hold null or non-finite components take no
@@ -33,8 +34,8 @@ SHARD = 4096
 BATCH = 1024
 #: Shards of the first wave: one in so many.
 FIRST = 8
-#: Batches up to which they are sent to all executors, about half a MB each at 64 components.
-MOST_SENT = 8
+#: Bytes of queries up to which all of them are sent to all executors; more are dealt by shuffles.
+MOST_SENT = 4 << 20
 SCALE = 256
 
 
@@ -176,8 +177,8 @@ FOUND = "query long, query_id long, vec_id long, row long, score long"
 NOTHING = -(2**62)
 
 
-def _search(asks: DataFrame, n_batches: int, held: DataFrame, slots: int, width: int, k: int) -> DataFrame:
-    """Rows of shards that may be among the ``k`` best of the queries."""
+def _search(asks: DataFrame, size: int, held: DataFrame, slots: int, width: int, k: int) -> DataFrame:
+    """Rows of shards that may be among the ``k`` best of the queries, which have ``size`` bytes."""
 
     def run(batches):
         import pyarrow as pa
@@ -200,10 +201,13 @@ def _search(asks: DataFrame, n_batches: int, held: DataFrame, slots: int, width:
                 if out:
                     yield _pack(out, kinds)
 
-    sent = asks.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    if n_batches <= MOST_SENT and n_batches * slots <= 64 * MOST_SENT:
-        sent = F.broadcast(sent)
-    met = held.join(sent, "slot")
+    if size <= MOST_SENT:
+        # Once each, since what is sent goes through the driver.
+        met = held.crossJoin(F.broadcast(asks))
+    else:
+        # Files of integers are far smaller than their rows, so Spark must not decide by them to send either side.
+        copies = asks.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+        met = held.hint("merge").join(copies.hint("merge"), "slot")
     return met.select("asks", "names", "queries", "least", "rows", "ids", "weights").mapInArrow(run, FOUND)
 
 
@@ -232,13 +236,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, sha
     held = written(shards(ordered.sortWithinPartitions("_term", "row"), width, shard, slots), "shards")
 
     parts = max(1, -(-facts["asks"] // (8 * BATCH)))
-    n_batches = -(-facts["asks"] // BATCH) + parts
+    # Per query its numbers and its weights, 8 bytes each.
+    sent = facts["asks"] * 8 * (width + 3)
     asking = good.filter("asks").select("row", "vec_id", "v").repartition(parts, "row")
     asks = written(ask_batches(asking.withColumn("least", F.lit(NOTHING)), width), "queries")
-    early = written(_best(_search(asks, n_batches, held.filter("wave = 0"), slots, width, k), k), "first-wave")
+    early = written(_best(_search(asks, sent, held.filter("wave = 0"), slots, width, k), k), "first-wave")
     kth = early.filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("_kth"))
     known = asking.join(kth, "row", "left").withColumn("least", F.coalesce("_kth", F.lit(NOTHING)))
     asks = written(ask_batches(known, width), "queries")
-    late = _search(asks, n_batches, held.filter("wave > 0"), slots, width, k)
+    late = _search(asks, sent, held.filter("wave > 0"), slots, width, k)
     best = _best(early.drop("rank").unionByName(late), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -71,3 +71,29 @@ def test_rows_with_one_id_are_rows_of_their_own(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = blocks.top_k(table, F.col("vec_id") % 50 == 0, 5, shard=16).collect()
     assert sorted(map(tuple, got)) == brute(rows, 5, lambda i: i % 50 == 0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_queries_do_not_pass_the_driver_once_a_group(spark, monkeypatch, most):
+    """Many queries are shuffled, however small their files; few are sent, but not copied for every group of shards."""
+    monkeypatch.setattr(blocks, "BATCH", 16)
+    monkeypatch.setattr(blocks, "MOST_SENT", most)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.normal(size=6).round(2).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    met, search = [], blocks._search
+
+    def seen(*args):
+        met.append(search(*args))
+        return met[-1]
+
+    monkeypatch.setattr(blocks, "_search", seen)
+    got = blocks.top_k(table, F.col("vec_id") % 5 == 0, 5, shard=32).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, lambda i: i % 5 == 0)
+    for plan in map(plan_of, met):
+        assert ("BroadcastExchange" in plan) == bool(most)
+        assert most == 0 or "explode" not in plan
