@@ -18,3 +18,19 @@ def test_written_files_come_back(spark, tmp_path):
     images.write_files(rows, str(tmp_path / "out"))
     found = images.file_heads(spark, f"{tmp_path}/out/*").collect()
     assert sorted(bytes(r["head"]) for r in found) == sorted(i.to_bytes(2, "big") for i in range(20))
+
+
+def test_tasks_list_the_files_that_spark_finds(spark, tmp_path):
+    """The driver holds no file names; hidden, empty and nested files are treated as Spark's reader does."""
+    names = ["a/1.gif", "a/2.png", "a/_3.gif", "a/.4.gif", "a/_k=5.gif", "a/empty.gif", "a/deep/6.gif", "b/7.gif", "b/8 9.gif", "c.gif", "_d.gif"]
+    for name in names:
+        (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / name).write_bytes(b"" if "empty" in name else b"GIF89a" + name.encode())
+    for name in ("p/k=1/l=2/1.gif", "p/k=2/l=3/2.gif"):
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_bytes(b"GIF87a")
+    for path in ("f", "f/*", "f/a", "f/a/", "f/*/*", "f/*/*.gif", "f/{a,b}", "f/{a/1,b/7}.gif", "f/[!a]", "f/?/[0-2]*", "f/c.gif", "p/k=1", "p"):
+        path = f"{tmp_path}/{path}"
+        want = spark.read.format("binaryFile").load(path).select("path", "length")
+        assert sorted(map(tuple, images.listed_files(spark, path).collect())) == sorted(map(tuple, want.collect())), path
+    assert not images.file_heads(spark, f"{tmp_path}/f/*").inputFiles()
