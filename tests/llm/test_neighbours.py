@@ -73,3 +73,60 @@ def test_rows_with_one_id_are_rows_of_their_own(spark):
             scored = sorted((-float(np.dot(x, y)), j) for b, (j, y) in enumerate(rows) if b != a)[:3]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     assert got == sorted(want)
+
+
+def test_buckets_hold_arrays_not_rows_of_edges(spark, monkeypatch):
+    """The graph and the searches are written as a row per bucket, whatever they hold; vectors are not sent to all."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1500)]
+    sizes, write = {}, neighbours.written
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        sizes.setdefault(name, []).append(out.count())
+        if name in ("neighbour-graph", "search"):
+            assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(neighbours, "written", counted)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert neighbours.nearest(table, F.col("vec_id") % 20 == 0, 20).count() == 75 * 20
+    assert max(sizes["neighbour-graph"] + sizes["search"] + sizes["search-graph"]) <= 16
+
+
+def test_best_edges_and_kept_entries_like_brute_force():
+    rng = np.random.default_rng(2)
+    nodes = np.sort(rng.choice(10**12, 20, replace=False))
+    want: dict = {}
+    state = (np.zeros(20 * neighbours.K, "<i8"), np.full(20 * neighbours.K, -np.inf, "<f4"))
+    for number in range(4):
+        u, v = rng.choice(nodes, 1500), rng.integers(0, 90, 1500)
+        sim = ((nodes.searchsorted(u) * 131 + v * 17) % 97).astype("<f4")
+        old = {(a, b) for a in want for b in want[a]}
+        for a, b, s in zip(u, v, sim):
+            want.setdefault(a, {})[b] = float(s)
+        want = {a: dict(sorted(x.items(), key=lambda e: (-e[1], e[0]))[: neighbours.K]) for a, x in want.items()}
+        *state, fresh = neighbours.best_edges(nodes, state, (u, v, sim))
+        at = np.flatnonzero(np.isfinite(state[1]))
+        got = [(nodes[i // neighbours.K], state[0][i]) for i in at]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a in want for b in want[a]}
+        assert all(fresh[i] == (e not in old) for i, e in zip(at, got))
+    kept = tuple(np.empty(0, t) for t in ("<i8", "<i8", "<f4", "i1"))
+    best: dict = {}
+    for mark in (1, 0, 0):
+        q, n = rng.integers(0, 5, 400), rng.integers(0, 200, 400)
+        score = ((q * 31 + n * 7) % 101).astype("<f4")
+        kept = neighbours.kept_best(kept, (q, n, score, np.full(400, mark, "i1")), 30)
+        for a, b, s in zip(q, n, score):
+            best.setdefault(a, {}).setdefault(b, (-float(s), b, mark))
+        best = {a: {e[1]: e for e in sorted(x.values())[:30]} for a, x in best.items()}
+        assert list(zip(*kept)) == [(a, b, -s, m) for a in sorted(best) for s, b, m in best[a].values()]
+
+
+def test_few_scores_give_the_same_pairs():
+    rng = np.random.default_rng(5)
+    score = rng.random((40, 30))
+    score[rng.random(score.shape) < 0.85] = -np.inf
+    score[3] = rng.random(30)
+    got = set(zip(*map(tuple, neighbours._nearest(score, 6))))
+    assert got == {(i, j) for i in range(40) for j in np.argsort(-score[i])[:6] if np.isfinite(score[i, j])}
